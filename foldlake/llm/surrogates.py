@@ -1,0 +1,286 @@
+"""Surrogates for personal data: keyed, of the same type, script, gender mark and format.
+
+Entities are found by pattern: e-mail addresses, phone numbers, card and account numbers, IPv4
+addresses, social security numbers, IBANs, and names after an honorific (which gives the gender),
+with their later bare mentions in the same text. Each is replaced by format-preserving encryption: its characters are classed
+(digit, vowel or consonant of a script, case), the value is a number in the product of these
+classes, and a keyed Feistel network with cycle walking permutes that range. So equal entities get
+equal surrogates in all documents (coreference), and different ones never meet (distinctness),
+without a table of entities; length, casing, grouping, the script and a name's last letter, which
+marks gender in many languages, stay. What must hold of a type is kept on both sides of the
+permutation: a number that passes the Luhn check becomes another that does, and one that fails stays
+failing. `walk` checks for collisions with the original: where the permutation leaves a value as it
+is, a run of such values and its successor change places, which keeps all values distinct.
+
+Defined results: a null text stays null with no entities, an empty one empty; texts without entities
+come back as they are; equal rows get equal results; an empty table gives an empty result. Other
+columns are left alone by `replace`, whatever their names; n_chars stays right as lengths do.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import hmac
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from . import common
+
+KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "name")
+DEFAULT_KEY = b"foldlake surrogate key"
+
+# Honorifics by the gender they mark.
+HONORIFICS = {
+    "m": ["Mr", "Mr.", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr.", "господин", "г-н", "κύριος", "κ."],
+    "f": ["Mrs", "Mrs.", "Ms", "Ms.", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra.", "Srta.", "госпожа", "г-жа", "κυρία"],
+}
+_GENDER = {h: g for g, hs in HONORIFICS.items() for h in hs}
+
+_EMAIL = re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", re.ASCII)
+_IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)", re.ASCII)
+_CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)", re.ASCII)
+_PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?|\(\d{2,4}\)[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])", re.ASCII)
+_DIGIT = re.compile("[0-9]")
+_NAME = re.compile(r"(?<!\w)(" + "|".join(re.escape(h) for h in sorted(_GENDER, key=len, reverse=True)) + r") ([^\W\d_]+(?:[ -][^\W\d_]+){0,2})")
+
+# Letters that change for one another, in lower case: vowels and consonants of a script.
+_ALPHABETS = [
+    "aeiouy",
+    "bcdfghjklmnpqrstvwxz",
+    "áàâäãéèêëíìîïóòôöõúùûüý",
+    "ñçß",
+    "аеиоуыэюя",
+    "бвгджзклмнпрстфхцчшщ",
+    "αεηιουω",
+    "βγδζθκλμνξπρστφχψ",
+    "άέήίόύώ",
+]
+_CLASS = {c: a for a in _ALPHABETS for c in a} | {c.upper(): a.upper() for a in _ALPHABETS for c in a if len(c.upper()) == 1}
+_CLASS |= dict.fromkeys("0123456789", "0123456789")
+_CLASS["ß"] = "ñçß"
+
+
+class Cipher:
+    """A keyed permutation of 0 to size - 1 for any size and any tweak."""
+
+    def __init__(self, key: bytes):
+        self.key = key
+
+    def _half(self, tweak: bytes, turn: int, value: int, width: int) -> int:
+        data = tweak + bytes([turn]) + value.to_bytes((width + 7) // 8 + 1, "big")
+        out = b""
+        while len(out) * 8 < width:
+            out += hmac.digest(self.key, data + len(out).to_bytes(2, "big"), hashlib.sha256)
+        return int.from_bytes(out, "big") & ((1 << width) - 1)
+
+    def permute(self, value: int, size: int, tweak: bytes) -> int:
+        half = max(1, ((size - 1).bit_length() + 1) // 2)
+        mask = (1 << half) - 1
+        while True:  # walk the cycle back into the range
+            left, right = value >> half, value & mask
+            for turn in range(8):
+                left, right = right, left ^ self._half(tweak, turn, right, half)
+            value = left << half | right
+            if value < size:
+                return value
+
+    def walk(self, value: int, size: int, tweak: bytes, fits: Callable[[int], bool] = lambda _: True) -> int:
+        """The permutation of the values that fit, changed so that none stays as it is (if two or
+        more fit): a run of fixed values moves up by one, its last takes the image of the value after
+        the run, and that one takes the first of the run."""
+
+        def image(x: int) -> int:
+            y = self.permute(x, size, tweak)
+            while not fits(y):
+                y = self.permute(y, size, tweak)
+            return y
+
+        def step(x: int, by: int) -> int:
+            x = (x + by) % size
+            while not fits(x):
+                x = (x + by) % size
+            return x
+
+        out = image(value)
+        if out == value:
+            after = step(value, 1)
+            moved = image(after)
+            return after if moved == after else moved
+        before = step(value, -1)
+        if image(before) != before:
+            return out
+        while image(low := step(before, -1)) == low:
+            before = low
+        return before
+
+
+def _mixed(text: str, free: list[int], cipher: Cipher, tweak: str, fits: Callable[[str], bool] | None = None) -> str:
+    """text with the characters at `free` permuted within their classes."""
+    classes = [_CLASS[text[i]] for i in free]
+    size = value = 0
+    for c, i in zip(classes, free, strict=True):
+        size, value = (size or 1) * len(c), value * len(c) + c.index(text[i])
+    if size < 2:
+        return text
+
+    def spelled(v: int) -> str:
+        chars = list(text)
+        for c, i in zip(reversed(classes), reversed(free), strict=True):
+            v, r = divmod(v, len(c))
+            chars[i] = c[r]
+        return "".join(chars)
+
+    pattern = tweak + "|" + "".join(c[0] for c in classes)
+    return spelled(cipher.walk(value, size, pattern.encode(), (lambda v: fits(spelled(v))) if fits else lambda _: True))
+
+
+def _free(text: str, start: int = 0, end: int | None = None) -> list[int]:
+    return [i for i in range(start, len(text) if end is None else end) if text[i] in _CLASS]
+
+
+def luhn(text: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed([c for c in text if c.isdigit()])):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def _iban_rest(text: str) -> int:
+    plain = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
+def _email(text: str, cipher: Cipher) -> str:
+    local, _, domain = text.rpartition("@")
+    labels = domain.split(".")
+    keep = 2 if ".".join(labels[-2:]).lower() in ("example.com", "example.org", "example.net") else 1
+    host = ".".join(labels[:-keep])
+    return _mixed(local, _free(local), cipher, "local") + "@" + ".".join([x for x in (_mixed(host, _free(host), cipher, "host"), *labels[-keep:]) if x])
+
+
+def _phone(text: str, cipher: Cipher) -> str:
+    code = re.match(r"\+\d{1,3}(?=[ .(-])", text)
+    start = code.end() if code else 0
+    return _mixed(text, _free(text, start), cipher, f"phone{text[:start]}")
+
+
+def _card(text: str, cipher: Cipher) -> str:
+    valid = luhn(text)
+    return _mixed(text, _free(text, 1), cipher, f"card{text[0]}{valid}", lambda t: luhn(t) == valid)
+
+
+def _ip(text: str, cipher: Cipher) -> str:
+    size, value, octets = 1, 0, text.split(".")
+    spans = [((0, 10), (10, 100), (100, 256))[len(o) - 1] for o in octets]
+    if any(not low <= int(o) < high for o, (low, high) in zip(octets, spans, strict=True)):
+        return _mixed(text, _free(text), cipher, "ip with leading zeros", lambda t: all(int(o) < 256 for o in t.split(".")) and any(o != str(int(o)) for o in t.split(".")))
+    for o, (low, high) in zip(octets, spans, strict=True):
+        size, value = size * (high - low), value * (high - low) + int(o) - low
+    value, out = cipher.walk(value, size, b"ip" + bytes(len(o) for o in octets)), []
+    for low, high in reversed(spans):
+        value, r = divmod(value, high - low)
+        out.append(str(low + r))
+    return ".".join(reversed(out))
+
+
+def _ssn(text: str, cipher: Cipher) -> str:
+    return _mixed(text, _free(text), cipher, "ssn")
+
+
+def _iban(text: str, cipher: Cipher) -> str:
+    if _iban_rest(text) != 1:
+        return _mixed(text, _free(text, 4), cipher, f"iban{text[:4]}", lambda t: _iban_rest(t) != 1)
+    out = _mixed(text, _free(text, 4), cipher, f"iban{text[:2]}")
+    return f"{out[:2]}{98 - _iban_rest(out[:2] + '00' + out[4:]):02d}{out[4:]}"
+
+
+def _name(text: str, cipher: Cipher) -> str:
+    """One word of a name; its last letter stays where there are others."""
+    free = _free(text, 0, len(text) - 1) or _free(text)
+    return _mixed(text, free, cipher, f"name{text[-1]}")
+
+
+_MAKE = {"email": _email, "phone": _phone, "card": _card, "ip": _ip, "ssn": _ssn, "iban": _iban, "name": _name}
+
+
+def find(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, gender or "") of the entities, without overlaps, in order."""
+    found: list[tuple[int, int, str, str]] = []
+    patterns = [("email", _EMAIL)] if "@" in text else []
+    if _DIGIT.search(text):
+        patterns += [("iban", _IBAN), ("ssn", _SSN), ("ip", _IP), ("card", _CARD), ("phone", _PHONE)]
+    taken = bytearray(len(text)) if patterns else b""
+    for kind, pattern in patterns:
+        for m in pattern.finditer(text):
+            a, b = m.span()
+            if not any(taken[a:b]):
+                taken[a:b] = b"\1" * (b - a)
+                found.append((a, b, kind, ""))
+    if any(h in text for h in _GENDER):
+        names: dict[str, str] = {}
+        for m in _NAME.finditer(text):
+            for word in re.finditer(r"[^\W\d_]+", m[2]):
+                if not word[0][0].isupper():
+                    break
+                names.setdefault(word[0], _GENDER[m[1]])
+        if names:
+            own = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, names), key=len, reverse=True)) + r")(?!\w)")
+            taken = taken or bytearray(len(text))
+            found += [(*m.span(), "name", names[m[0]]) for m in own.finditer(text) if m[0] not in _GENDER and not any(taken[m.start() : m.end()])]
+    return sorted(found)
+
+
+@lru_cache(maxsize=100_000)
+def surrogate(kind: str, value: str, key: bytes = DEFAULT_KEY) -> str:
+    return _MAKE[kind](value, Cipher(key))
+
+
+def replaced(text: str | None, key: bytes = DEFAULT_KEY) -> tuple[str | None, list[tuple[int, int, str, str]]]:
+    """The text with surrogates, and the spans (the same in both texts)."""
+    if not text or not (spans := find(text)):
+        return text, []
+    out, at = [], 0
+    for start, end, kind, _ in spans:
+        out += [text[at:start], surrogate(kind, text[start:end], key)]
+        at = end
+    return "".join([*out, text[at:]]), spans
+
+
+def entities(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+    """doc_id, text (with surrogates), n_entities, a count for each kind, and spans
+    (kind:start:end, comma-joined, in code points, end exclusive)."""
+    common.ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text", 2000, 16 << 20):
+            found = [replaced(t, key) for t in batch.column("text").to_pylist()]
+            kinds = [[s[2] for s in spans] for _, spans in found]
+            columns = [batch.column("doc_id"), pa.array([t for t, _ in found], pa.string()), pa.array([len(k) for k in kinds], pa.int64())]
+            columns += [pa.array([k.count(kind) for k in kinds], pa.int64()) for kind in KINDS]
+            columns.append(pa.array([",".join(f"{k}:{a}:{b}" for a, b, k, _ in spans) for _, spans in found], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "text", "n_entities", *(f"n_{k}" for k in KINDS), "spans"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    counts = ", ".join(f"n_{k} long" for k in KINDS)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, n_entities long, {counts}, spans string")
+
+
+def replace(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+    """docs with surrogates in text and all other columns as they are."""
+    common.ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = pa.array([replaced(t, key)[0] for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
+            yield batch.set_column(at, batch.schema.field(at), texts)
+
+    return docs.mapInArrow(run, docs.schema)
