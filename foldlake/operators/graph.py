@@ -48,8 +48,8 @@ def depths(blocks: DataFrame, max_depth: int = MAX_CODERS) -> DataFrame:
     most = blocks.select(F.max(F.size("coders"))).first()[0] or 0
     while step < min(most, max_depth):
         step += 1
-        reached = reached.join(e, (reached["archive_id"] == e["archive_id"]) & (reached["block_index"] == e["block_index"]) & (reached["coder_index"] == e["reader"]))
-        reached = reached.select(e["archive_id"], e["block_index"], F.col("writer").alias("coder_index"), F.lit(step).alias("depth")).distinct()
+        reached = reached.drop("depth").withColumnRenamed("coder_index", "reader").join(e, ["archive_id", "block_index", "reader"])
+        reached = reached.select("archive_id", "block_index", F.col("writer").alias("coder_index"), F.lit(step).alias("depth")).distinct()
         found = found.unionByName(reached)
     return found.groupBy("archive_id", "block_index", "coder_index").agg(F.max("depth").alias("depth"))
 
