@@ -63,6 +63,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], stem: str) -> str:
+    """A prefix for columns of one's own that none of the given ones begins with."""
+    while any(c.lower().startswith(stem) for c in columns):
+        stem = f"_{stem}"
+    return stem
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -47,7 +47,7 @@ class Targets:
 
 
 #: Languages are levelled a little, tables and licence texts kept few.
-DEFAULT = Targets(lang={"en": 0.56, "fr": 0.16, "de": 0.16, "es": 0.12}, topic={"prose": 0.92, "table": 0.04, "licence": 0.04})
+DEFAULT = Targets(lang={"en": 0.56, "fr": 0.16, "de": 0.16, "es": 0.12}, topic={"prose": 0.95, "table": 0.02, "licence": 0.03})
 
 
 def _category(column: str, named: Iterable[str]) -> Column:
@@ -85,29 +85,31 @@ def rake(counts: Mapping[tuple[str, str, str], int], marginals: list[Mapping[str
     return dict(zip(keys, share.tolist(), strict=True))
 
 
-def weighted(docs: DataFrame, targets: Targets = DEFAULT) -> DataFrame:
-    """docs with __source, __lang, __topic, __words, __weight, __probability and __sampled."""
+def weighted(docs: DataFrame, targets: Targets = DEFAULT, own: str = "mix_") -> DataFrame:
+    """docs with the columns source, lang, topic, words, weight, probability and sampled, the names
+    of which begin with `own`."""
     spark = docs.sparkSession
+    lang, kind_of, words = f"{own}lang", f"{own}topic", f"{own}words"
     text = F.coalesce("text", F.lit(""))
     kind = topic(text)
-    kinds = {"__lang": _category("lang", targets.lang), "__topic": F.when(kind.isin(sorted(targets.topic)), kind).otherwise(F.lit(OTHER)), "__words": F.regexp_count(text, F.lit(WORD)).cast("long")}
-    rows = docs.withColumns(kinds)
-    counts = common.written(rows.groupBy("source", "__lang", "__topic").agg(F.sum("__words").alias("n")), "mixing")
+    rows = docs.withColumns({lang: _category("lang", targets.lang), kind_of: F.when(kind.isin(sorted(targets.topic)), kind).otherwise(F.lit(OTHER)), words: F.regexp_count(text, F.lit(WORD)).cast("long")})
+    counts = common.written(rows.groupBy("source", F.col(lang).alias("l"), F.col(kind_of).alias("t")).agg(F.sum(words).alias("n")), "mixing")
     total = counts.agg(F.sum("n")).first()[0] or 0
     # at most 1 / source_cap sources
     large = [r.source for r in counts.where("source is not null").groupBy("source").agg(F.sum("n").alias("n")).where(F.col("n") > targets.source_cap * total).select("source").collect()]
     source = _category("source", large)
     # one row for each cell, bounded by the targets
-    cells = {(r[0], r[1], r[2]): r[3] for r in counts.groupBy(source.alias("s"), "__lang", "__topic").agg(F.sum("n")).collect()}
+    cells = {(r[0], r[1], r[2]): r[3] for r in counts.groupBy(source.alias("s"), "l", "t").agg(F.sum("n")).collect()}
     capped = dict.fromkeys(large, targets.source_cap) | {OTHER: max(0.0, 1 - targets.source_cap * len(large))}
     raked = rake(cells, [capped, targets.lang, targets.topic], targets.rounds)
     weights = {k: v * total / cells[k] for k, v in raked.items()}
     most = max(weights.values(), default=1.0)
     found = [(*k, weights.get(k, most), weights.get(k, most) / most) for k in cells]
-    table = F.broadcast(spark.createDataFrame(found, "__s string, __l string, __t string, __weight double, __probability double"))
-    rows = rows.withColumn("__source", source)
-    rows = rows.join(table, (F.col("__source") == F.col("__s")) & (F.col("__lang") == F.col("__l")) & (F.col("__topic") == F.col("__t")))
-    return rows.drop("__s", "__l", "__t").withColumn("__sampled", draw(targets.seed) < F.col("__probability"))
+    names = [f"{own}{x}" for x in ("source", "lang", "topic", "weight", "probability")]
+    table = F.broadcast(spark.createDataFrame(found, ", ".join(f"`{n}` {t}" for n, t in zip(names, ["string"] * 3 + ["double"] * 2, strict=True))))
+    rows = rows.withColumn(names[0], source).join(table, names[:3])
+    columns = [*map(common.quoted, docs.columns), *names[:3], words, *names[3:]]
+    return rows.select(*columns).withColumn(f"{own}sampled", draw(targets.seed) < F.col(f"{own}probability"))
 
 
 def draw(seed: int) -> Column:
@@ -117,4 +119,5 @@ def draw(seed: int) -> Column:
 
 
 def sample(docs: DataFrame, targets: Targets = DEFAULT) -> DataFrame:
-    return weighted(docs, targets).where("__sampled").select(*docs.columns)
+    own = common.unused(docs.columns, "mix_")
+    return weighted(docs, targets, own).where(F.col(f"{own}sampled")).select(*map(common.quoted, docs.columns))

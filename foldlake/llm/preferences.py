@@ -73,7 +73,7 @@ def assemble(segments: DataFrame, run: int = RUN) -> DataFrame:
     whole = runs.groupBy("pair_id", "section").agg(F.sort_array(F.collect_list(F.struct("run", "x.text", "x.mask", "x.n"))).alias("parts"))
     whole = whole.select("pair_id", "section", _join(F.col("parts")).alias("x"))
     out = whole.groupBy("pair_id").agg(*[F.max(F.when(F.col("section") == s, F.col("x"))).alias(s) for s in ("prompt", "chosen", "rejected")])
-    listed = lambda s: F.coalesce(F.array_join(F.transform(F.col(f"{s}.mask"), lambda m: F.concat_ws(":", m["a"], m["b"])), ","), F.lit(""))
+    listed = lambda s: F.coalesce(F.array_join(F.transform(F.col(f"{s}.mask"), lambda m: F.concat_ws(":", m["a"].cast("string"), m["b"].cast("string"))), ","), F.lit(""))
     return out.select(
         "pair_id",
         *[F.coalesce(F.col(f"{s}.n"), F.lit(0)).alias(f"n_{s}") for s in ("prompt", "chosen", "rejected")],

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import eliasfano, langid, mixing, packing, piecewise, preferences, repetition, secrets, simhash, surrogates, tokens
+from . import eliasfano, langid, mixing, oracles, packing, piecewise, preferences, repetition, secrets, simhash, surrogates, tokens
 from .common import documents
 
 
@@ -18,10 +18,10 @@ def tokenizer() -> str:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the cell of each document, its words, weight and probability, and whether it is drawn."""
-    rows = mixing.weighted(documents(spark, sf_dir))
+    rows = mixing.weighted(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
     return rows.select(
-        "doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__words").alias("n_words"),
-        F.round("__weight", 9).alias("weight"), F.round("__probability", 9).alias("probability"), F.col("__sampled").alias("sampled"),
+        "doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_words").alias("n_words"),
+        F.round("mix_weight", 9).alias("weight"), F.round("mix_probability", 9).alias("probability"), F.col("mix_sampled").alias("sampled"),
     )
 
 
@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

@@ -30,8 +30,8 @@ ASSIGN = "(?i:" + KEYWORD.replace(r"([A-Za-z0-9+/_.=-]+)", "") + r")([A-Za-z0-9+
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 IDENT = r"""(?i:access_?key_?id|client_?id|account|username|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
-MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}"
-ENDPOINT = r"""https?://[^\x20\x09-\x0D"'<>]+|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?(?![0-9.])"""
+MIXED = r"[A-Za-z0-9+/_-]{20,}"
+ENDPOINT = r"""https?://[^\x20\x09-\x0D"'<>]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?"""
 KINDS = ["assign", "access", "hex", "ident", "mixed", "endpoint"]
 PATTERNS = [ASSIGN, ACCESS, HEX, IDENT, MIXED, ENDPOINT]
 STRONG = 3
@@ -42,21 +42,30 @@ NEEDS = [0, 0, 0, 2, 5, 2]
 SPAN = "array<struct<start:long,kind:int,stop:long>>"
 
 
+def _fits(kind: int, match: Column, value: Column) -> Column:
+    """Whether a match counts: long enough a value, or digits and both cases in a mixed token."""
+    if KINDS[kind] == "assign":
+        return F.length(value) >= 6
+    if KINDS[kind] == "mixed":
+        return match.rlike("[0-9]") & match.rlike("[A-Z]") & match.rlike("[a-z]")
+    return F.lit(True)
+
+
 def _spans(text: Column, kind: int) -> Column:
     """Spans of all matches of a kind, in order."""
     pattern = F.lit(PATTERNS[kind])
-    lengths = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
-    # a match's value too, where it must have some length
-    sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(2)), F.length) if kind == 0 else lengths
+    matches = F.regexp_extract_all(text, pattern, F.lit(0))
+    values = F.regexp_extract_all(text, pattern, F.lit(2)) if kind == 0 else matches
+    parts = F.zip_with(matches, values, lambda m, v: F.struct(F.length(m).alias("length"), _fits(kind, m, v).alias("fits")))
     gaps = F.transform(F.split(text, PATTERNS[kind], -1), F.length)
-    found = F.arrays_zip(gaps.alias("gap"), lengths.alias("length"), sizes.alias("size"))
+    found = F.zip_with(gaps, parts, lambda g, p: F.struct(g.alias("gap"), p["length"].alias("length"), p["fits"].alias("fits")))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
-        stop = acc["at"] + x["gap"] + x["length"]
+        # the piece behind the last match has no match of its own
+        stop = acc["at"] + x["gap"] + F.coalesce(x["length"], F.lit(0))
         span = F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"))
-        kept = x["length"].isNotNull() & (x["size"] >= (6 if kind == 0 else 1))
-        return F.struct(F.coalesce(stop, acc["at"]).alias("at"), F.when(kept, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(stop.alias("at"), F.when(x["fits"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     # most texts have no match: one search tells, and the rest is for the others
     return F.when(text.rlike(PATTERNS[kind]), F.aggregate(found, start, add, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
@@ -65,7 +74,7 @@ def _spans(text: Column, kind: int) -> Column:
 def _listed(spans: Column) -> Column:
     """kind:start:end, by start, then kind, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
+    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
 def candidates(docs: DataFrame) -> DataFrame:

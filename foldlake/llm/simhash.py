@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common
 
@@ -196,9 +196,11 @@ def fingerprint_hex(fp) -> F.Column:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the row that names it, once."""
-    own = "__head_of_group"
+    """The rows of docs without near-duplicates: of each component the row that names it, once. Rows
+    that share a doc_id are one document, and the one with the least text stays of them."""
+    own = common.unused(docs.columns, "__head")
     heads = cluster(docs, radius, shingle, seed, tile).where("head").select(F.col("doc_id").alias(own)).distinct()
-    rows = docs.join(heads, docs["doc_id"].eqNullSafe(heads[own]), "inner")
-    others = [c for c in docs.columns if c != "doc_id"]
-    return rows.groupBy(docs["doc_id"]).agg(*[F.first(docs[c]).alias(c) for c in others]).select(*docs.columns)
+    rows = docs.join(heads, docs["doc_id"].eqNullSafe(heads[own]), "left_semi")
+    # doc_id is not null twice or more only where rows repeat; the rows are already together by it
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return rows.withColumn(own, rank).where(F.col(own) == 1).drop(own)
