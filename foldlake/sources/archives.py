@@ -33,7 +33,7 @@ def rows_of(path: str, parsed: header.Parsed) -> dict:
         {
             "block_index": b, "crc": f["crc"], "num_sub_streams": f["num_sub_streams"], "num_packed": len(f["packed_streams"]), "unpack_size": f["unpack_size"],
             "unpack_sizes": f["unpack_sizes"], "bind_pairs": f["bind_pairs"], "packed_streams": f["packed_streams"],
-            "coders": [{**c, "method": codecs.NAMES.get(c["method_id"])} for c in f["coders"]],
+            "coders": [{"method_id": c["method_id"], "method": codecs.NAMES.get(c["method_id"]), "num_in": c["num_in"], "num_out": c["num_out"], "properties": c["properties"]} for c in f["coders"]],
         }
         for b, f in enumerate(s.folders)
     ]
