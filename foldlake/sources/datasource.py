@@ -29,8 +29,13 @@ from foldlake.operators.limits import ArchiveLimits
 from foldlake.sources import archives, shipping, storage, writer
 
 
+def _plain(options) -> dict:
+    """Options by lower-case name, as Spark doesn't tell cases apart."""
+    return {k.lower(): v for k, v in options.items()}
+
+
 def _password(options: dict) -> str | None:
-    name = options.get("passwordvariable") or options.get("passwordVariable")
+    name = options.get("passwordvariable")
     return os.environ.get(name) if name else None
 
 
@@ -42,7 +47,7 @@ class ArchivePartition(InputPartition):
 class ArchiveReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.schema, self.options, self.table = schema, options, options.get("table", "entries")
-        self.blocks = {int(x) for x in options["blockIndex"].split(",")} if options.get("blockIndex") else None
+        self.blocks = {int(x) for x in options["blockindex"].split(",")} if options.get("blockindex") else None
         self.names = set(options["names"].split(",")) if options.get("names") else None
 
     def partitions(self) -> list[InputPartition]:
@@ -146,7 +151,7 @@ class ArchiveWriter(DataSourceWriter):
 
         task = TaskContext.get()
         path, methods, password = self.options["path"], self._methods(), _password(self.options)
-        solid = int(self.options.get("solidBytes", 0))
+        solid = int(self.options.get("solidbytes", 0))
         name = f"{path}.parts/{task.partitionId():08d}-{task.taskAttemptId()}"
         store, at = storage.resolve(name)
         store.create_dir(os.path.dirname(at), recursive=True)
@@ -237,18 +242,18 @@ class SevenZipSource(DataSource):
         return schemas.TABLES[self.options.get("table", "entries")] if self.options.get("table") != "chunks" else lzma2.CHUNKS
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return ArchiveReader(schema, dict(self.options))
+        return ArchiveReader(schema, _plain(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return ArchiveWriter(schema, dict(self.options))
+        return ArchiveWriter(schema, _plain(self.options))
 
     def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
-        return ChunkStream(dict(self.options))
+        return ChunkStream(_plain(self.options))
 
 
 class PruningSource(SevenZipSource):
     def reader(self, schema: StructType) -> DataSourceReader:
-        return PruningReader(schema, dict(self.options))
+        return PruningReader(schema, _plain(self.options))
 
 
 def register(spark: SparkSession) -> None:
