@@ -1,4 +1,4 @@
-"""`spark.read.format("sevenz")`, `df.write.format("sevenz")` and `spark.readStream.format("sevenz")`.
+"""`spark.read.format("7z")`, `df.write.format("7z")` and `spark.readStream.format("7z")`.
 
 Options for reading: path; table (archives, entries, blocks, coders, pack_streams, sub_streams,
 contents; entries if not given); blockIndex and names (comma-separated) to read less of the contents;
@@ -233,10 +233,10 @@ class ChunkStream(SimpleDataSourceStreamReader):
         return iter(self._from(start["at"], end["at"])[0])
 
 
-class SevenZipSource(DataSource):
+class ArchiveSource(DataSource):
     @classmethod
     def name(cls) -> str:
-        return "sevenz"
+        return "7z"
 
     def schema(self) -> StructType:
         return schemas.TABLES[self.options.get("table", "entries")] if self.options.get("table") != "chunks" else lzma2.CHUNKS
@@ -251,7 +251,7 @@ class SevenZipSource(DataSource):
         return ChunkStream(_plain(self.options))
 
 
-class PruningSource(SevenZipSource):
+class PruningSource(ArchiveSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return PruningReader(schema, _plain(self.options))
 
@@ -259,6 +259,6 @@ class PruningSource(SevenZipSource):
 def register(spark: SparkSession) -> None:
     shipping.ship(spark)
     pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true"
-    spark.dataSource.register(PruningSource if pushed else SevenZipSource)
+    spark.dataSource.register(PruningSource if pushed else ArchiveSource)
 
 

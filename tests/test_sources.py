@@ -27,9 +27,9 @@ def test_write_and_read(source, tmp_path, solid):
     path = str(tmp_path / "x.7z")
     want = dict(rows())
     df = source.createDataFrame(rows(), "name string, data binary").repartition(3)
-    df.write.format("sevenz").option("method", "DELTA,LZMA2").option("solidBytes", str(solid)).mode("append").save(path)
+    df.write.format("7z").option("method", "DELTA,LZMA2").option("solidBytes", str(solid)).mode("append").save(path)
     assert os.listdir(tmp_path) == ["x.7z"]
-    read = lambda t, **o: source.read.format("sevenz").option("table", t).options(**o).load(path)
+    read = lambda t, **o: source.read.format("7z").option("table", t).options(**o).load(path)
     assert {r.name: r["size"] for r in read("entries").collect()} == {k: len(v) for k, v in want.items()}
     assert {r.name: bytes(r.data) for r in read("contents").collect()} == want
     assert read("archives").first().major == 0 and read("coders").where("method = 'DELTA'").count() == read("blocks").count()
@@ -46,7 +46,7 @@ def test_filters_prune_blocks(spark, tmp_path):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     try:
         datasource.register(spark)
-        df = spark.read.format("sevenz").option("table", "contents").load(path).where("block_index = 2")
+        df = spark.read.format("7z").option("table", "contents").load(path).where("block_index = 2")
         assert df.rdd.getNumPartitions() == 1 and [r.block_index for r in df.collect()] == [2]
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
@@ -91,7 +91,7 @@ def test_a_growing_stream_closes_the_same_runs(source, tmp_path):
     packed, plain = stream_of(5, 3)
     path = tmp_path / "grow.lzma2"
     path.write_bytes(packed[:10])
-    chunks = source.readStream.format("sevenz").option("table", "chunks").option("path", str(path)).load()
+    chunks = source.readStream.format("7z").option("table", "chunks").option("path", str(path)).load()
     q = runs.closed_runs(chunks).writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
     try:
         for cut in (len(packed) // 3, len(packed) // 2, len(packed)):
