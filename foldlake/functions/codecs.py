@@ -19,7 +19,7 @@ import pyarrow as pa
 
 from foldlake.functions import aes
 from foldlake.functions.errors import ArchiveError, corrupted
-from foldlake.functions.sizes import METHOD_IDS
+from foldlake.functions.sizes import LEVEL_DEPTH, LEVEL_DICTIONARY, LEVEL_NICE_LENGTH, METHOD_IDS
 
 NAMES = {bytes.fromhex(code): name for name, code in METHOD_IDS.items()}
 IDS = {name: code for code, name in NAMES.items()}
@@ -31,10 +31,6 @@ _BRANCH = {
     "BCJ_ARM": lzma.FILTER_ARM, "BCJ_ARM_THUMB": lzma.FILTER_ARMTHUMB, "BCJ_SPARC": lzma.FILTER_SPARC,
 }
 
-# A level's dictionary exponent, from level 0 on.
-LEVEL_DICTIONARY = [16, 18, 20, 22, 22, 23, 23, 24, 25, 26]
-
-
 @dataclasses.dataclass(frozen=True)
 class Options:
     """What a coder is set to when it encodes; each uses what it knows."""
@@ -49,9 +45,10 @@ class Options:
     salt: bytes = b""
     iv: bytes | None = None
     frame: int | None = None  # bytes of a skippable-framed piece for Brotli and LZ4
+    chunk: int | None = None  # bytes after which LZMA2 begins a run of its own
 
     def dictionary_for(self, size: int | None) -> int:
-        wanted = self.dictionary or 1 << LEVEL_DICTIONARY[max(0, min(9, self.level))]
+        wanted = self.dictionary or LEVEL_DICTIONARY[max(0, min(9, self.level))]
         return max(4096, min(wanted, max(4096, size))) if size is not None else max(4096, wanted)
 
 
@@ -230,6 +227,11 @@ def decode(method: str | None, properties: bytes, data: bytes, size: int, passwo
     return out[:size] if len(out) > size else out
 
 
+def _compressed(data: bytes, spec: dict) -> bytes:
+    coder = lzma.LZMACompressor(lzma.FORMAT_RAW, filters=[spec])
+    return coder.compress(data) + coder.flush()
+
+
 def encode(method: str, data: bytes, options: Options = Options(), password: str | None = None) -> tuple[bytes, bytes]:  # noqa: B008
     """(properties, packed)."""
     level = max(0, min(9, options.level))
@@ -237,14 +239,20 @@ def encode(method: str, data: bytes, options: Options = Options(), password: str
         return b"", data
     if method in ("LZMA", "LZMA2"):
         dictionary = options.dictionary_for(len(data))
-        spec = {"id": lzma.FILTER_LZMA1 if method == "LZMA" else lzma.FILTER_LZMA2, "preset": level, "dict_size": dictionary, "lc": options.lc, "lp": options.lp, "pb": options.pb}
-        coder = lzma.LZMACompressor(lzma.FORMAT_RAW, filters=[spec])
-        packed = coder.compress(data) + coder.flush()
+        spec = {
+            "id": lzma.FILTER_LZMA1 if method == "LZMA" else lzma.FILTER_LZMA2, "preset": level, "dict_size": dictionary, "lc": options.lc, "lp": options.lp, "pb": options.pb,
+            "nice_len": LEVEL_NICE_LENGTH[level],
+        }
+        if level < len(LEVEL_DEPTH):
+            spec |= {"mode": lzma.MODE_FAST, "mf": lzma.MF_HC4, "depth": LEVEL_DEPTH[level]}
         if method == "LZMA":
-            return struct.pack("<BI", (options.pb * 5 + options.lp) * 9 + options.lc, dictionary), packed
-        return bytes([lzma2_property(dictionary)]), packed
+            return struct.pack("<BI", (options.pb * 5 + options.lp) * 9 + options.lc, dictionary), _compressed(data, spec)
+        step = max(options.chunk, dictionary) if options.chunk else max(1, len(data))
+        # each block ends with an end mark of its own, which only the last one keeps
+        runs = [_compressed(data[i : i + step], spec)[:-1] for i in range(0, len(data), step)]
+        return bytes([lzma2_property(dictionary)]), b"".join(runs) + b"\0"
     if method == "BZIP2":
-        return b"", bz2.compress(data, max(1, level))
+        return b"", bz2.compress(data, {0: 1, 1: 1, 2: 3, 3: 5, 4: 7}.get(level, 9))
     if method == "DEFLATE":
         coder = zlib.compressobj(level, zlib.DEFLATED, -15)
         return b"", coder.compress(data) + coder.flush()

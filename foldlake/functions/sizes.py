@@ -150,7 +150,48 @@ def declared_folder_size(sizes: Column) -> Column:
 
 def bzip2_block(level: Column) -> Column:
     """BZip2's block size for a level."""
-    return F.when(level <= 1, 1).when(level <= 3, 3).when(level <= 5, 5).when(level <= 7, 7).otherwise(9) * 100_000
+    return F.when(level <= 1, 1).when(level == 2, 3).when(level == 3, 5).when(level == 4, 7).otherwise(9) * 100_000
+
+
+def is_one_run(unpacked: Column, dictionary: Column) -> Column:
+    """Whether an LZMA2 coder's output is no longer than one run of an encoder with its dictionary."""
+    return F.coalesce(unpacked <= encoder_run_cap(dictionary), F.lit(False))
+
+
+# By level from 0 on, an LZMA encoder's dictionary, nice match length and, for the
+# levels with hash chains, their depth.
+LEVEL_DICTIONARY = [1 << 18, 1 << 20, 1 << 21, 1 << 22, 1 << 22, 1 << 23, 1 << 23, 1 << 24, 1 << 25, 1 << 26]
+LEVEL_NICE_LENGTH = [128, 128, 273, 273, 16, 32, 64, 64, 64, 64]
+LEVEL_DEPTH = [4, 8, 24, 48]
+
+
+def _by_level(values: list[int], level: Column) -> Column:
+    return F.get(F.array(*map(F.lit, values)), F.least(level, F.lit(9)))
+
+
+def effective_dictionary(level: Column, requested: Column, size: Column) -> Column:
+    """The dictionary that an encoder uses: the one asked for or the level's, no more than the input
+    where that is known, 4 KiB at least."""
+    wanted = F.coalesce(requested, _by_level(LEVEL_DICTIONARY, level)).cast("long")
+    return F.coalesce(F.least(wanted, F.greatest(size, F.lit(4 * KIB))), wanted)
+
+
+def nice_length(level: Column) -> Column:
+    return _by_level(LEVEL_NICE_LENGTH, level)
+
+
+def chain_depth(level: Column) -> Column:
+    """Null for the levels without hash chains."""
+    return F.when(level < len(LEVEL_DEPTH), F.get(F.array(*map(F.lit, LEVEL_DEPTH)), level))
+
+
+def match_finder_threads(level: Column, threads: Column) -> Column:
+    return F.when((level > 3) & (threads > 1), 2).otherwise(1)
+
+
+def block_size(chunk: Column, dictionary: Column) -> Column:
+    """An encoder's block: the chunk asked for, no less than its dictionary; null without a chunk."""
+    return F.when(chunk.isNotNull(), F.greatest(chunk, dictionary))
 
 
 def varint_length(x: Column) -> Column:

@@ -12,7 +12,7 @@ from foldlake.functions import codecs
 from foldlake.functions.errors import ArchiveError
 from foldlake.operators import catalog as derive
 from foldlake.operators.limits import ArchiveLimits
-from foldlake.sources import archives, header, storage, writer
+from foldlake.sources import archives, header, run_scan, storage, writer
 
 ROWS = "archive_id string, place long, name string, data binary, mtime_ticks decimal(20,0), windows_attributes long, is_directory boolean, block long"
 
@@ -245,3 +245,26 @@ def test_bad_chains_are_refused():
     for methods in ([], [("BCJ2", codecs.Options())], [("AES256_SHA256", codecs.Options()), ("LZMA2", codecs.Options())]):
         with pytest.raises(ArchiveError):
             writer.check_methods(methods)
+
+
+def test_blocks_decode_by_their_runs(spark, tmp_path):
+    path = str(tmp_path / "runs.7z")
+    rng = random.Random(8)
+    rows = [(path, i, f"m{i}", rng.randbytes(300) * rng.randrange(1, 200), None, None, False, 0) for i in range(30)]
+    rows[7] = (path, 7, "m7", b"", None, None, False, 0)
+    build(spark, path, [("LZMA2", codecs.Options(level=1, dictionary=4096, chunk=50_000))], solid=True, rows=rows)
+    cat = archives.catalog(spark, path)
+    found = run_scan.runs(run_scan.plan(cat)).collect()
+    assert len(found) > 10 and sum(r.output_len for r in found) == sum(len(r[3]) for r in rows)
+    pieces = run_scan.contents(cat, chunk=7000)
+    got = {}
+    for r in pieces.orderBy("file_index", "offset").collect():
+        assert r.error is None and r.offset == len(got.get(r.name, b""))
+        got[r.name] = got.get(r.name, b"") + bytes(r.data)
+    assert got == {r[2]: r[3] for r in rows} == decoded(cat)
+    assert run_scan.verified(cat, pieces).count() == 0
+    data = bytearray((tmp_path / "runs.7z").read_bytes())
+    data[found[3].packed_at] = 0x55  # no control byte of a chunk
+    (tmp_path / "runs.7z").write_bytes(data)
+    errors = run_scan.contents(archives.catalog(spark, path)).where("error is not null").collect()
+    assert errors and all(e.error.startswith("Corrupted") for e in errors)
