@@ -173,7 +173,7 @@ def effective_dictionary(level: Column, requested: Column, size: Column) -> Colu
     """The dictionary that an encoder uses: the one asked for or the level's, no more than the input
     where that is known, 4 KiB at least."""
     wanted = F.coalesce(requested, _by_level(LEVEL_DICTIONARY, level)).cast("long")
-    return F.coalesce(F.least(wanted, F.greatest(size, F.lit(4 * KIB))), wanted)
+    return F.when(size.isNull(), wanted).otherwise(F.least(wanted, F.greatest(size, F.lit(4 * KIB))))
 
 
 def nice_length(level: Column) -> Column:

@@ -659,6 +659,26 @@ def completion_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return completions.published(rows)
 
 
+_LEVEL = "p_partkey % 11"
+_LISTS = {"d": sizes.LEVEL_DICTIONARY, "n": sizes.LEVEL_NICE_LENGTH}
+
+
+@query(f"""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN w ELSE least(w, greatest(p_partkey * 1000, 4096)) END AS dictionary, {_LISTS["n"]}[least({_LEVEL}, 9) + 1]::INT AS nice_length, CASE WHEN {_LEVEL} < 4 THEN {sizes.LEVEL_DEPTH}[{_LEVEL} + 1]::INT END AS depth,
+    CASE WHEN {_LEVEL} > 3 AND p_size % 4 > 1 THEN 2 ELSE 1 END AS threads, CASE WHEN {_LEVEL} <= 1 THEN 100000 WHEN {_LEVEL} = 2 THEN 300000 WHEN {_LEVEL} = 3 THEN 500000 WHEN {_LEVEL} = 4 THEN 700000 ELSE 900000 END AS bzip2_block,
+    CASE WHEN p_partkey % 2 = 0 THEN greatest(p_partkey * 5000, w) END AS block, p_partkey * 3000000 <= (greatest(least(greatest(w * 4, 1048576), 268435456), w) + 1048575) // 1048576 * 1048576 AS one_run
+    FROM (SELECT *, CASE WHEN p_partkey % 5 = 0 THEN p_partkey * 100 ELSE {_LISTS["d"]}[least({_LEVEL}, 9) + 1] END::BIGINT AS w FROM part)""")
+def encoder_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a level and a size set an encoder to."""
+    k = F.col("p_partkey")
+    level, size = (k % 11).cast("int"), F.when(k % 3 != 0, k * 1000)
+    wanted = sizes.effective_dictionary(level, F.when(k % 5 == 0, k * 100), F.lit(None).cast("long"))
+    return adapters.table(spark, sf_dir, "part").select(
+        "p_partkey", sizes.effective_dictionary(level, F.when(k % 5 == 0, k * 100), size).alias("dictionary"), sizes.nice_length(level).alias("nice_length"), sizes.chain_depth(level).alias("depth"),
+        sizes.match_finder_threads(level, F.col("p_size") % 4).alias("threads"), sizes.bzip2_block(level).alias("bzip2_block"), sizes.block_size(F.when(k % 2 == 0, k * 5000), wanted).alias("block"),
+        sizes.is_one_run(k * 3_000_000, wanted).alias("one_run"),
+    )
+
+
 for _name, _query in codec_queries.queries().items():
     QUERIES[_name] = _query
 

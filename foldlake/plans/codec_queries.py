@@ -93,34 +93,68 @@ def crc_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.join(whole, "doc_id").select("doc_id", F.col("len").alias("size"), (F.col("crc") == F.col("whole")).alias("same"))
 
 
-def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W-2, W-5, W-8, S1-S18: documents into solid archives of their sources, and read from there."""
+def _folder(spark: SparkSession) -> str:
+    """A new folder that executors and driver share."""
     import os
     import tempfile
 
-    from foldlake.sources import archives, writer
-
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir", None)
-    folder = f"{shared.rstrip('/')}/foldlake/{sc.applicationId}/archives-{os.urandom(6).hex()}" if shared else tempfile.mkdtemp(prefix="foldlake-")
-    docs = adapters.table(spark, sf_dir, "documents")
-    rows = docs.select(
+    return f"{shared.rstrip('/')}/foldlake/{sc.applicationId}/archives-{os.urandom(6).hex()}" if shared else tempfile.mkdtemp(prefix="foldlake-")
+
+
+def _written(spark: SparkSession, sf_dir: str, options: codecs.Options, per_block: int) -> list[str]:
+    """Documents in solid archives, one for each source; their paths."""
+    from foldlake.sources import writer
+
+    folder = _folder(spark)
+    rows = adapters.table(spark, sf_dir, "documents").select(
         F.concat(F.lit(f"{folder}/"), "source", F.lit(".7z")).alias("archive_id"), F.col("doc_id").alias("place"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"),
-        F.encode("text", "UTF-8").alias("data"), F.floor(F.col("doc_id") / 2000).alias("block"),
+        F.encode("text", "UTF-8").alias("data"), F.floor(F.col("doc_id") / per_block).alias("block"),
     )
-    made = writer.assemble(writer.prepare(rows, [("LZMA2", codecs.Options(level=1))], solid=True))
-    paths = [r.archive_id for r in made.select("archive_id").collect()]
-    read = archives.contents(archives.catalog(spark, paths))
-    whole = read.groupBy("archive_id", "name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offset", F.hex("data").alias("h")))), lambda x: x["h"]), "").alias("hex"))
+    made = writer.assemble(writer.prepare(rows, [("LZMA2", options)], solid=True))
+    return [r.archive_id for r in made.select("archive_id").collect()]
+
+
+def _digests(contents: DataFrame) -> DataFrame:
+    whole = contents.groupBy("archive_id", "name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offset", F.hex("data").alias("h")))), lambda x: x["h"]), "").alias("hex"))
     data = F.unhex("hex")
     return whole.select(F.substring_index("name", ".", 1).cast("long").alias("doc_id"), F.octet_length(data).cast("long").alias("size"), F.sha2(data, 256).alias("sha256"))
 
 
+def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-2, W-5, W-6, W-8, S1-S18: documents into solid archives of their sources, and read from there."""
+    from foldlake.sources import archives
+
+    return _digests(archives.contents(archives.catalog(spark, _written(spark, sf_dir, codecs.Options(level=1), 2000))))
+
+
+def archive_by_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of one block each, decoded run by run."""
+    from foldlake.sources import archives, run_scan
+
+    paths = _written(spark, sf_dir, codecs.Options(level=1, dictionary=1 << 16, chunk=1 << 16), 1 << 40)
+    return _digests(run_scan.contents(archives.catalog(spark, paths)))
+
+
+def aes_on_spark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C10 on Spark's own functions, with a key that is no secret."""
+    from foldlake.functions import native_aes
+
+    data, key, iv = F.encode("text", "UTF-8"), F.sha2(F.lit("a key of the tests"), 256), F.lit(bytes(range(16)))
+    packed = native_aes.encrypt(data, F.unhex(key), iv)
+    plain = native_aes.decrypt(packed, F.unhex(key), iv, F.octet_length(data))
+    rows = adapters.table(spark, sf_dir, "documents").select("doc_id", plain.alias("d"))
+    return rows.select("doc_id", F.octet_length("d").cast("long").alias("size"), F.sha2("d", 256).alias("sha256"))
+
+
 def queries() -> dict:
     digest = "SELECT {key}, strlen(text) AS size, sha256(text) AS sha256 FROM {table}"
     out = {f"codec_roundtrip_{name}": (_query(chain, "documents", "doc_id"), digest.format(key="doc_id", table="documents")) for name, chain in CHAINS.items()}
     out |= {f"codec_roundtrip_{name}": (_query(chain, "benchmark", "item_id"), digest.format(key="item_id", table="benchmark")) for name, chain in SLOW_CHAINS.items()}
     out["bcj2_roundtrip"] = bcj2_roundtrip, digest.format(key="item_id", table="benchmark")
     out["crc_fold"] = crc_fold, "SELECT doc_id, strlen(text) AS size, true AS same FROM documents"
+    out["archive_by_runs"] = archive_by_runs, digest.format(key="doc_id", table="documents")
+    out["aes_on_spark"] = aes_on_spark, digest.format(key="doc_id", table="documents")
     out["archive_roundtrip"] = archive_roundtrip, digest.format(key="doc_id", table="documents")
     return out
