@@ -659,6 +659,44 @@ def completion_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return completions.published(rows)
 
 
+@query("""WITH c AS (SELECT user_id, event_id, event_type, floor(value * 100)::BIGINT AS v, sum((event_type = 'signup' OR rn = 1)::INT) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS run FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)),
+    r AS (SELECT user_id, run, min(event_id) AS packed_offset, sum(v + 6)::BIGINT AS packed_size, sum(v * 3 + 1)::BIGINT AS output_len, sum(CASE WHEN event_type = 'error' THEN 0 ELSE v * 3 + 1 END)::BIGINT AS lzma FROM c GROUP BY 1, 2)
+    SELECT user_id::VARCHAR AS archive_id, run::BIGINT AS run_index, packed_offset, packed_size, coalesce(sum(output_len) OVER (PARTITION BY user_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS output_offset, output_len, lzma * 64 <= output_len AS stored
+    FROM r QUALIFY run < max(run) OVER (PARTITION BY user_id)""")
+def closed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stateful scan gives of a stream whose last run is still open, as one batch."""
+    from foldlake.streaming import runs
+
+    rows = adapters.chunks(spark, sf_dir)
+    rows = rows.select(
+        F.col("archive_id").cast("string").alias("archive_id"), F.lit(0).cast("long").alias("block_index"), "packed_offset", F.when(F.col("is_reset"), 1).otherwise(2).alias("control"), F.lit(3).alias("header_len"),
+        "packed_len", "unpacked_len", "is_reset", "is_stored",
+    )
+    return runs.closed_runs(rows).select("archive_id", "run_index", "packed_offset", "packed_size", "output_offset", "output_len", "stored")
+
+
+@query("""SELECT event_id, least(greatest(s - d - 1, 0), 12)::BIGINT AS backlog, least(greatest(p + 1, 1), 6)::BIGINT AS threads FROM (SELECT event_id, event_id % 40 AS s, event_id % 23 AS d, event_id % 9 AS p FROM events)""")
+def progress_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The backlog of a decode, and the threads a governor gives it."""
+    from foldlake.streaming import runs
+
+    k = F.col("event_id")
+    rows = adapters.table(spark, sf_dir, "events").select("event_id", (k % 40).alias("seen"), (k % 23).alias("delivered"), (k % 9).alias("pending_runs"))
+    return runs.governed_threads(runs.backlog(rows, 12), 6).select("event_id", "backlog", "threads")
+
+
+@query("""SELECT scenario, category, headline FROM (SELECT DISTINCT p_type || '-' || lower(p_brand) || CASE WHEN p_size % 3 = 0 THEN '-list' WHEN p_size % 3 = 1 THEN '-aes' ELSE '' END AS scenario, p_size % 3 AS k, p_type AS g FROM part) x,
+    LATERAL (SELECT CASE WHEN k = 0 THEN 'list' WHEN k = 1 THEN 'encryption' ELSE g END AS category, contains(scenario, 'brand#1') AS headline)""")
+def chart_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scenario's chart, and whether it is asked for."""
+    k = F.col("p_size") % 3
+    tail = F.when(k == 0, "-list").when(k == 1, "-aes").otherwise("")
+    rows = adapters.table(spark, sf_dir, "part").select(F.concat("p_type", F.lit("-"), F.lower("p_brand"), tail).alias("id"), F.col("p_type").alias("group")).distinct()
+    asked = benchstats.only(rows, ["brand#1"]).select("id", F.lit(True).alias("headline"))
+    rows = rows.join(asked, "id", "left")
+    return rows.select(F.col("id").alias("scenario"), benchstats.category(F.col("group"), F.col("id")).alias("category"), F.coalesce("headline", F.lit(False)).alias("headline"))
+
+
 _LEVEL = "p_partkey % 11"
 _LISTS = {"d": sizes.LEVEL_DICTIONARY, "n": sizes.LEVEL_NICE_LENGTH}
 

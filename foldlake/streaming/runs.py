@@ -38,11 +38,20 @@ def advance(state: tuple | None, chunks: list[dict]) -> tuple[tuple | None, list
 
 def closed_runs(chunks: DataFrame) -> DataFrame:
     """Closed runs (RUNS) of a stream of chunks (functions.lzma2.CHUNKS, with the end mark), in
-    append mode. The run that is still open is not given: it may grow."""
+    append mode. The run that is still open is not given: it may grow. The same of a batch."""
     from foldlake.sources.shipping import ship
 
     ship(chunks.sparkSession)
 
+    names = [c.split()[0] for c in RUNS.split(", ")]
+
+    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, closed = advance(None, rows.sort_values("packed_offset").to_dict("records"))
+        return pd.DataFrame([(*key, *r, r[4] > 0 and r[5] * 64 <= r[4], True) for r in closed], columns=names)
+
+    if not chunks.isStreaming:
+        return chunks.groupBy("archive_id", "block_index").applyInPandas(whole, RUNS)
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("packed_offset").to_dict("records")
         now, closed = advance(state.get if state.exists else None, rows)
@@ -50,7 +59,7 @@ def closed_runs(chunks: DataFrame) -> DataFrame:
             state.remove()
         else:
             state.update(now)
-        yield pd.DataFrame([(*key, *r, r[4] > 0 and r[5] * 64 <= r[4], True) for r in closed], columns=[c.split()[0] for c in RUNS.split(", ")])
+        yield pd.DataFrame([(*key, *r, r[4] > 0 and r[5] * 64 <= r[4], True) for r in closed], columns=names)
 
     return chunks.groupBy("archive_id", "block_index").applyInPandasWithState(step, RUNS, STATE, "append", GroupStateTimeout.NoTimeout)
 
