@@ -103,12 +103,12 @@ def branch_encode(method: str, data: bytes) -> bytes:
     return _raw(coder.compress(data) + coder.flush(), [{**_STORE, "dict_size": 1 << 20}], len(data))
 
 
-def arm64(data: bytes, encode: bool) -> bytes:
+def arm64(data: bytes, encode: bool, place: int = 0) -> bytes:
     """Branches with link and page addresses of ARM64, relative to absolute and back. Each word
-    stands for itself, so all are changed at once."""
+    stands for itself, so all are changed at once. place: where data begins in the whole."""
     n = len(data) // 4
     words = np.frombuffer(data, "<u4", n).astype(np.uint32)
-    at = np.arange(n, dtype=np.uint32)
+    at = (np.arange(n, dtype=np.uint64) + np.uint64(place // 4)).astype(np.uint32)
     sign = np.uint32(1 if encode else 0xFFFFFFFF)
     link = words & np.uint32(0xFC000000) == np.uint32(0x94000000)
     with np.errstate(over="ignore"):

@@ -1,9 +1,9 @@
 """Archives as tables: the catalog out of headers, and the bytes of members.
 
 `catalog` parses each header once, in a task of its own, into one nested row; the tables are
-projections of that. `contents` deals the blocks to tasks, largest first, decodes each along its coder graph and cuts it
-into members; long members come in chunks, so no cell holds more than `chunk` bytes. Errors are
-values: a block that can't be decoded yields one row with its error and no data.
+projections of that. `contents` deals the blocks to tasks, decodes each along its coder graph as a stream and cuts it into
+members; long members come in chunks, so neither a cell nor a task grows with a block. Errors are
+values: a block that can't be decoded yields a row with its error and no data.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from foldlake import schemas
-from foldlake.functions import codecs
+from foldlake.functions import codecs, streams
 from foldlake.functions.errors import ArchiveError
 from foldlake.operators import catalog as derive
 from foldlake.operators.limits import ArchiveLimits
@@ -143,38 +143,69 @@ def block_plan(cat: Catalog) -> DataFrame:
     return blocks.join(packs, key, "left").join(members, key).join(cat.archives.select("archive_id", "pack_pos"), "archive_id")
 
 
+def _packed(read: storage.Read, at: int, size: int) -> Iterator[bytes]:
+    while size > 0:
+        part = read(at, min(size, streams.STEP))
+        if not part:
+            raise ArchiveError("Corrupted", "packed bytes are cut short")
+        yield part
+        at, size = at + len(part), size - len(part)
+
+
+def block_bytes(row: dict, read: storage.Read, password: str | None) -> Iterator[bytes]:
+    """A planned block's bytes in pieces. A chain of coders is a chain of streams; a graph with
+    several inputs is decoded whole."""
+    coders, start = row["coders"], header.HEADER_SIZE + row["pack_pos"]
+    packs = [(start + p["offset"], p["size"]) for p in row["packs"] or []]
+    root = header.validate_graph(row)
+    if len(packs) != 1 or any(c["num_in"] != 1 for c in coders):
+        inputs = [b"".join(_packed(read, at, size)) for at, size in packs]
+        yield header.decode_folder(row, inputs, password)
+        return
+    source, chain = {p["in_index"]: p["out_index"] for p in row["bind_pairs"]}, [root]
+    while chain[-1] in source:
+        chain.append(source[chain[-1]])
+    parts = _packed(read, *packs[0])
+    for k in reversed(chain):
+        parts = streams.decoded(codecs.NAMES.get(bytes(coders[k]["method_id"])), bytes(coders[k]["properties"]), parts, row["unpack_sizes"][k], password)
+    yield from parts
+
+
 def decode_block(row: dict, read: storage.Read, password: str | None, verify: bool, chunk: int) -> Iterator[dict]:
-    """Rows of `contents` of one planned block."""
+    """Rows of `contents` of one planned block. An error of the block comes as a row of its own,
+    behind what could be decoded before it."""
     base = {"archive_id": row["archive_id"], "block_index": row["block_index"], "file_index": None, "name": None, "offset": None, "data": None, "crc32": None, "error": None}
     aes = any(c["method"] == "AES256_SHA256" for c in row["coders"])
+    whole = 0
     try:
-        packs = []
-        for p in row["packs"] or []:
-            data = read(header.HEADER_SIZE + row["pack_pos"] + p["offset"], p["size"])
-            if len(data) < p["size"]:
-                raise ArchiveError("Corrupted", "packed bytes are cut short")
-            packs.append(data)
-        plain = header.decode_folder(row, packs, password)
-        if verify and row["block_crc"] is not None and zlib.crc32(plain) != row["block_crc"]:
+        source = streams.Source(block_bytes(row, read, password))
+        for m in row["members"]:
+            crc = at = 0
+            while True:
+                data = source.read(min(chunk, m["size"] - at))
+                if not data and at < m["size"]:
+                    raise ArchiveError("Corrupted", "the block ends before its members")
+                crc, whole = zlib.crc32(data, crc), zlib.crc32(data, whole)
+                last = at + len(data) == m["size"]
+                bad = last and verify and m["crc"] is not None and crc != m["crc"]
+                error = ("Password" if aes else "ChecksumMismatch") + ": the member's checksum" if bad else None
+                yield {**base, "file_index": m["file_index"], "name": m["name"], "offset": at, "data": data, "crc32": crc, "error": error}
+                at += len(data)
+                if last:
+                    break
+        while part := source.read(streams.STEP):
+            whole = zlib.crc32(part, whole)
+        if verify and row["block_crc"] is not None and whole != row["block_crc"]:
             raise ArchiveError("ChecksumMismatch", "the block's checksum")
     except ArchiveError as e:
         code = "Password" if aes and e.code in ("Corrupted", "ChecksumMismatch") else e.code
         yield {**base, "error": f"{code}: {e.message}"}
-        return
-    at = 0
-    for m in row["members"]:
-        data = plain[at : at + m["size"]]
-        at += m["size"]
-        crc = zlib.crc32(data)
-        bad = verify and m["crc"] is not None and crc != m["crc"]
-        error = ("Password" if aes else "ChecksumMismatch") + ": the member's checksum" if bad else None
-        for k in range(0, max(1, len(data)), chunk):
-            yield {**base, "file_index": m["file_index"], "name": m["name"], "offset": k, "data": data[k : k + chunk], "crc32": crc, "error": error}
 
 
 def contents(cat: Catalog, password: str | None = None, verify: bool = True, chunk: int = CHUNK, volumes: dict[str, list[str]] | None = None, blocks: list[int] | None = None) -> DataFrame:
     """The bytes of all members with a stream: `schemas.CONTENTS`, in no order. crc32 is that of the
-    whole member; error tells a mismatch beside the data, or stands alone for a block."""
+    member up to the end of the chunk; error tells a mismatch beside a member's last chunk, or stands
+    alone for a block."""
     spark = cat.parsed.sparkSession
     plan = block_plan(cat)
     if blocks is not None:
@@ -214,5 +245,6 @@ def integrity(cat: Catalog, password: str | None = None) -> DataFrame:
     """archive_id, file_index, expected, actual of members whose stored and computed CRCs differ."""
     from foldlake.operators.integrity import verify
 
-    actual = contents(cat, password, verify=False).where("error is null and offset = 0").select("archive_id", "file_index", F.col("crc32").alias("crc"))
+    chunks = contents(cat, password, verify=False).where("error is null")
+    actual = chunks.groupBy("archive_id", "file_index").agg(F.max_by("crc32", "offset").alias("crc"))
     return verify(cat.entries.where("has_stream").select("archive_id", "file_index", "crc"), actual, "archive_id", "file_index")

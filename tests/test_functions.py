@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from foldlake.functions import aes, bcj2, codecs, crc, native_aes, payload, sizes, udtfs
+from foldlake.functions import aes, bcj2, codecs, crc, native_aes, payload, sizes, streams, udtfs
 from foldlake.functions.errors import ArchiveError
 from foldlake.operators import benchstats, integrity, planner
 from foldlake.sources import header
@@ -60,6 +60,34 @@ def test_coders_round_trip(method, data, repeat, distance):
     assert codecs.decode(method, properties, packed, len(data), "pw") == data
 
 
+@pytest.mark.parametrize("method", METHODS)
+@settings(max_examples=25, deadline=None)
+@given(data=st.binary(max_size=3000), repeat=st.integers(1, 40), distance=st.integers(1, 256), cut=st.integers(1, 5000), step=st.integers(1, 3000))
+def test_streams_give_the_same(method, data, repeat, distance, cut, step):
+    data *= repeat
+    properties, packed = codecs.encode(method, data, codecs.Options(level=1, distance=distance, power=2, frame=1000 if repeat % 2 else None), "pw")
+    before, streams.STEP = streams.STEP, step
+    try:
+        parts = (packed[i : i + cut] for i in range(0, len(packed), cut))
+        assert b"".join(streams.decoded(method, properties, parts, len(data), "pw")) == data
+        if data:
+            half = packed[: len(packed) // 2]
+            short = (half[i : i + cut] for i in range(0, len(half), cut))
+            with pytest.raises(ArchiveError):
+                b"".join(streams.decoded(method, properties, short, len(data) + 1, "pw"))
+    finally:
+        streams.STEP = before
+
+
+def test_streams_of_several_bzip2_parts():
+    import bz2
+
+    packed = bz2.compress(b"one" * 1000) + bz2.compress(b"two" * 1000)
+    for cut in (1, 7, 50, 10_000):
+        parts = (packed[i : i + cut] for i in range(0, len(packed), cut))
+        assert b"".join(streams.decoded("BZIP2", b"", parts, 6000)) == b"one" * 1000 + b"two" * 1000
+
+
 @pytest.mark.parametrize("method", ["LZMA", "LZMA2", "BZIP2", "DEFLATE", "ZSTD", "LZ4", "BROTLI"])
 def test_damaged_data_is_an_error_or_other_bytes(method):
     rng = random.Random(1)
