@@ -35,6 +35,8 @@ from . import common, tokens
 
 WINDOW = 1024
 END_ID = 0
+#: Counts (24 bytes each) of lengths in tasks that are broadcast; beyond that they are shuffled.
+BROADCAST_COUNTS = 200_000
 
 
 def fill(counts: dict[int, int], window: int) -> dict[int, int]:
@@ -182,7 +184,9 @@ def pack(docs: DataFrame, spec: str, window: int = WINDOW, end_id: int = END_ID)
     # ranges of ranks: a few for each length up to the window
     shared = spark.sparkContext.broadcast(slots)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    small = by_task.count() <= BROADCAST_COUNTS
     by_task = by_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("before"))
+    by_task = F.broadcast(by_task) if small else by_task
     ranked = cut.join(by_task, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "task")
     kind = docs.schema["doc_id"].dataType.simpleString()
 

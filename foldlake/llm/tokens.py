@@ -19,7 +19,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Entries a worker's cache may hold at most.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
 
 # How byte-level tokenizers cut a text, and the characters that stand for its bytes.
 CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
