@@ -68,10 +68,11 @@ def preferences_sql() -> str:
     return f"""
     WITH t AS (SELECT DISTINCT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
     r AS (SELECT *, turn * 1000000 + row_number() OVER (PARTITION BY pair_id, side, turn ORDER BY role, text) AS place FROM t),
-    same AS (SELECT pair_id, place, count(*) AS n, count(DISTINCT role || chr(0) || text) AS kinds FROM r GROUP BY ALL),
-    ends AS (SELECT pair_id, min(place) FILTER (n < 2 OR kinds > 1) AS e FROM same GROUP BY 1),
-    seg AS (SELECT pair_id, CASE WHEN e IS NULL OR place < e THEN 'prompt' ELSE side END AS section, place, {nl(p.OPEN)} || role || {nl(p.CLOSE)} || text || {nl(p.END)} AS rendered,
-        CASE WHEN role = 'assistant' AND NOT (e IS NULL OR place < e) THEN length(text) + {len(p.END)} ELSE 0 END AS says FROM r JOIN ends USING (pair_id) WHERE NOT (e IS NULL OR place < e) OR side = 'chosen'),
+    sides AS (SELECT pair_id, side, turn, list(role || chr(0) || text ORDER BY role, text) AS said FROM t GROUP BY ALL),
+    same AS (SELECT pair_id, turn, count(*) AS n, count(DISTINCT said) AS kinds FROM sides GROUP BY ALL),
+    ends AS (SELECT pair_id, min(turn) FILTER (n < 2 OR kinds > 1) AS e FROM same GROUP BY 1),
+    seg AS (SELECT pair_id, CASE WHEN e IS NULL OR turn < e THEN 'prompt' ELSE side END AS section, place, {nl(p.OPEN)} || role || {nl(p.CLOSE)} || text || {nl(p.END)} AS rendered,
+        CASE WHEN role = 'assistant' AND NOT (e IS NULL OR turn < e) THEN length(text) + {len(p.END)} ELSE 0 END AS says FROM r JOIN ends USING (pair_id) WHERE NOT (e IS NULL OR turn < e) OR side = 'chosen'),
     o AS (SELECT *, sum(length(rendered)) OVER (PARTITION BY pair_id, section ORDER BY place) AS stop FROM seg),
     j AS (SELECT pair_id, section, count(*) AS n, string_agg(rendered, '' ORDER BY place) AS body, coalesce(string_agg((stop - says) || ':' || stop, ',' ORDER BY place) FILTER (says > 0), '') AS mask FROM o GROUP BY 1, 2)
     SELECT pair_id, {", ".join(f"{section(s, 'n')} AS n_{s}, {section(s, 'body')} AS {s}" for s in ("prompt", "chosen", "rejected"))}, {section("chosen", "mask")} AS chosen_mask, {section("rejected", "mask")} AS rejected_mask FROM j GROUP BY pair_id"""

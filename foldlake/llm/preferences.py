@@ -1,24 +1,24 @@
 """Preference formatting: the common turns of two conversations once as prompt, the rest as paired,
 masked completions. DataFrame operations alone.
 
-Turns of the chosen and the rejected conversation are joined on (pair, place); the first place where
-they differ ends the prompt. No conversation is gathered for that: the join is on single turns, and
-the first difference is a minimum. Rendered turns are then put together in two steps, first runs of
-`RUN` places, then these, so that what is gathered at once is a run, or the runs of one text.
+The first turn at which the two conversations differ is a minimum over digests of single turns, so no
+text moves to find it. Texts move twice: runs of `RUN` turn numbers of a side are put in order first,
+spread over all tasks even where a few conversations hold most rows, and then the runs of a pair meet
+and are rendered to its three texts.
 
 Places are turn numbers, so a turn that one side lacks is a difference. The mask of a completion lists
 the spans (start:end in code points, end exclusive) of what the assistant says with its end mark,
 the parts on which a loss counts; a prompt has none.
 
 Defined results: rows that repeat (pair, side, turn, role, text) count once; different rows of one
-turn number are put in the order of role and text, nulls first; null text is empty, a null role is
-"user"; rows with a null pair or turn are left out; a pair with one side only has no prompt and an
-empty other completion; an empty table gives an empty result.
+turn number are put in the order of role and text, and are common only all together; null text is
+empty, a null role is "user"; rows with a null pair or turn are left out; a pair with one side only has
+no prompt and an empty other completion; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 RUN = 64
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
@@ -33,19 +33,16 @@ def turns(conversations: DataFrame) -> DataFrame:
     )
 
 
-def segments(turns: DataFrame) -> DataFrame:
-    """pair_id, section (prompt, chosen or rejected), place, rendered, says (code points at its end
-    that the mask of a completion covers)."""
-    rows = turns.where("pair_id is not null and turn is not null").select("pair_id", "side", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    tie = F.row_number().over(Window.partitionBy("pair_id", "side", "turn").orderBy("role", "text"))
-    rows = rows.select("pair_id", "side", F.struct("turn", tie.alias("tie")).alias("place"), "role", "text")
-    same = rows.groupBy("pair_id", "place").agg(F.count("*").alias("n"), F.min(F.struct("role", "text")).alias("a"), F.max(F.struct("role", "text")).alias("b"))
-    ends = same.groupBy("pair_id").agg(F.min(F.when((F.col("n") < 2) | (F.col("a") != F.col("b")), F.col("place"))).alias("end"))
-    rows = rows.join(ends, "pair_id")
-    shared = F.col("end").isNull() | (F.col("place") < F.col("end"))
-    rendered = F.concat(F.lit(OPEN), "role", F.lit(CLOSE), "text", F.lit(END))
-    says = F.when(~shared & (F.col("role") == "assistant"), F.length("text") + len(END)).otherwise(0)
-    return rows.where(~shared | (F.col("side") == "chosen")).select("pair_id", F.when(shared, "prompt").otherwise(F.col("side")).alias("section"), "place", rendered.alias("rendered"), says.alias("says"))
+def cleaned(turns: DataFrame) -> DataFrame:
+    return turns.where("pair_id is not null and turn is not null").select("pair_id", "side", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def prompt_ends(turns: DataFrame) -> DataFrame:
+    """pair_id, end: the first turn at which the sides differ; null if none."""
+    digest = F.md5(F.concat("role", F.lit("\0"), "text"))
+    of = lambda side: F.sort_array(F.collect_set(F.when(F.col("side") == side, digest)))
+    each = turns.groupBy("pair_id", "turn").agg((of("chosen") == of("rejected")).alias("same"))
+    return each.groupBy("pair_id").agg(F.min(F.when(~F.col("same"), F.col("turn"))).alias("end"))
 
 
 def _join(parts: Column) -> Column:
@@ -61,27 +58,40 @@ def _join(parts: Column) -> Column:
     return F.struct(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"), mask.alias("mask"), n.alias("n"))
 
 
-def assemble(segments: DataFrame, run: int = RUN) -> DataFrame:
-    """pair_id, prompt, chosen, rejected, their numbers of turns, and the masks of the completions."""
-    length = F.length("rendered")
-    none = F.array().cast("array<struct<a:int,b:int>>")
-    mask = F.when(F.col("says") > 0, F.array(F.struct((length - F.col("says")).alias("a"), length.alias("b")))).otherwise(none)
-    part = F.struct("place", F.col("rendered").alias("text"), mask.alias("mask"), F.lit(1).cast("long").alias("n"))
-    group = F.floor(F.col("place.turn") / run)
-    runs = segments.groupBy("pair_id", "section", group.alias("run")).agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    runs = runs.select("pair_id", "section", "run", _join(F.col("parts")).alias("x"))
-    whole = runs.groupBy("pair_id", "section").agg(F.sort_array(F.collect_list(F.struct("run", "x.text", "x.mask", "x.n"))).alias("parts"))
-    whole = whole.select("pair_id", "section", _join(F.col("parts")).alias("x"))
-    out = whole.groupBy("pair_id").agg(*[F.max(F.when(F.col("section") == s, F.col("x"))).alias(s) for s in ("prompt", "chosen", "rejected")])
-    listed = lambda s: F.coalesce(F.array_join(F.transform(F.col(f"{s}.mask"), lambda m: F.concat_ws(":", m["a"].cast("string"), m["b"].cast("string"))), ","), F.lit(""))
+def _rendered(parts: Column, masked: bool) -> Column:
+    """Parts (turn, role, text) in order as one (text, mask, n)."""
+
+    def one(x: Column) -> Column:
+        text = F.concat(F.lit(OPEN), x["role"], F.lit(CLOSE), x["text"], F.lit(END))
+        none = F.array().cast("array<struct<a:int,b:int>>")
+        says = F.array(F.struct((F.length(text) - F.length(x["text"]) - len(END)).alias("a"), F.length(text).alias("b")))
+        mask = F.when(x["role"] == "assistant", says).otherwise(none) if masked else none
+        return F.struct(text.alias("text"), mask.alias("mask"), F.lit(1).cast("long").alias("n"))
+
+    return _join(F.transform(parts, one))
+
+
+def pairs(turns: DataFrame, run: int = RUN) -> DataFrame:
+    """pair_id, prompt, chosen, rejected, their numbers of turns, and the masks of the completions.
+    turns: pair_id, side (chosen or rejected), turn, role, text."""
+    rows = cleaned(turns)
+    runs = rows.groupBy("pair_id", "side", F.floor(F.col("turn") / run).alias("run")).agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("parts"))
+    runs = runs.join(prompt_ends(rows), "pair_id")
+    common = lambda x: F.col("end").isNull() | (x["turn"] < F.col("end"))
+    chosen = F.col("side") == "chosen"
+    runs = runs.select(
+        "pair_id", "side", "run",
+        F.when(chosen, _rendered(F.filter("parts", common), False)).alias("prompt"),
+        _rendered(F.filter("parts", lambda x: ~common(x)), True).alias("rest"),
+    )
+    whole = runs.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("side", "run", "prompt", "rest"))).alias("runs"))
+    own = lambda side, what: _join(F.transform(F.filter("runs", lambda x: x["side"] == side), lambda x: x[what]))
+    out = whole.select("pair_id", own("chosen", "prompt").alias("prompt"), own("chosen", "rest").alias("chosen"), own("rejected", "rest").alias("rejected"))
+    listed = lambda s: F.array_join(F.transform(F.col(f"{s}.mask"), lambda m: F.concat_ws(":", m["a"].cast("string"), m["b"].cast("string"))), ",")
     return out.select(
         "pair_id",
-        *[F.coalesce(F.col(f"{s}.n"), F.lit(0)).alias(f"n_{s}") for s in ("prompt", "chosen", "rejected")],
-        *[F.coalesce(F.col(f"{s}.text"), F.lit("")).alias(s) for s in ("prompt", "chosen", "rejected")],
+        *[F.col(f"{s}.n").alias(f"n_{s}") for s in ("prompt", "chosen", "rejected")],
+        *[F.col(f"{s}.text").alias(s) for s in ("prompt", "chosen", "rejected")],
         listed("chosen").alias("chosen_mask"),
         listed("rejected").alias("rejected_mask"),
     )
-
-
-def pairs(turns: DataFrame) -> DataFrame:
-    return assemble(segments(turns))

@@ -96,8 +96,8 @@ def test_the_common_turns_come_once(spark):
     a, b = map(int, two.chosen_mask.split(":"))
     assert two.chosen[a:b] == "ünï<|end|>\n"
     assert got[3].n_prompt == 2 and got[3].chosen == got[3].rejected == ""
-    assert sorted(got) == [1, 2, 3, 4] and got[4].prompt.startswith("<|assistant|>\ntie") is False
-    assert got[4].n_prompt + got[4].n_chosen == 2
+    assert sorted(got) == [1, 2, 3, 4] and got[4].n_prompt == 0
+    assert got[4].chosen == "<|assistant|>\ntie<|end|>\n<|user|>\n<|end|>\n" and got[4].rejected == "<|user|>\n<|end|>\n"
 
 
 def test_long_conversations_are_put_together_in_order(spark):
