@@ -32,7 +32,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 50
 
 #: Kinds of text by pattern, the first that applies; else prose.
-TOPICS = {"licence": r"(?i)licen[sc]ed? under|copyright|all rights reserved", "table": r" \| \S+ \| ", "markup": r"</?[a-z][a-z0-9]*[ >]"}
+TOPICS = {"licence": r"[Ll]icen[sc]ed? under|[Cc]opyright|[Aa]ll [Rr]ights [Rr]eserved", "table": r" \| \S+ \| ", "markup": r"</?[a-z][a-z0-9]*[ >]"}
 
 
 @dataclasses.dataclass(frozen=True)
@@ -85,15 +85,19 @@ def rake(counts: Mapping[tuple[str, str, str], int], marginals: list[Mapping[str
     return dict(zip(keys, share.tolist(), strict=True))
 
 
-def weighted(docs: DataFrame, targets: Targets = DEFAULT, own: str = "mix_") -> DataFrame:
+def weighted(docs: DataFrame, targets: Targets = DEFAULT, own: str = "mix_", keep: list[str] | None = None) -> DataFrame:
     """docs with the columns source, lang, topic, words, weight, probability and sampled, the names
-    of which begin with `own`."""
+    of which begin with `own`. Where a few narrow columns of docs are all that is asked for (keep),
+    what texts give is written with them, and texts are read once rather than twice."""
     spark = docs.sparkSession
     lang, kind_of, words = f"{own}lang", f"{own}topic", f"{own}words"
     text = F.coalesce("text", F.lit(""))
     kind = topic(text)
-    rows = docs.withColumns({lang: _category("lang", targets.lang), kind_of: F.when(kind.isin(sorted(targets.topic)), kind).otherwise(F.lit(OTHER)), words: F.regexp_count(text, F.lit(WORD)).cast("long")})
-    counts = common.written(rows.groupBy("source", F.col(lang).alias("l"), F.col(kind_of).alias("t")).agg(F.sum(words).alias("n")), "mixing")
+    rows = docs.withColumns({lang: _category("lang", targets.lang), kind_of: F.when(kind.isin(sorted(targets.topic)), kind).otherwise(F.lit(OTHER)), words: F.regexp_count(text, F.lit(WORD)).cast("long"), f"{own}draw": draw(targets.seed), f"{own}given": F.col("source")})
+    if keep is not None:
+        rows = common.written(rows.select(*map(common.quoted, keep), lang, kind_of, words, f"{own}draw", f"{own}given"), "mixing-rows")
+    given = f"{own}given"
+    counts = common.written(rows.groupBy(F.col(given).alias("source"), F.col(lang).alias("l"), F.col(kind_of).alias("t")).agg(F.sum(words).alias("n")), "mixing")
     total = counts.agg(F.sum("n")).first()[0] or 0
     # at most 1 / source_cap sources
     large = [r.source for r in counts.where("source is not null").groupBy("source").agg(F.sum("n").alias("n")).where(F.col("n") > targets.source_cap * total).select("source").collect()]
@@ -107,9 +111,9 @@ def weighted(docs: DataFrame, targets: Targets = DEFAULT, own: str = "mix_") ->
     found = [(*k, weights.get(k, most), weights.get(k, most) / most) for k in cells]
     names = [f"{own}{x}" for x in ("source", "lang", "topic", "weight", "probability")]
     table = F.broadcast(spark.createDataFrame(found, ", ".join(f"`{n}` {t}" for n, t in zip(names, ["string"] * 3 + ["double"] * 2, strict=True))))
-    rows = rows.withColumn(names[0], source).join(table, names[:3])
-    columns = [*map(common.quoted, docs.columns), *names[:3], words, *names[3:]]
-    return rows.select(*columns).withColumn(f"{own}sampled", draw(targets.seed) < F.col(f"{own}probability"))
+    rows = rows.withColumn(names[0], _category(given, large)).join(table, names[:3])
+    columns = [*map(common.quoted, docs.columns if keep is None else keep), *names[:3], words, *names[3:]]
+    return rows.select(*columns, (F.col(f"{own}draw") < F.col(f"{own}probability")).alias(f"{own}sampled"))
 
 
 def draw(seed: int) -> Column:

@@ -18,7 +18,7 @@ def tokenizer() -> str:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the cell of each document, its words, weight and probability, and whether it is drawn."""
-    rows = mixing.weighted(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+    rows = mixing.weighted(documents(spark, sf_dir), keep=["doc_id"])
     return rows.select(
         "doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_words").alias("n_words"),
         F.round("mix_weight", 9).alias("weight"), F.round("mix_probability", 9).alias("probability"), F.col("mix_sampled").alias("sampled"),
