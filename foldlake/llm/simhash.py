@@ -200,7 +200,10 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed
     that share a doc_id are one document, and the one with the least text stays of them."""
     own = common.unused(docs.columns, "__head")
     heads = cluster(docs, radius, shingle, seed, tile).where("head").select(F.col("doc_id").alias(own)).distinct()
-    rows = docs.join(heads, docs["doc_id"].eqNullSafe(heads[own]), "left_semi")
-    # doc_id is not null twice or more only where rows repeat; the rows are already together by it
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return rows.withColumn(own, rank).where(F.col(own) == 1).drop(own)
+    # a null doc_id as a value and a flag, the same on both sides of the join and in the window, so that
+    # texts are dealt out once
+    key = [f"{own}_id", f"{own}_null"]
+    flagged = lambda df, c: df.withColumns({key[0]: F.coalesce(F.col(c), F.lit(0)), key[1]: F.col(c).isNull()})
+    rows = flagged(docs, "doc_id").join(flagged(heads, own).select(*key), key, "left_semi")
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("text"))
+    return rows.withColumn(own, rank).where(F.col(own) == 1).drop(own, *key)
