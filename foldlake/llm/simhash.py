@@ -11,7 +11,8 @@ in a table in the shared folder.
 
 Defined results: a null or empty text (no word) has fingerprint zero and is linked like any other;
 a text shorter than a shingle is hashed as one shingle; equal rows stay separate rows with the same
-component; a null doc_id keeps its row and never names a component that has another doc_id; an empty
+component; a null doc_id never names a component that has another doc_id; `keep_one` keeps one row of
+each component, whatever its doc_id, so unlike texts under one doc_id or none all stay; an empty
 table gives an empty result. Only doc_id and text are read, so other columns can't clash.
 """
 
@@ -60,16 +61,16 @@ def simhash(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of each row."""
+    """doc_id, fp (the 64 bits as a signed long), digest (of the text) of each row."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", 2000, 32 << 20):
             fps = np.fromiter((simhash(shingle_hashes(t.as_py(), shingle, seed)) for t in batch.column("text")), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("digest")], ["doc_id", "fp", "digest"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, f"doc_id {kind}, fp long, digest long")
 
 
 def quarters(fps: np.ndarray) -> np.ndarray:
@@ -178,32 +179,46 @@ def components(links: DataFrame) -> DataFrame:
         edges = common.written(small.union(low).distinct(), "links")
 
 
+def named(fps: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of fps (doc_id, fp and others) with component_id, root (by roots), and head: whether the row's
+    fingerprint and doc_id name its component. distinct has fp and least_id, the smallest doc_id of it."""
+    found = distinct.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    names = found.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull(), "least_id", "fp")).alias("name"))
+    found = found.join(names, "root").select("fp", "root", F.col("name.least_id").alias("component_id"), (F.col("name.fp") == F.col("fp")).alias("head"))
+    found = common.written(found, "components")
+    return fps.join(found, "fp").withColumn("head", F.col("head") & F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _rows(docs: DataFrame, radius: int, shingle: int, seed: int, tile: int) -> DataFrame:
+    fps = common.written(fingerprints(docs, shingle, seed), "fingerprints")
+    distinct = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    return named(fps, distinct, components(links(distinct.select("fp"), radius, tile)))
+
+
 def cluster(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE) -> DataFrame:
     """doc_id, fp, component_id, head (whether the row's fingerprint and doc_id name its component)
     for each row of docs."""
-    fps = common.written(fingerprints(docs, shingle, seed), "fingerprints")
-    distinct = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = components(links(distinct.select("fp"), radius, tile))
-    found = distinct.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = found.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull(), "least_id", "fp")).alias("name"))
-    found = found.join(named, "root").select("fp", F.col("name.least_id").alias("component_id"), (F.col("name.fp") == F.col("fp")).alias("head"))
-    found = common.written(found, "components")
-    return fps.join(found, "fp").select("doc_id", "fp", "component_id", (F.col("head") & F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("head"))
+    return _rows(docs, radius, shingle, seed, tile).select("doc_id", "fp", "component_id", "head")
 
 
 def fingerprint_hex(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the row that names it, once. Rows
-    that share a doc_id are one document, and the one with the least text stays of them."""
+def heads_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of each component of rows (doc_id, digest, root, head) one row of docs: a head, and of heads
+    with several texts the one with the smallest digest."""
     own = common.unused(docs.columns, "__head")
-    heads = cluster(docs, radius, shingle, seed, tile).where("head").select(F.col("doc_id").alias(own)).distinct()
-    # a null doc_id as a value and a flag, the same on both sides of the join and in the window, so that
-    # texts are dealt out once
-    key = [f"{own}_id", f"{own}_null"]
-    flagged = lambda df, c: df.withColumns({key[0]: F.coalesce(F.col(c), F.lit(0)), key[1]: F.col(c).isNull()})
-    rows = flagged(docs, "doc_id").join(flagged(heads, own).select(*key), key, "left_semi")
+    heads = rows.where("head").groupBy("root").agg(F.min(F.struct("digest", "doc_id")).alias("x")).select("x.*")
+    # a null doc_id as a value and a flag, and the text's digest: the same on both sides of the join and
+    # in the window, so that texts are dealt out once
+    key = [f"{own}_id", f"{own}_null", f"{own}_digest"]
+    keyed = lambda df, digest: df.withColumns({key[0]: F.coalesce(F.col("doc_id"), F.lit(0)), key[1]: F.col("doc_id").isNull(), key[2]: digest})
+    found = keyed(docs, F.xxhash64("text")).join(keyed(heads, F.col("digest")).select(*key), key, "left_semi")
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("text"))
-    return rows.withColumn(own, rank).where(F.col(own) == 1).drop(own, *key)
+    return found.withColumn(own, rank).where(F.col(own) == 1).drop(own, *key)
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component one row that names it."""
+    return heads_of(docs, _rows(docs, radius, shingle, seed, tile))

@@ -113,3 +113,10 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(1000 + i, 1000) for i in range(1, 50)], "a long, b long")
     roots = {r.fp: r.root for r in simhash.components(links).collect()}
     assert roots == {i: 0 for i in range(1, n + 1)} | {1000 + i: 1000 for i in range(1, 50)}
+
+
+def test_unlike_texts_stay_whatever_their_id(documents):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (None, c), (1, c), (2, d), (2, e), (2, e), (3, d)]
+    kept = simhash.keep_one(documents(rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(None, a), (None, b), (1, c), (2, d), (2, e)], key=repr)
