@@ -11,8 +11,11 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+#: What Arrow calls the schemes of Hadoop's file systems.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -32,10 +35,12 @@ def ship(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it
-    is unset, as in tests on one machine."""
+    is unset and all runs on one machine, as in tests."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: the driver and the executors have no folder to share")
         made = tempfile.mkdtemp(prefix="foldlake-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         sc.setCheckpointDir(made)
@@ -63,6 +68,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a path, and the path there."""
+    scheme, colon, rest = path.partition("://")
+    if not colon:
+        return fs.FileSystem.from_uri(path if path.startswith("file:") else os.path.abspath(path))
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+
+
 def unused(columns: list[str], stem: str) -> str:
     """A prefix for columns of one's own that none of the given ones begins with."""
     while any(c.lower().startswith(stem) for c in columns):

@@ -35,8 +35,6 @@ from . import common, tokens
 
 WINDOW = 1024
 END_ID = 0
-#: Counts (24 bytes each) of lengths in tasks that are broadcast; beyond that they are shuffled.
-BROADCAST_COUNTS = 200_000
 
 
 def fill(counts: dict[int, int], window: int) -> dict[int, int]:
@@ -150,25 +148,25 @@ def pieces(docs: DataFrame, spec: str, window: int = WINDOW, end_id: int = END_I
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task = tokens.encoder(shared.value), TaskContext.get().partitionId()
-        end, wide = np.array([end_id], "<u4").tobytes(), 4 * window
         ranks: Counter[int] = Counter()
-        for batch in common.slices(batches, "text", 2000, 8 << 20):
-            out: list[tuple] = []
-            rests: list[bytes | None] = []
-            at: list[int] = []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = np.frombuffer(own.encode(text), own.kind).astype("<u4").tobytes() + end
-                total = len(ids) // 4
-                for a in range(0, len(ids), wide):
-                    cut = ids[a : a + wide]
-                    length = len(cut) // 4
-                    at.append(i)
-                    out.append((a // 4, length, zlib.crc32(cut), total, task, ranks[length]))
-                    rests.append(np.frombuffer(cut, "<u4").astype(own.kind).tobytes() if length < window else None)
-                    ranks[length] += 1
-            columns = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 6
+        for batch in common.slices(batches, "text", tokens.ROWS, tokens.CHARS):
+            ids, bounds = own.encode(batch.column("text"), end_id)
+            totals = np.diff(bounds)
+            cuts = -(-totals // window)
+            at = np.repeat(np.arange(len(batch)), cuts)
+            start = (np.arange(len(at)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * window
+            length = np.minimum(totals[at] - start, window)
+            rank, crcs, rests = [], [], []
+            narrow, wide = memoryview(ids.tobytes()), memoryview(ids.astype("<u4").tobytes())
+            size = own.kind.itemsize
+            for a, n in zip((bounds[at] + start).tolist(), length.tolist(), strict=True):
+                crcs.append(zlib.crc32(wide[4 * a : 4 * (a + n)]))
+                rests.append(bytes(narrow[size * a : size * (a + n)]) if n < window else None)
+                rank.append(ranks[n])
+                ranks[n] += 1
+            columns = [pa.array(x, pa.int64()) for x in (start, length, crcs, totals[at], np.full(len(at), task), rank)]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank", "ids"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *columns, pa.array(rests, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), *columns, pa.array(rests, pa.binary())], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, task long, rank long, ids binary")
 
@@ -184,10 +182,9 @@ def pack(docs: DataFrame, spec: str, window: int = WINDOW, end_id: int = END_ID)
     # ranges of ranks: a few for each length up to the window
     shared = spark.sparkContext.broadcast(slots)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    small = by_task.count() <= BROADCAST_COUNTS
-    by_task = by_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("before"))
-    by_task = F.broadcast(by_task) if small else by_task
-    ranked = cut.join(by_task, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "task")
+    # a table of a known size: whether it is broadcast is for the planner's threshold to say
+    offsets = common.written(by_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("before")), "offsets")
+    ranked = cut.join(offsets, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "task")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,7 +59,8 @@ def op9_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eliasfano.read(eliasfano.write(documents(spark, sf_dir), tokenizer()))
+    docs = documents(spark, sf_dir)
+    return eliasfano.read(eliasfano.write(docs, tokenizer()), docs.schema["doc_id"].dataType.simpleString())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

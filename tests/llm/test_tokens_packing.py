@@ -1,8 +1,10 @@
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -14,30 +16,41 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 SPEC = tokens.read_spec(PATH)
 OWN = tokens.PieceEncoder(SPEC, 600)
 PLAIN = Tokenizer.from_file(PATH)
-PLAIN.encode_special_tokens = True
 
 
 def ids_of(text):
+    """By the library as it comes."""
     return PLAIN.encode(text or "", add_special_tokens=False).ids
 
 
+def own_ids(own, text):
+    return own.encode(pa.array([text]))[0].tolist()
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(list(" \n\t.,'s|* 　tre!éß0Aa<")), st.characters(exclude_categories=["Cs"])), max_size=80))
 def test_pieces_give_the_librarys_ids(text):
-    assert np.frombuffer(OWN.encode(text), OWN.kind).tolist() == ids_of(text)
+    assert own_ids(OWN, text) == ids_of(text)
+
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list(" \n\0a.b<|é")), max_size=30), st.sampled_from(["<|endoftext|>", "a <|endoftext|>b", "x" * 200, "a\n\nb", "a\n\n\nb"])), max_size=12))
+def test_a_batch_gives_each_texts_ids(texts):
+    ids, bounds = OWN.encode(pa.array(texts, pa.string()), 7)
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(bounds)] == [[*ids_of(t), 7] for t in texts]
+    assert len(OWN.pieces.new) + len(OWN.pieces.old) < 1500
 
-@pytest.mark.parametrize("text", ["a  b", "a \nb", "a\n b", "a\n\nb", "\n", " ", "a ", " a", "it's o'clock", "x  y", "<|endoftext|> a", "don't .. 'll 12 3", "\r\n a", "²½ x² Ⅷ", "a​b c"])
+
+@pytest.mark.parametrize("text", ["a  b", "a \nb", "a\n b", "a\n\nb", "\n", " ", "a ", " a", "it's o'clock", "x  y", "<|endoftext|> a", "don't .. 'll 12 3", "\r\n a", "²½ x² Ⅷ", "a​b c", "hello <|endoftext|> x", "a\n\nb", "\na", "a\n", "a\n b", "a\n\n b", "a\n\n\nb", "\0 a\0"])
 def test_edges_between_pieces(text):
-    assert np.frombuffer(OWN.encode(text), OWN.kind).tolist() == ids_of(text)
+    assert own_ids(OWN, text) == ids_of(text)
 
 
 def test_other_tokenizers_are_given_whole_texts():
     spec = tokens.read_spec(public_tokenizers.path("word_bpe_49k.json"))
     own = tokens.PieceEncoder(spec)
     plain = Tokenizer.from_str(spec)
-    plain.encode_special_tokens = True
-    assert np.frombuffer(own.encode("Some Text, here."), own.kind).tolist() == plain.encode("Some Text, here.", add_special_tokens=False).ids
+    assert own_ids(own, "Some Text, here.") == plain.encode("Some Text, here.", add_special_tokens=False).ids
 
 
 def rows_for_packing(odd_rows):
@@ -159,12 +172,20 @@ def test_token_files_round_trip(documents, odd_rows, tmp_path):
         assert file.document(i).tolist() == [*ids_of(texts[d]), 2]
 
 
+def test_token_files_of_other_doc_ids(spark):
+    for kind, names in (("string", [None, "", "a", "a", "b", "ü"]), ("int", [None, -(1 << 31), -1, 0, 5, (1 << 31) - 1]), ("bigint", [None, -(1 << 63), -1, 0, 5, (1 << 63) - 1])):
+        docs = spark.createDataFrame([(n, f"text {n}") for n in reversed(names)], f"doc_id {kind}, text string")
+        got = eliasfano.read(eliasfano.write(docs, SPEC, file_ids=8), kind).orderBy("start").collect()
+        assert [r.doc_id for r in got] == names
+        assert [r.n_tokens for r in got] == [len(ids_of(f"text {n}")) + 1 for n in names]
+
+
 def test_token_files_of_nothing(documents):
     assert eliasfano.read(eliasfano.write(documents([]), SPEC)).collect() == []
 
 
 def test_a_damaged_file_is_told():
-    data = bytearray(eliasfano.pack_file([1, 2], [2, 1], np.array([5, 6, 7], "<u2").tobytes(), 2))
+    data = bytearray(eliasfano.pack_file(pa.array([1, 2]), np.array([2, 1]), np.array([5, 6, 7], "<u2").tobytes(), 2))
     assert eliasfano.TokenFile(bytes(data)).document(1).tolist() == [7]
     data[-1] ^= 1
     with pytest.raises(ValueError):
