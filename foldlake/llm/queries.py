@@ -4,6 +4,7 @@ express them."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from secrets import token_bytes
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,6 +17,18 @@ def tokenizer() -> str:
     return tokens.read_spec(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: The session's setting for the surrogates' key (redacted where Spark shows settings).
+KEY_SETTING = "spark.foldlake.surrogate.secret"
+_OWN_KEY = token_bytes(32)
+
+
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The key that the session sets; without one a random key that ends with this process, so that
+    nobody can undo its surrogates, and no other run repeats them."""
+    given = spark.conf.get(KEY_SETTING, None)
+    return given.encode() if given else _OWN_KEY
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the cell of each document, its words, weight and probability, and whether it is drawn."""
     rows = mixing.weighted(documents(spark, sf_dir), keep=["doc_id"])
@@ -51,7 +64,7 @@ def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.entities(documents(spark, sf_dir))
+    return surrogates.entities(documents(spark, sf_dir), surrogate_key(spark))
 
 
 def op9_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,30 @@
-"""Surrogates for personal data: keyed, of the same type, script, gender mark and format.
+"""Surrogates for personal data: keyed, of the same type, gender, script and format.
 
 Entities are found by pattern: e-mail addresses, phone numbers, card and account numbers, IPv4
-addresses, social security numbers, IBANs, and names after an honorific (which gives the gender),
-with their later bare mentions in the same text. Each is replaced by format-preserving encryption: its characters are classed
-(digit, vowel or consonant of a script, case), the value is a number in the product of these
-classes, and a keyed Feistel network with cycle walking permutes that range. So equal entities get
-equal surrogates in all documents (coreference), and different ones never meet (distinctness),
-without a table of entities; length, casing, grouping, the script and a name's last letter, which
-marks gender in many languages, stay. What must hold of a type is kept on both sides of the
-permutation: a number that passes the Luhn check becomes another that does, and one that fails stays
-failing. `walk` checks for collisions with the original: where the permutation leaves a value as it
-is, a run of such values and its successor change places, which keeps all values distinct.
+addresses, social security numbers, IBANs, and names. A name is a run of capitalised words (particles
+and initials among them) after a title, which may tell the gender, or after a given name that is
+listed by gender; words of a name that stand by themselves elsewhere in the text are found too.
+
+Each value is replaced by format-preserving encryption: its characters are classed (digit, vowel or
+consonant of a script, case), the value is a number in the product of these classes, and a keyed
+Feistel network with cycle walking permutes that range. A listed given name becomes another one of
+its gender, script and length by a keyed permutation of these; other words become words that are not
+listed, of the same letters' classes, with the last letter kept, which marks gender in many languages.
+So equal values get equal surrogates in all documents (coreference), and different ones never meet
+(distinctness), without a table of entities; length, casing, grouping and script stay. What must hold
+of a type is kept on both sides of the permutation: a number that passes the Luhn check becomes
+another that does, and one that fails stays failing. `walk` checks for collisions with the original:
+where the permutation leaves a value as it is, a run of such values and its successor change places.
+`replaced` checks for collisions in a text: a surrogate that stands in the text as a value or word of
+its own, or that another value of the text has, is left for the next one of that value; so a value
+keeps its surrogate in all documents but such ones.
+
+The key is the caller's: who has it can undo the surrogates. There is no default.
 
 Defined results: a null text stays null with no entities, an empty one empty; texts without entities
-come back as they are; equal rows get equal results; an empty table gives an empty result. Other
-columns are left alone by `replace`, whatever their names; n_chars stays right as lengths do.
+come back as they are; equal rows get equal results; an empty table gives an empty result; a text's
+time and memory grow with its length and its entities. Other columns are left alone by `replace`,
+whatever their names; n_chars stays right as lengths do.
 """
 
 from __future__ import annotations
@@ -31,14 +41,33 @@ from pyspark.sql import DataFrame
 from . import common
 
 KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "name")
-DEFAULT_KEY = b"foldlake surrogate key"
+#: Surrogates that a value may try in a text before one of them is taken whatever stands there.
+TRIES = 50
 
-# Honorifics by the gender they mark.
+# Titles by the gender they mark, and those that mark none.
 HONORIFICS = {
-    "m": ["Mr", "Mr.", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr.", "господин", "г-н", "κύριος", "κ."],
-    "f": ["Mrs", "Mrs.", "Ms", "Ms.", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra.", "Srta.", "госпожа", "г-жа", "κυρία"],
+    "m": ["Mr", "Mr.", "Mister", "Sir", "Lord", "Herr", "Herrn", "Monsieur", "M.", "Señor", "Sr.", "Don", "Signor", "господин", "г-н", "κύριος", "κ."],
+    "f": ["Mrs", "Mrs.", "Ms", "Ms.", "Miss", "Madam", "Lady", "Frau", "Madame", "Mme", "Mme.", "Mlle", "Mademoiselle", "Señora", "Señorita", "Sra.", "Srta.", "Doña", "Signora", "госпожа", "г-жа", "κυρία", "κα"],
+    "": ["Dr", "Dr.", "Doctor", "Prof", "Prof.", "Professor", "Professorin", "Mx", "Mx.", "Rev.", "Docteur", "Doktor", "Dra.", "Profesor", "Profesora"],
 }
-_GENDER = {h: g for g, hs in HONORIFICS.items() for h in hs}
+# Given names by gender.
+GIVEN = {
+    "m": "Adam Alan Alberto Alexander Alfred Andreas Andrew Anton Antonio Arthur Benjamin Bernd Brian Carlos Charles Christian Christopher Claude Daniel David Diego Dieter Edward Emil Enrique Eric "
+    "Fernando Francisco Frank François Fritz George Gerhard Guillaume Hans Heinrich Henri Henry Jacques James Javier Jean Johann John Jonathan Jorge Joseph José Juan Karl Kevin Klaus Lars Louis Luis "
+    "Manuel Martin Matthew Michael Michel Miguel Nicolas Oliver Oscar Pablo Patrick Paul Pedro Peter Philippe Pierre Rafael Richard Robert Sebastian Stefan Stephen Thomas Walter Werner William Wolfgang "
+    "Иван Пётр Павел Сергей Андрей Дмитрий Николай Алексей Михаил Владимир Борис Юрий Γιώργος Νίκος Δημήτρης Κώστας Γιάννης Πέτρος",
+    "f": "Alice Amelia Amélie Ana Andrea Angela Anna Anne Barbara Beatriz Brigitte Camille Carmen Carolina Caroline Catherine Charlotte Christine Claire Claudia Daniela Dolores Dorothy Elena Eleanor "
+    "Elisabeth Elizabeth Emily Emma Erika Eva Françoise Gabriela Gisela Greta Hannah Heike Helen Helga Ingrid Isabel Isabelle Jane Jennifer Jessica Joan Johanna Julia Juliette Karin Katharina Laura "
+    "Linda Lisa Lucía Madeleine Margaret Maria Marie Marta Martha Mary Michelle Monika Monique Mónica Nancy Nathalie Patricia Petra Pilar Rachel Rebecca Renate Rosa Ruth Sabine Sandra Sara Sarah "
+    "Sofía Sophie Susan Susanne Teresa Ursula Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана Екатерина Юлия Μαρία Ελένη Κατερίνα Σοφία Άννα Ειρήνη",
+}
+# Words in lower case that stand inside a name, and capitalised words that end one.
+PARTICLES = "von van der den de del della di da du la le el y al bin ibn zu zur"
+ENDS = "The A An And Or In On At He She It They We I Der Die Das Und Er Sie Es Wir Ich Le La Les Un Une Et Il Elle Nous El Los Las Una Y Monday Tuesday Wednesday Thursday Friday Saturday Sunday Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag"
+
+_GENDER = {t: g for g, hs in HONORIFICS.items() for h in hs for t in (h, h.upper())}
+_GIVEN = {n: g for g, names in GIVEN.items() for n in names.split()}
+_STOPS = {t for w in ENDS.split() for t in (w, w.upper())}
 
 _EMAIL = re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -47,7 +76,12 @@ _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0
 _CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)", re.ASCII)
 _PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?|\(\d{2,4}\)[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])", re.ASCII)
 _DIGIT = re.compile("[0-9]")
-_NAME = re.compile(r"(?<!\w)(" + "|".join(re.escape(h) for h in sorted(_GENDER, key=len, reverse=True)) + r") ([^\W\d_]+(?:[ -][^\W\d_]+){0,2})")
+_WORD = r"(?:[^\W\d_]\.|[^\W\d_]+(?:['’-][^\W\d_]+)*)"
+_TITLE = "|".join(re.escape(h) for h in sorted(_GENDER, key=len, reverse=True))
+_LISTED = "|".join(sorted((t for n in _GIVEN for t in (n, n.upper())), key=len, reverse=True))
+_NAME = re.compile(rf"(?<!\w)(?:((?:(?:{_TITLE})(?!\w)\s{{1,3}})+)|(?=(?:{_LISTED})[ \xa0]))({_WORD}(?:[ \xa0](?:(?:{PARTICLES.replace(' ', '|')})[ \xa0]){{0,3}}{_WORD}){{0,4}})")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_PARTICLES = frozenset(PARTICLES.split())
 
 # Letters that change for one another, in lower case: vowels and consonants of a script.
 _ALPHABETS = [
@@ -201,10 +235,30 @@ def _iban(text: str, cipher: Cipher) -> str:
     return f"{out[:2]}{98 - _iban_rest(out[:2] + '00' + out[4:]):02d}{out[4:]}"
 
 
+def _script(c: str) -> str:
+    return "greek" if "Ͱ" <= c <= "Ͽ" else "cyrillic" if "Ѐ" <= c <= "ӿ" else "latin"
+
+
+_PEERS: dict[tuple[str, str, int], list[str]] = {}
+for _n, _g in sorted(_GIVEN.items()):
+    _PEERS.setdefault((_g, _script(_n[0]), len(_n)), []).append(_n)
+
+
+def _peers(text: str) -> list[str]:
+    """The given names of the same gender, script and length as a listed one."""
+    return _PEERS.get((_GIVEN.get(text, "?"), _script(text[0]), len(text)), [])
+
+
 def _name(text: str, cipher: Cipher) -> str:
-    """One word of a name; its last letter stays where there are others."""
+    """One word of a name. A listed given name with a peer becomes one; any other word becomes one
+    that is not listed, its last letter staying where there are others."""
+    if text.isupper() and len(text) > 1 and (plain := text.capitalize()).upper() == text:
+        new = _name(plain, cipher)
+        return new.upper() if len(new.upper()) == len(text) else new
+    if len(peers := _peers(text)) > 1:
+        return peers[cipher.walk(peers.index(text), len(peers), f"given{peers[0]}".encode())]
     free = _free(text, 0, len(text) - 1) or _free(text)
-    return _mixed(text, free, cipher, f"name{text[-1]}")
+    return _mixed(text, free, cipher, f"name{text[-1]}", lambda t: len(_peers(t)) < 2)
 
 
 _MAKE = {"email": _email, "phone": _phone, "card": _card, "ip": _ip, "ssn": _ssn, "iban": _iban, "name": _name}
@@ -223,38 +277,75 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             if not any(taken[a:b]):
                 taken[a:b] = b"\1" * (b - a)
                 found.append((a, b, kind, ""))
-    if any(h in text for h in _GENDER):
-        names: dict[str, str] = {}
-        for m in _NAME.finditer(text):
-            for word in re.finditer(r"[^\W\d_]+", m[2]):
-                if not word[0][0].isupper():
-                    break
-                names.setdefault(word[0], _GENDER[m[1]])
-        if names:
-            own = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, names), key=len, reverse=True)) + r")(?!\w)")
-            taken = taken or bytearray(len(text))
-            found += [(*m.span(), "name", names[m[0]]) for m in own.finditer(text) if m[0] not in _GENDER and not any(taken[m.start() : m.end()])]
+    names: dict[str, str] = {}
+    for gender, words in _named(text):
+        for word in words:
+            names[word] = names.get(word) or gender
+    if names:
+        taken = taken or bytearray(len(text))
+        for m in _LETTERS.finditer(text):
+            if m[0] in names and not any(taken[m.start() : m.end()]):
+                found.append((*m.span(), "name", names[m[0]]))
     return sorted(found)
 
 
+def _named(text: str) -> Iterator[tuple[str, list[str]]]:
+    """The gender (or "") and the words of each name that a title or a listed given name begins."""
+    at = 0
+    while m := _NAME.search(text, at):
+        words: list[str] = []
+        stop = m.start(2)
+        for w in re.finditer(r"[^\s\xa0]+", m[2]):
+            word = w[0].rstrip(".")
+            full = w[0] if w[0] in _GENDER else word
+            if word in _PARTICLES:
+                continue
+            # what follows the name: another title, a small word, a word at the head of a sentence
+            if not word[0].isupper() or full in _GENDER or f"{full}." in _GENDER or word in _STOPS:
+                break
+            words += [x for x in _LETTERS.findall(word) if x[0].isupper()]
+            stop = m.start(2) + w.end()
+        titles = m[1].split() if m[1] else []
+        gender = next((g for t in titles if (g := _GENDER[t])), "")
+        if words and (titles or stop > m.start(2) + len(words[0])):
+            listed = words[0].capitalize() if words[0].isupper() else words[0]
+            # an initial by itself is no name that could be found again
+            yield gender or _GIVEN.get(listed, ""), [w for w in words if len(w) > 1] or words
+        at = max(stop, m.start(2)) if stop > m.start() else m.end()
+
+
 @lru_cache(maxsize=100_000)
-def surrogate(kind: str, value: str, key: bytes = DEFAULT_KEY) -> str:
-    return _MAKE[kind](value, Cipher(key))
+def surrogate(kind: str, value: str, key: bytes, turn: int = 0) -> str:
+    """The surrogate of a value; with a turn above zero, another one."""
+    return _MAKE[kind](value, Cipher(key if not turn else hmac.digest(key, turn.to_bytes(4, "big"), hashlib.sha256)))
 
 
-def replaced(text: str | None, key: bytes = DEFAULT_KEY) -> tuple[str | None, list[tuple[int, int, str, str]]]:
+def replaced(text: str | None, key: bytes) -> tuple[str | None, list[tuple[int, int, str, str]]]:
     """The text with surrogates, and the spans (the same in both texts)."""
     if not text or not (spans := find(text)):
         return text, []
+    present = {text[a:b] for a, b, _, _ in spans}
+    if any(kind == "name" for _, _, kind, _ in spans):
+        present.update(_LETTERS.findall(text))
+    own: dict[tuple[str, str], str] = {}
+    used: set[str] = set()
     out, at = [], 0
     for start, end, kind, _ in spans:
-        out += [text[at:start], surrogate(kind, text[start:end], key)]
+        value = text[start:end]
+        if (new := own.get((kind, value))) is None:
+            for turn in range(TRIES):
+                new = surrogate(kind, value, key, turn)
+                if new not in present and new not in used:
+                    break
+            own[kind, value] = new
+            used.add(new)
+        out += [text[at:start], new]
         at = end
     return "".join([*out, text[at:]]), spans
 
 
-def entities(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """doc_id, text (with surrogates), n_entities, a count for each kind, and spans
+def entities(docs: DataFrame, key: bytes) -> DataFrame:
+    """doc_id, text (with surrogates by the caller's key), n_entities, a count for each kind, and spans
     (kind:start:end, comma-joined, in code points, end exclusive)."""
     common.ship(docs.sparkSession)
 
@@ -273,8 +364,8 @@ def entities(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text string, n_entities long, {counts}, spans string")
 
 
-def replace(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """docs with surrogates in text and all other columns as they are."""
+def replace(docs: DataFrame, key: bytes) -> DataFrame:
+    """docs with surrogates by the caller's key in text and all other columns as they are."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
