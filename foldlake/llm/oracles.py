@@ -11,20 +11,27 @@ def _quoted(text: str) -> str:
 
 def mixing_sql(targets: mixing.Targets = mixing.DEFAULT) -> str:
     """Cells, raking as a recursion over rounds, and the draw."""
-    topic = " ".join(f"WHEN regexp_matches(coalesce(text, ''), {_quoted(p)}) THEN {_quoted(n)}" for n, p in mixing.TOPICS.items())
+    counts = {name: f"len(regexp_extract_all(found, {_quoted(p)}))" for name, p in mixing.TOPICS.items()}
+    topic = f"CASE WHEN most = 0 OR most * {mixing.DENSITY} < n_words THEN '{mixing.GENERAL}' " + " ".join(f"WHEN {c} = most THEN '{n}'" for n, c in counts.items()) + " END"
     named = lambda column, shares: f"CASE WHEN {column} IN ({', '.join(map(_quoted, shares))}) THEN {column} ELSE '{mixing.OTHER}' END"
-    wanted = lambda column, shares: "CASE " + column + "".join(f" WHEN {_quoted(k)} THEN {v!r}" for k, v in shares.items()) + " ELSE actual END"
-    cap = targets.source_cap
+    wanted = lambda column, shares: "CASE " + column + "".join(f" WHEN {_quoted(k)} THEN {'actual' if v is None else repr(v)}" for k, v in shares.items()) + " ELSE actual END"
+    cap, floor, power = targets.source_cap, targets.source_floor, targets.source_power
     step = lambda inner, column, table: f"(SELECT it, s, l, t, share * wanted / sum(share) OVER (PARTITION BY {column}) AS share FROM ({inner}) JOIN {table} USING ({column}))"
     one = step(step(step("SELECT it, s, l, t, share FROM ipf", "s", "ws"), "l", "wl"), "t", "wt")
     return f"""
-    WITH RECURSIVE d0 AS (SELECT doc_id, source, text, {named("lang", targets.lang)} AS l, CASE {topic} ELSE 'prose' END AS topic, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_words FROM documents),
-    d1 AS (SELECT *, {named("topic", targets.topic)} AS t FROM d0),
-    large AS (SELECT source FROM d1 WHERE source IS NOT NULL GROUP BY source HAVING sum(n_words) > {cap} * (SELECT sum(n_words) FROM d1)),
+    WITH RECURSIVE d0 AS (SELECT doc_id, source, text, {named("lang", targets.lang)} AS l, array_to_string(regexp_extract_all(coalesce(text, ''), {_quoted(mixing.EVIDENCE)}), ' ') AS found,
+        len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_words FROM documents),
+    dt AS (SELECT *, {topic} AS topic FROM (SELECT *, greatest({", ".join(counts.values())}) AS most FROM d0)),
+    d1 AS (SELECT *, {named("topic", targets.topic)} AS t FROM dt),
+    large AS (SELECT source FROM d1 WHERE source IS NOT NULL GROUP BY source HAVING sum(n_words) > 0 AND sum(n_words) >= {floor} * (SELECT sum(n_words) FROM d1)),
     d AS (SELECT *, CASE WHEN source IN (SELECT source FROM large) THEN source ELSE '{mixing.OTHER}' END AS s FROM d1),
     cells AS (SELECT s, l, t, sum(n_words) AS n FROM d GROUP BY ALL),
     x AS (SELECT s, l, t, n::DOUBLE / (SELECT sum(n) FROM cells) AS share FROM cells WHERE n > 0),
-    ws AS (SELECT s, w / sum(w) OVER () AS wanted FROM (SELECT DISTINCT s, CASE WHEN s = '{mixing.OTHER}' THEN greatest(0.0, 1 - {cap} * (SELECT count(*) FROM large)) ELSE {cap} END::DOUBLE AS w FROM x)),
+    s0 AS (SELECT s, sum(share) AS share FROM x GROUP BY s),
+    s1 AS (SELECT s, CASE WHEN s = '{mixing.OTHER}' THEN share ELSE share ** {power} / sum(share ** {power}) FILTER (s <> '{mixing.OTHER}') OVER () * sum(share) FILTER (s <> '{mixing.OTHER}') OVER () END AS w FROM s0),
+    s2 AS (SELECT s, w, s = '{mixing.OTHER}' OR w < {cap} AS free FROM s1),
+    s3 AS (SELECT s, CASE WHEN free THEN w * (1 + coalesce(sum(w - {cap}) FILTER (NOT free) OVER (), 0) / sum(w) FILTER (free) OVER ()) ELSE {cap} END AS w FROM s2),
+    ws AS (SELECT s, w / sum(w) OVER () AS wanted FROM s3),
     wl AS (SELECT l, w / sum(w) OVER () AS wanted FROM (SELECT l, ({wanted("l", targets.lang)})::DOUBLE AS w FROM (SELECT l, sum(share) AS actual FROM x GROUP BY l))),
     wt AS (SELECT t, w / sum(w) OVER () AS wanted FROM (SELECT t, ({wanted("t", targets.topic)})::DOUBLE AS w FROM (SELECT t, sum(share) AS actual FROM x GROUP BY t))),
     ipf AS (SELECT 0 AS it, s, l, t, share FROM x UNION ALL SELECT it + 1, s, l, t, share FROM {one} WHERE it < {targets.rounds}),

@@ -139,6 +139,32 @@ def test_a_hot_source_comes_down(documents):
     assert sorted(r.doc_id for r in mixing.sample(docs).collect()) == sorted(r.doc_id for r in got)
 
 
+def test_topics_and_sources(documents):
+    texts = {
+        "law": "Licensed under the contract, the court said", "technology": "the software and its algorithm, a password", "records": "a | b | c 123456", "general": "nothing of the kind, dislicensed",
+        "finance": "Der Markt und die Bank", "health": "le patient et la clinique",
+    }
+    rows = [(i, t, "en", f"s{i % 3}") for i, t in enumerate(texts.values())]
+    got = {r.text: r for r in mixing.weighted(documents(rows)).collect()}
+    assert {n: got[t].mix_topic for n, t in texts.items()} == {n: n for n in texts}
+    assert {r.mix_source for r in got.values()} == {"s0", "s1", "s2"}
+    one = mixing.weighted(documents([(1, "court " + "word " * 500, "en", "s")])).first()
+    assert one.mix_topic == "general"
+
+
+def test_targets_of_sources_are_levelled_and_capped():
+    got = mixing.levelled({"a": 0.64, "b": 0.04, "c": 0.04, "*": 0.28}, mixing.DEFAULT)
+    assert got["a"] == 0.2 and np.isclose(sum(got.values()), 1) and np.isclose(got["b"], got["c"]) and got["b"] > 0.1
+    assert mixing.levelled({"*": 1.0}, mixing.DEFAULT) == {"*": 1.0}
+    named = mixing.Targets(lang={}, topic={}, source={"a": 0.5, "b": 0.5})
+    assert mixing.levelled({"a": 0.9, "b": 0.1}, named) == {"a": 0.5, "b": 0.5}
+
+
+def test_marginals_that_cant_be_met_are_told():
+    with pytest.warns(UserWarning, match="missed"):
+        mixing.rake({("a", "x", "p"): 5, ("b", "y", "p"): 5}, [{"a": 0.9, "b": 0.1}, {"x": 0.1, "y": 0.9}, {}])
+
+
 def test_mixing_odd_rows(documents, odd_rows):
     docs = documents(odd_rows)
     got = mixing.weighted(docs, own="own_").collect()
