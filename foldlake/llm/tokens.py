@@ -23,10 +23,10 @@ import regex
 from tokenizers import Tokenizer
 
 #: Pieces that a worker's table holds about.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 600_000
 
 #: Rows and bytes of text that are encoded at once.
-ROWS, CHARS = 4000, 12 << 20
+ROWS, CHARS = 2500, 8 << 20
 
 # How byte-level tokenizers cut a text, and the characters that stand for its
 # bytes, and the bytes that UTF-8 never has.
