@@ -11,7 +11,25 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from foldlake.functions.sizes import divide, first_non_empty
 
 MIB = 1 << 20
-HEADLINES = ("decode", "encode")
+
+# The groups of a report in the order in which they are declared.
+GROUPS = [
+    "container parse", "lzma2 single-stream", "lzma2 parallel", "lzma2 near-incompressible", "lzma", "memory budget", "decode ledger", "solid vs non-solid", "aes-256", "filters", "ppmd (secondary)",
+    "encode", "encode bcj2", "encode aes-256",
+]
+# What charts call groups; trees and a chart's headline are told by more than the group.
+CHART_NAMES = {
+    "lzma2 single-stream": "LZMA2", "lzma2 parallel": "LZMA2", "lzma2 near-incompressible": "LZMA2", "lzma": "LZMA", "stored": "Stored", "aes-256": "AES-256", "encode aes-256": "AES-256",
+    "filters": "BCJ / BCJ2 / delta", "ppmd (secondary)": "PPMd", "encode bcj2": "BCJ2",
+}
+# The numbers of a decode's ledger that a summary has as they are, the largest of a
+# run's, and all series of a summary.
+LEDGER_MAXIMA = ["threads", "worker_threads", "budget_bytes", "dictionary_bytes"]
+LEDGER_SERIES = [
+    "peak_held_bytes", "peak_queue_bytes", "peak_queue_capacity_bytes", "peak_spill_bytes", "peak_total_bytes", "peak_runs_out", "peak_runs_pending", "runs", "chase_bytes", "wave_count",
+    "refused_feeds", "refused_at_boundary", "refused_at_boundary_busy", "refused_mid_run", "refused_run_pending", "gate_refusals", "backlog_stops", "waits",
+]
+LEDGER_DERIVED = ["rss", "dictionaries", "touched", "nominal", "remainder", "runs_per_wave", "wait_seconds", "idle_worker_seconds", "mean_runs_out_asleep"]
 
 
 def stat(x: Column) -> Column:
@@ -67,15 +85,36 @@ def ratios(summary: DataFrame) -> DataFrame:
     )
 
 
-def category(group: Column, scenario: Column) -> Column:
-    """The chart a scenario belongs to."""
-    return (
-        F.when(group.isin("decode", "encode"), group)
-        .when(scenario.endswith("-list") | group.startswith("list"), "list")
-        .when(scenario.contains("aes"), "encryption")
-        .when(scenario.contains("bcj") | scenario.contains("delta"), "filters")
-        .otherwise(first_non_empty(group, F.lit("other")))
+def category(group: Column, scenario: Column, threads: Column) -> Column:
+    """The bars of a chart that a scenario is averaged into: the kind of work, and whether one thread
+    does it. Trees are told by their ids, and extraction through one stream is a kind of its own."""
+    tree = F.when(scenario.contains("nonsolid") | scenario.contains("non-solid"), "Non-solid trees").otherwise("Solid trees")
+    named = F.lit(None).cast("string")
+    for key, name in reversed(CHART_NAMES.items()):
+        named = F.when(group == key, name).otherwise(named)
+    kind = (
+        F.when(scenario.endswith("/stream"), "Streamed extract")
+        .when((group == "encode") & scenario.startswith("encode/payload-sub/"), "LZMA2")
+        .when(group.isin("encode", "solid vs non-solid"), tree)
+        .otherwise(F.coalesce(named, group))
     )
+    return F.when(group == "container parse", "Listing").otherwise(F.concat(kind, F.when(threads == "1", ", 1 thread").otherwise(", multi-thread")))
+
+
+def chart_op(op: Column) -> Column:
+    """The chart that a scenario belongs on: lists stand with decodes."""
+    return F.when(op == "encode", op).otherwise("decode")
+
+
+def excluded(group: Column, adaptive: Column, memory_limit: Column) -> Column:
+    """Whether a scenario stays off the charts' categories: it measures a bound, or repeats another."""
+    return group.isin("memory budget", "decode ledger") | F.coalesce(adaptive, F.lit(False)) | (F.coalesce(memory_limit, F.lit(0)) != 0)
+
+
+def headline(group: Column, op: Column, adaptive: Column, memory_limit: Column) -> Column:
+    """The headline that a scenario counts in (`All decode`, `All encode`), or null."""
+    off = (group == "memory budget") | F.coalesce(adaptive, F.lit(False)) | (F.coalesce(memory_limit, F.lit(0)) != 0)
+    return F.when(~off & op.isin("decode", "encode"), F.concat(F.lit("All "), op))
 
 
 def geomean(x: Column) -> Column:
@@ -83,25 +122,42 @@ def geomean(x: Column) -> Column:
     return F.exp(F.avg(F.when(x > 0, F.ln(x))))
 
 
-def geomeans_by_category(ratios: DataFrame, value: str = "wall") -> DataFrame:
-    """category, variant, hosts, mean: a geometric mean for each host, and theirs over hosts, for
-    categories in which every host has the same scenarios. ratios: host, category, variant,
-    scenario and the value."""
-    rows = ratios.where(F.col(value) > 0)
-    each = rows.groupBy("category", "variant", "host").agg(geomean(F.col(value)).alias("mean"), F.array_join(F.sort_array(F.collect_set("scenario")), "\n").alias("scenarios"))
-    out = each.groupBy("category", "variant").agg(geomean(F.col("mean")).alias("mean"), F.count("*").alias("hosts"), F.countDistinct("scenarios").alias("sets"))
-    return out.where("sets = 1").drop("sets")
+def geomeans_by_category(ratios: DataFrame, values: tuple[str, ...] = ("wall",), hosts: DataFrame | None = None) -> DataFrame:
+    """category, variant, hosts, scenarios and the mean of each value (mean, and mean_x of the others):
+    a geometric mean for each host, and theirs over hosts, where every host has the same scenarios.
+    ratios: host, category, variant, scenario and the values; a scenario counts if it has them all.
+    hosts: all that reported, those of ratios if none are given."""
+    rows = ratios
+    for v in values:
+        rows = rows.where(F.col(v) > 0)
+    means = {v: "mean" if i == 0 else f"mean_{v}" for i, v in enumerate(values)}
+    each = rows.groupBy("category", "variant", "host").agg(*[geomean(F.col(v)).alias(m) for v, m in means.items()], F.sort_array(F.collect_list("scenario")).alias("ids"))
+    out = each.groupBy("category", "variant").agg(*[geomean(F.col(m)).alias(m) for m in means.values()], F.count("*").alias("hosts"), F.first(F.size("ids")).cast("long").alias("scenarios"), F.countDistinct("ids").alias("sets"))
+    reported = (ratios if hosts is None else hosts).agg(F.countDistinct("host")).scalar()
+    return out.where((F.col("sets") == 1) & (F.col("hosts") == reported)).drop("sets")
+
+
+def chart_order(bars: DataFrame, lead: str = "mean") -> DataFrame:
+    """bars (chart, category, first_seen, and the mean of the tool that leads, null if it has no bar)
+    with position: the headline first, then best first and, where means are equal, first seen first.
+    A chart without its headline is in first-seen order."""
+    head = F.col("category") == F.concat(F.lit("All "), F.col("chart"))
+    has = F.max(head).over(Window.partitionBy("chart"))
+    order = Window.partitionBy("chart").orderBy(F.col("head").desc(), F.when(F.col("has") & ~F.col("head"), F.coalesce(lead, F.lit(0.0))).desc(), "first_seen")
+    return bars.withColumn("head", head).withColumn("has", has).withColumn("position", F.row_number().over(order) - 1).drop("head", "has")
 
 
-def chart_order(categories: DataFrame) -> DataFrame:
-    """Categories best first, the headlines before all."""
-    return categories.orderBy(F.col("category").isin(*HEADLINES).desc(), F.col("mean").desc(), "category")
+def in_group_order(rows: DataFrame, by: str, seen: str, groups: list[str] = GROUPS) -> DataFrame:
+    """rows with position in each `by`: groups as they are declared, an undeclared one with the first,
+    and rows of a group in the order in which they were seen."""
+    at = F.array_position(F.array(*map(F.lit, groups)), F.col("group"))
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(F.greatest(at, F.lit(1)), seen)) - 1)
 
 
 def common_scenarios(runs: DataFrame) -> DataFrame:
     """scenario, common: whether every host ran it."""
-    hosts = runs.select("host").distinct().count()
-    return runs.groupBy("scenario").agg((F.countDistinct("host") == hosts).alias("common"))
+    hosts = runs.agg(F.countDistinct("host")).scalar()
+    return runs.groupBy("scenario").agg(F.countDistinct("host").alias("n")).select("scenario", (F.col("n") == hosts).alias("common"))
 
 
 def workload_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -163,6 +219,35 @@ def ledger_idle(ledgers: DataFrame) -> DataFrame:
     return out.select("id", "slept", "idle", divide(F.col("busy_time").cast("double"), F.col("slept").cast("double")).alias("mean_busy"))
 
 
+def ledger_summary(runs: DataFrame) -> DataFrame:
+    """One row for each scenario and variant of which a run that went well has a ledger: the largest
+    of four numbers, median, min, max and n of each series, and the waves and waits of the first such
+    run. runs: scenario, variant, seq, status, max_rss_bytes, and ledger_x for the blocks, the maxima,
+    the series, wave_runs, wave_runs_out and wait_nanos_by_runs_out."""
+    get = lambda name: F.coalesce(F.col(f"ledger_{name}").cast("double"), F.lit(0.0))
+    rows = runs.where("status = 'ok' and coalesce(ledger_blocks, 0) <> 0")
+    slept = F.transform(F.coalesce("ledger_wait_nanos_by_runs_out", F.array().cast("array<long>")), lambda n, busy: F.struct((n / 1e9).alias("s"), busy.cast("double").alias("busy")))
+    total = lambda value: F.aggregate("slept", F.lit(0.0), lambda acc, x: acc + value(x))
+    rows = rows.withColumns({"slept": slept, "rss": F.col("max_rss_bytes").cast("double"), "dictionaries": F.when(get("chase_bytes") > 0, get("dictionary_bytes")).otherwise(0.0)})
+    rows = rows.withColumns({
+        "touched": F.least("dictionaries", get("chase_bytes")),
+        "nominal": get("dictionary_bytes") * (get("worker_threads") + F.when(get("chase_bytes") > 0, 1.0).otherwise(0.0)),
+        "remainder": F.col("rss") - get("peak_total_bytes") - F.col("dictionaries"),
+        "runs_per_wave": F.when(get("wave_count") > 0, get("runs") / get("wave_count")),
+        "wait_seconds": total(lambda x: x["s"]),
+        "idle_worker_seconds": total(lambda x: x["s"] * F.greatest(get("threads") - x["busy"], F.lit(0.0))),
+        "busy_seconds": total(lambda x: x["s"] * x["busy"]),
+    })
+    rows = rows.withColumn("mean_runs_out_asleep", F.when(F.col("wait_seconds") > 0, F.col("busy_seconds") / F.col("wait_seconds")))
+    first = lambda c: F.min_by(c, "seq")
+    return rows.groupBy("scenario", "variant").agg(
+        *[F.max(get(x)).cast("long").alias(x) for x in LEDGER_MAXIMA],
+        *[stat(get(x)).alias(x) for x in LEDGER_SERIES],
+        *[stat(F.col(x)).alias(x) for x in LEDGER_DERIVED],
+        first(F.col("ledger_wave_runs")).alias("wave_runs"), first(F.col("ledger_wave_runs_out")).alias("wave_runs_out"), first(F.transform("slept", lambda x: x["s"])).alias("wait_seconds_by_runs_out"),
+    )
+
+
 def accumulate_ledgers(ledgers: DataFrame, peaks: list[str], counts: list[str]) -> DataFrame:
     """A reader's ledger over its blocks: peaks by their largest, counts by their sum."""
     return ledgers.groupBy("reader").agg(*[F.max(c).alias(c) for c in peaks], *[F.sum(c).alias(c) for c in counts])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Coders of a block at most; also the most steps from its output to an input.
@@ -38,20 +41,45 @@ def roots(blocks: DataFrame) -> DataFrame:
     return rows.where(~F.exists("bound", lambda b: b == F.col("coder_index"))).drop("c", "bound")
 
 
+def _longest(pairs: list[tuple[int, int]], root: list[int], steps: int) -> dict[int, int]:
+    """The longest way from the roots to each coder within so many steps. pairs: (reader, writer)."""
+    out: dict[int, list[int]] = {}
+    for reader, writer in pairs:
+        out.setdefault(reader, []).append(writer)
+    found, reached = dict.fromkeys(root, 0), set(root)
+    for step in range(1, steps + 1):
+        reached = {w for r in reached for w in out.get(r, ())}
+        if not reached:
+            break
+        found |= dict.fromkeys(reached, step)
+    return found
+
+
 def depths(blocks: DataFrame, max_depth: int = MAX_CODERS) -> DataFrame:
     """archive_id, block_index, coder_index, depth: the longest way from the block's output to each
-    coder that it reaches. A coder deeper than there are coders is on a cycle. One step is one join;
-    the steps end when no coder is reached any more, at the bound on coders at the latest."""
-    e = edges(blocks)
-    reached = roots(blocks).withColumn("depth", F.lit(0))
-    found, step = reached, 0
-    most = blocks.select(F.max(F.size("coders"))).first()[0] or 0
-    while step < min(most, max_depth):
-        step += 1
-        reached = reached.drop("depth").withColumnRenamed("coder_index", "reader").join(e, ["archive_id", "block_index", "reader"])
-        reached = reached.select("archive_id", "block_index", F.col("writer").alias("coder_index"), F.lit(step).alias("depth")).distinct()
-        found = found.unionByName(reached)
-    return found.groupBy("archive_id", "block_index", "coder_index").agg(F.max("depth").alias("depth"))
+    coder that it reaches. A coder deeper than there are coders is on a cycle. A block has 64 coders at
+    most, so its graph is one row, and one pass over the blocks walks them all."""
+    from foldlake.sources.shipping import ship
+
+    ship(blocks.sparkSession)
+    key = ["archive_id", "block_index"]
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    e = edges(blocks).groupBy(*key).agg(F.collect_set(F.struct("reader", "writer")).alias("pairs"))
+    r = roots(blocks).groupBy(*key).agg(F.collect_set("coder_index").alias("root"))
+    rows = r.join(e, key, "left").join(blocks.select(*key, F.least(F.size("coders"), F.lit(max_depth)).alias("steps")), key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, coder, depth = [], [], []
+            for i, row in enumerate(batch.select(["pairs", "root", "steps"]).to_pylist()):
+                for c, d in _longest([(p["reader"], p["writer"]) for p in row["pairs"] or []], row["root"], row["steps"]).items():
+                    at.append(i)
+                    coder.append(c)
+                    depth.append(d)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(key[0]).take(take), batch.column(key[1]).take(take), pa.array(coder, pa.int32()), pa.array(depth, pa.int32())], [*key, "coder_index", "depth"])
+
+    return rows.mapInArrow(run, f"archive_id {kinds['archive_id']}, block_index {kinds['block_index']}, coder_index int, depth int")
 
 
 def check(blocks: DataFrame) -> DataFrame:

@@ -1,12 +1,16 @@
 """Plans over the blocks of an archive and the runs of a stream: gaps and islands, ordered folds.
 
 Islands are running sums of the places where one begins, inside one window that partitions by
-archive or stream. The two folds whose state can't be written as a window (bins that close, and
-hysteresis) run over one archive's or stream's ordered rows.
+archive or stream. The one fold whose state can't be written as a window (bins that close) goes over
+the ordered rows of an archive as a stream, with a few numbers of state.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Fixed values of the plans.
@@ -72,18 +76,29 @@ def plan_unordered(blocks: DataFrame, threads: int, memory_limit: int | None = N
 
 def solid_bins(entries: DataFrame, limit: int = SOLID_BYTES, by: str = "archive_id", order: str = "file_index") -> DataFrame:
     """by, order, bin: files in order go into one block, which is closed before its sum would reach
-    the limit; a file of that size stands alone. The state is reset, so it is a fold: over the
-    ordered sizes of one archive, which a header keeps together too."""
-    rows = entries.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("size").alias("s")))).alias("x"))
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).cast("long").alias("bin"), F.array().cast("array<long>").alias("bins"))
-
-    def add(acc: Column, x: Column) -> Column:
-        full = (F.size(acc["bins"]) > 0) & (acc["held"] + x["s"] >= limit)
-        at = F.when(full, acc["bin"] + 1).otherwise(acc["bin"])
-        return F.struct(F.when(full, x["s"]).otherwise(acc["held"] + x["s"]).alias("held"), at.alias("bin"), F.concat(acc["bins"], F.array(at)).alias("bins"))
-
-    bins = F.aggregate("x", start, add, lambda acc: acc["bins"])
-    return rows.select(by, F.explode(F.arrays_zip(F.col("x.o").alias(order), bins.alias("bin"))).alias("y")).select(by, f"y.{order}", "y.bin")
+    the limit; a file of that size stands alone. The state is reset, so it is a fold: over the sorted
+    rows of an archive, batch after batch, in time that grows with their number alone."""
+    from foldlake.sources.shipping import ship
+
+    ship(entries.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in entries.schema}
+    rows = entries.select(by, order, F.coalesce(F.col("size").cast("long"), F.lit(0).cast("long")).alias("size")).repartition(by).sortWithinPartitions(by, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, at = object(), 0, 0
+        for batch in batches:
+            bins = np.empty(len(batch), np.int64)
+            for i, (own, size) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if own != key:
+                    key, held, at = own, size, 0
+                elif held + size >= limit:
+                    held, at = size, at + 1
+                else:
+                    held += size
+                bins[i] = at
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bins)], [by, order, "bin"])
+
+    return rows.mapInArrow(run, f"`{by}` {kinds[by]}, `{order}` {kinds[order]}, bin long")
 
 
 def scan_runs(chunks: DataFrame, by: tuple[str, ...] = ("archive_id", "block_index"), order: str = "packed_offset") -> DataFrame:
@@ -115,18 +130,11 @@ def shape_window(shapes: DataFrame, by: tuple[str, ...], order: str = "run_index
 
 def hysteresis(shapes: DataFrame, by: tuple[str, ...], order: str = "run_index", flag: str = "stored") -> DataFrame:
     """by, order, dense: a state that starts false and follows `flag` only at the second run in a row
-    that disagrees with it."""
-    rows = shapes.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(flag).alias("f")))).alias("x"))
-    start = F.struct(F.lit(False).alias("state"), F.lit(0).alias("streak"), F.array().cast("array<boolean>").alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        streak = F.when(x["f"] == acc["state"], 0).otherwise(acc["streak"] + 1)
-        flips = streak >= 2
-        state = F.when(flips, x["f"]).otherwise(acc["state"])
-        return F.struct(state.alias("state"), F.when(flips, 0).otherwise(streak).alias("streak"), F.concat(acc["out"], F.array(state)).alias("out"))
-
-    states = F.aggregate("x", start, add, lambda acc: acc["out"])
-    return rows.select(*by, F.explode(F.arrays_zip(F.col("x.o").alias(order), states.alias("dense"))).alias("y")).select(*by, f"y.{order}", "y.dense")
+    that disagrees with it. So it is the flag of the last two neighbours that were alike."""
+    w = Window.partitionBy(*by).orderBy(order)
+    alike = F.when(F.col(flag) == F.lag(flag).over(w), F.col(flag))
+    rows = shapes.select(*by, order, alike.alias("dense"))
+    return rows.withColumn("dense", F.coalesce(F.last("dense", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
 
 
 def coverage(runs: DataFrame, by: tuple[str, ...] = ("archive_id", "block_index")) -> DataFrame:

@@ -207,8 +207,8 @@ _MEMORY = "CASE p_partkey % 8 WHEN 0 THEN 0 WHEN 1 THEN (2 + p_size % 2) * (1::B
 
 
 def _coders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items of an order's first 3 places as coders, their method by the part."""
-    items = adapters.table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    """Line items of an order as coders, their method by the part."""
+    items = adapters.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
     parts = adapters.table(spark, sf_dir, "part").select("p_partkey", "p_size")
     owners = adapters.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     method = F.get(F.array(*map(F.lit, _METHODS)), (F.col("p_partkey") % 8).cast("int"))
@@ -221,7 +221,7 @@ def _coders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BLOCK_MEMORY = f"""(SELECT o_custkey AS archive_id, l_orderkey AS block_index, CASE WHEN count(*) = count(m) THEN (sum(m) + 65536)::BIGINT END AS bytes
-    FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, o_custkey, {_MEMORY} AS m FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 3) GROUP BY ALL)"""
+    FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, o_custkey, {_MEMORY} AS m FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey) GROUP BY ALL)"""
 
 
 @query(f"SELECT archive_id, block_index, bytes FROM {_BLOCK_MEMORY}")
@@ -446,15 +446,15 @@ def raw_copy_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT file_index, archive_id, methods FROM (SELECT d.doc_id AS file_index, d.source AS archive_id, string_agg(p_type, ',' ORDER BY p_partkey) FILTER (p_type <> 'SMALL') AS methods
-    FROM documents d JOIN part ON p_partkey // 4 = d.doc_id % 50 GROUP BY 1, 2) WHERE methods IS NOT NULL""")
+    FROM documents d JOIN part ON p_partkey // 4 = d.doc_id % (SELECT max(p_partkey) // 4 + 1 FROM part) GROUP BY 1, 2) WHERE methods IS NOT NULL""")
 def methods_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of the known coders of a file's block."""
-    files = adapters.entries(spark, sf_dir).select("archive_id", "file_index", (F.col("file_index") % 50).alias("block_index"))
-    archives = files.select("archive_id").distinct()
     part = adapters.table(spark, sf_dir, "part")
+    blocks = part.agg(F.floor(F.max("p_partkey") / 4) + 1).scalar()
+    files = adapters.entries(spark, sf_dir).select("archive_id", "file_index", (F.col("file_index") % blocks).alias("block_index"))
     method = F.when(F.col("p_type") != "SMALL", F.col("p_type"))
-    coders = part.where("p_partkey < 200").select(F.floor(F.col("p_partkey") / 4).alias("block_index"), F.col("p_partkey").alias("coder_index"), method.alias("method"))
-    coders = coders.join(files.select("archive_id", "block_index").distinct(), "block_index").join(archives, "archive_id")
+    coders = part.select(F.floor(F.col("p_partkey") / 4).alias("block_index"), F.col("p_partkey").alias("coder_index"), method.alias("method"))
+    coders = coders.join(files.select("archive_id", "block_index").distinct(), "block_index")
     found = catalog.methods_of(files, coders)
     return found.select("file_index", "archive_id", F.array_join("methods", ",").alias("methods"))
 
@@ -486,16 +486,15 @@ def bench_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("scenario", "variant", "reference", *[F.round(x, 6).alias(x) for x in ("wall", "cpu", "rss", "size")])
 
 
-_HOST_RATIOS = f"""(SELECT host, op AS category, variant, scenario, median(wall) / 1000 AS wall FROM {_BENCH} WHERE NOT (scenario = '02' AND host = '2-HIGH') GROUP BY ALL)"""
+_HOST_RATIOS = f"""(SELECT host, op AS category, variant, scenario, median(wall) / 1000 AS wall FROM {_BENCH} GROUP BY ALL)"""
 
 
 def _host_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = adapters.bench_runs(spark, sf_dir).where(~((F.col("scenario") == "02") & (F.col("host") == "2-HIGH")))
-    return runs.groupBy("host", F.col("op").alias("category"), "variant", "scenario").agg((F.median("wall_seconds") / 1000).alias("wall"))
+    return adapters.bench_runs(spark, sf_dir).groupBy("host", F.col("op").alias("category"), "variant", "scenario").agg((F.median("wall_seconds") / 1000).alias("wall"))
 
 
 @query(f"""SELECT category, variant, round(exp(avg(ln(m))), 6) AS mean, count(*) AS hosts FROM (SELECT category, variant, host, exp(avg(ln(wall))) AS m, string_agg(scenario, ',' ORDER BY scenario) AS s FROM {_HOST_RATIOS} GROUP BY ALL)
-    GROUP BY 1, 2 HAVING count(DISTINCT s) = 1""")
+    GROUP BY 1, 2 HAVING count(DISTINCT s) = 1 AND count(*) = (SELECT count(DISTINCT host) FROM {_HOST_RATIOS})""")
 def geomean_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only where all hosts have the same scenarios."""
     found = benchstats.geomeans_by_category(_host_ratios(spark, sf_dir))
@@ -518,10 +517,10 @@ def workload_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT scenario, variant, coalesce(max(v) FILTER (host = 'A')::VARCHAR, '-') AS "A", coalesce(max(v) FILTER (host = 'N')::VARCHAR, '-') AS "N", coalesce(max(v) FILTER (host = 'R')::VARCHAR, '-') AS "R"
-    FROM (SELECT l_suppkey AS scenario, l_linestatus AS variant, l_returnflag AS host, sum(l_quantity::BIGINT)::BIGINT AS v FROM lineitem WHERE l_suppkey % 4 > 0 OR l_returnflag <> 'N' GROUP BY ALL) GROUP BY 1, 2""")
+    FROM (SELECT l_suppkey AS scenario, l_linestatus AS variant, l_returnflag AS host, sum(l_quantity::BIGINT)::BIGINT AS v FROM lineitem GROUP BY ALL) GROUP BY 1, 2""")
 def host_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A20."""
-    items = adapters.table(spark, sf_dir, "lineitem").where("l_suppkey % 4 > 0 or l_returnflag <> 'N'")
+    items = adapters.table(spark, sf_dir, "lineitem")
     rows = items.groupBy(F.col("l_suppkey").alias("scenario"), F.col("l_linestatus").alias("variant"), F.col("l_returnflag").alias("host")).agg(F.sum(F.col("l_quantity").cast("long")).alias("wall"))
     return benchstats.host_pivot(rows, ["A", "N", "R"])
 
@@ -560,10 +559,10 @@ def wave_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchstats.run_lengths(adapters.table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
 
 
-@query("SELECT user_id, string_agg(DISTINCT event_type, '+' ORDER BY event_type) AS tags FROM events WHERE event_id % 40 = 0 GROUP BY 1")
+@query("SELECT user_id, string_agg(DISTINCT event_type, '+' ORDER BY event_type) AS tags FROM events GROUP BY 1")
 def source_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A16."""
-    rows = adapters.table(spark, sf_dir, "events").where("event_id % 40 = 0").select("user_id", F.col("event_type").alias("tag"))
+    rows = adapters.table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("tag"))
     return benchstats.source_tags(rows, "user_id")
 
 
@@ -685,16 +684,84 @@ def progress_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.governed_threads(runs.backlog(rows, 12), 6).select("event_id", "backlog", "threads")
 
 
-@query("""SELECT scenario, category, headline FROM (SELECT DISTINCT p_type || '-' || lower(p_brand) || CASE WHEN p_size % 3 = 0 THEN '-list' WHEN p_size % 3 = 1 THEN '-aes' ELSE '' END AS scenario, p_size % 3 AS k, p_type AS g FROM part) x,
-    LATERAL (SELECT CASE WHEN k = 0 THEN 'list' WHEN k = 1 THEN 'encryption' ELSE g END AS category, contains(scenario, 'brand#1') AS headline)""")
+_SCENARIOS = f"""(SELECT p_partkey AS seq, p_brand AS host, {benchstats.GROUPS + ["stored", "own group"]}[p_partkey % 16 + 1] AS grp,
+    ['encode/payload-sub/', 'encode/tree-nonsolid/', 'decode/tree/', 'decode/non-solid/'][p_size % 4 + 1] || p_partkey || CASE WHEN p_size % 5 = 0 THEN '/stream' ELSE '' END AS id,
+    ['decode', 'encode', 'list'][p_partkey % 3 + 1] AS op, CASE WHEN p_size % 2 = 0 THEN '1' ELSE 'all' END AS threads, p_size % 7 = 0 AS adaptive, CASE WHEN p_size % 11 = 0 THEN 1024 ELSE 0 END AS memory_limit FROM part)"""
+
+
+def _scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as scenarios of a benchmark; the brand is the host."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    pick = lambda names, at: F.get(F.array(*map(F.lit, names)), at.cast("int"))
+    return adapters.table(spark, sf_dir, "part").select(
+        k.alias("seq"), F.col("p_brand").alias("host"), pick([*benchstats.GROUPS, "stored", "own group"], k % 16).alias("group"),
+        F.concat(pick(["encode/payload-sub/", "encode/tree-nonsolid/", "decode/tree/", "decode/non-solid/"], n % 4), k.cast("string"), F.when(n % 5 == 0, "/stream").otherwise("")).alias("id"),
+        pick(["decode", "encode", "list"], k % 3).alias("op"), F.when(n % 2 == 0, "1").otherwise("all").alias("threads"), (n % 7 == 0).alias("adaptive"), F.when(n % 11 == 0, 1024).otherwise(0).alias("memory_limit"),
+    )
+
+
+@query(f"""SELECT id AS scenario, CASE WHEN op = 'encode' THEN 'encode' ELSE 'decode' END AS chart,
+    CASE WHEN grp = 'container parse' THEN 'Listing' ELSE CASE WHEN suffix(id, '/stream') THEN 'Streamed extract' WHEN grp IN ('lzma2 single-stream', 'lzma2 parallel', 'lzma2 near-incompressible') THEN 'LZMA2' WHEN grp = 'lzma' THEN 'LZMA'
+        WHEN grp = 'encode' AND prefix(id, 'encode/payload-sub/') THEN 'LZMA2' WHEN grp IN ('encode', 'solid vs non-solid') THEN CASE WHEN regexp_matches(id, 'non-?solid') THEN 'Non-solid trees' ELSE 'Solid trees' END
+        WHEN grp = 'stored' THEN 'Stored' WHEN grp IN ('aes-256', 'encode aes-256') THEN 'AES-256' WHEN grp = 'filters' THEN 'BCJ / BCJ2 / delta' WHEN grp = 'ppmd (secondary)' THEN 'PPMd' WHEN grp = 'encode bcj2' THEN 'BCJ2' ELSE grp END
+        || CASE WHEN threads = '1' THEN ', 1 thread' ELSE ', multi-thread' END END AS category,
+    grp IN ('memory budget', 'decode ledger') OR adaptive OR memory_limit <> 0 AS excluded,
+    CASE WHEN op <> 'list' AND grp <> 'memory budget' AND NOT adaptive AND memory_limit = 0 THEN 'All ' || op END AS headline, contains(id, 'tree') AS asked FROM {_SCENARIOS}""")
 def chart_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scenario's chart, and whether it is asked for."""
-    k = F.col("p_size") % 3
-    tail = F.when(k == 0, "-list").when(k == 1, "-aes").otherwise("")
-    rows = adapters.table(spark, sf_dir, "part").select(F.concat("p_type", F.lit("-"), F.lower("p_brand"), tail).alias("id"), F.col("p_type").alias("group")).distinct()
-    asked = benchstats.only(rows, ["brand#1"]).select("id", F.lit(True).alias("headline"))
-    rows = rows.join(asked, "id", "left")
-    return rows.select(F.col("id").alias("scenario"), benchstats.category(F.col("group"), F.col("id")).alias("category"), F.coalesce("headline", F.lit(False)).alias("headline"))
+    """A scenario's chart and bars, whether it is left out, whether it is asked for."""
+    rows = _scenarios(spark, sf_dir)
+    asked = benchstats.only(rows, ["tree"]).select("id", F.lit(True).alias("asked"))
+    group, flags = F.col("group"), (F.col("adaptive"), F.col("memory_limit"))
+    return rows.join(asked, "id", "left").select(
+        F.col("id").alias("scenario"), benchstats.chart_op(F.col("op")).alias("chart"), benchstats.category(group, F.col("id"), F.col("threads")).alias("category"),
+        benchstats.excluded(group, *flags).alias("excluded"), benchstats.headline(group, F.col("op"), *flags).alias("headline"), F.coalesce("asked", F.lit(False)).alias("asked"),
+    )
+
+
+@query(f"""SELECT host, id, (row_number() OVER (PARTITION BY host ORDER BY greatest(coalesce(list_position({benchstats.GROUPS}, grp), 0), 1), seq) - 1)::INT AS position FROM {_SCENARIOS}""")
+def group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups as they are declared, rows of a group as they were seen."""
+    return benchstats.in_group_order(_scenarios(spark, sf_dir), "host", "seq").select("host", "id", "position")
+
+
+@query("""SELECT chart, category, position::INT AS position FROM (SELECT *, row_number() OVER (PARTITION BY chart ORDER BY head DESC, CASE WHEN has AND NOT head THEN coalesce(mean, 0) END DESC NULLS LAST, first_seen) - 1 AS position
+    FROM (SELECT *, max(head) OVER (PARTITION BY chart) AS has FROM (SELECT *, category = 'All ' || chart AS head
+        FROM (SELECT p_brand AS chart, CASE WHEN p_type = 'SMALL' AND p_brand > 'Brand#2' THEN 'All ' || p_brand ELSE p_type || p_size % 4 END AS category, min(p_partkey) AS first_seen, max(p_size) FILTER (p_size % 4 > 0)::DOUBLE AS mean FROM part GROUP BY 1, 2))))""")
+def chart_bar_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars best first, the headline before all; a chart without it as first seen."""
+    name = F.when((F.col("p_type") == "SMALL") & (F.col("p_brand") > "Brand#2"), F.concat(F.lit("All "), "p_brand")).otherwise(F.concat("p_type", (F.col("p_size") % 4).cast("string")))
+    rows = adapters.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("chart"), name.alias("category"))
+    bars = rows.agg(F.min("p_partkey").alias("first_seen"), F.max(F.when(F.col("p_size") % 4 > 0, F.col("p_size").cast("double"))).alias("mean"))
+    return benchstats.chart_order(bars).select("chart", "category", "position")
+
+
+def _number(i: int) -> str:
+    return f"(o_orderkey * {i + 3} + o_custkey) % {97 + i}"
+
+
+_STATS = ", ".join(f"round(coalesce(median({x}), 0), 6) AS {x}_median, round(coalesce(min({x}), 0)::DOUBLE, 6) AS {x}_min, round(coalesce(max({x}), 0)::DOUBLE, 6) AS {x}_max, count({x}) AS {x}_n" for x in [*benchstats.LEDGER_SERIES, *benchstats.LEDGER_DERIVED])
+_NUMBERS = {x: _number(i) for i, x in enumerate([*benchstats.LEDGER_MAXIMA, *benchstats.LEDGER_SERIES])}
+_WAITS = "[o_orderkey % 5 * 1000000000, o_orderkey % 3 * 500000000, o_custkey % 4 * 250000000]"
+
+
+@query(f"""SELECT scenario, variant, {", ".join(f"max({x})::BIGINT AS {x}" for x in benchstats.LEDGER_MAXIMA)}, {_STATS}, array_to_string(min_by(held, seq), ',') AS held
+    FROM (SELECT *, least(dictionaries, chase_bytes) AS touched, dictionary_bytes * (worker_threads + (chase_bytes > 0)::INT) AS nominal, rss - peak_total_bytes - dictionaries AS remainder,
+        CASE WHEN wave_count > 0 THEN runs::DOUBLE / wave_count END AS runs_per_wave, (held[1] + held[2] + held[3]) / 1e9 AS wait_seconds,
+        (held[1] * greatest(threads, 0) + held[2] * greatest(threads - 1, 0) + held[3] * greatest(threads - 2, 0)) / 1e9 AS idle_worker_seconds,
+        CASE WHEN held[1] + held[2] + held[3] > 0 THEN round((held[2] + 2 * held[3])::DOUBLE / (held[1] + held[2] + held[3]), 9) END AS mean_runs_out_asleep
+        FROM (SELECT o_orderpriority AS scenario, o_orderstatus AS variant, o_orderkey AS seq, o_custkey * 1024 + 4096 AS rss, {", ".join(f"{v} AS {k}" for k, v in _NUMBERS.items())}, {_WAITS} AS held,
+            CASE WHEN {_NUMBERS["chase_bytes"]} > 0 THEN {_NUMBERS["dictionary_bytes"]} ELSE 0 END AS dictionaries FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 6 <> 0)) GROUP BY 1, 2""")
+def ledger_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of a scenario and variant over its runs that went well and have one."""
+    numbers = [F.expr(v).alias(f"ledger_{k}") for k, v in _NUMBERS.items()]
+    waits = F.expr(f"array{_WAITS.replace('[', '(').replace(']', ')')}")
+    runs = adapters.table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("scenario"), F.col("o_orderstatus").alias("variant"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 17 == 0, "failed").otherwise("ok").alias("status"),
+        (F.col("o_custkey") * 1024 + 4096).alias("max_rss_bytes"), (F.col("o_orderkey") % 6).alias("ledger_blocks"), *numbers, waits.alias("ledger_wave_runs"), waits.alias("ledger_wave_runs_out"), waits.alias("ledger_wait_nanos_by_runs_out"),
+    )
+    found = benchstats.ledger_summary(runs)
+    stats = [(F.col(f"{x}.n") if part == "n" else F.round(f"{x}.{part}", 6)).alias(f"{x}_{part}") for x in [*benchstats.LEDGER_SERIES, *benchstats.LEDGER_DERIVED] for part in ("median", "min", "max", "n")]
+    return found.select("scenario", "variant", *benchstats.LEDGER_MAXIMA, *stats, F.array_join(F.col("wave_runs").cast("array<string>"), ",").alias("held"))
 
 
 _LEVEL = "p_partkey % 11"

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 RUNS = "archive_id string, block_index long, run_index long, packed_offset long, packed_size long, output_offset long, output_len long, lzma_unpacked long, stored boolean, complete boolean"
@@ -44,13 +44,8 @@ def closed_runs(chunks: DataFrame) -> DataFrame:
     ship(chunks.sparkSession)
 
     names = [c.split()[0] for c in RUNS.split(", ")]
-
-    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, closed = advance(None, rows.sort_values("packed_offset").to_dict("records"))
-        return pd.DataFrame([(*key, *r, r[4] > 0 and r[5] * 64 <= r[4], True) for r in closed], columns=names)
-
     if not chunks.isStreaming:
-        return chunks.groupBy("archive_id", "block_index").applyInPandas(whole, RUNS)
+        return _closed(chunks).select(*names)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("packed_offset").to_dict("records")
@@ -64,6 +59,30 @@ def closed_runs(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("archive_id", "block_index").applyInPandasWithState(step, RUNS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def _closed(chunks: DataFrame) -> DataFrame:
+    """The same of a batch, as windows: a run is an island between resets, and closed if another chunk
+    or the end mark follows it. What stands behind an end mark is another stream."""
+    by = ["archive_id", "block_index"]
+    order = Window.partitionBy(*by).orderBy("packed_offset")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    ends = (F.col("control") == 0).cast("long")
+    rows = chunks.withColumn("part", F.sum(ends).over(upto) - ends).withColumn("mark", F.col("control") == 0)
+    own = Window.partitionBy(*by, "part").orderBy("packed_offset")
+    begins = (F.row_number().over(own) == 1) | F.col("is_reset")
+    rows = rows.withColumn("begins", begins.cast("long")).withColumn("run_index", F.sum(F.when(~F.col("mark"), F.col("begins")).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    last = F.max("run_index").over(Window.partitionBy(*by, "part"))
+    ended = F.max("mark").over(Window.partitionBy(*by, "part"))
+    rows = rows.withColumns({"last": last, "ended": ended}).where("not mark")
+    runs = rows.groupBy(*by, "part", "run_index").agg(
+        F.min("packed_offset").alias("packed_offset"), F.sum("packed_len").alias("packed_size"), F.sum("unpacked_len").alias("output_len"),
+        F.sum(F.when(F.col("is_stored"), 0).otherwise(F.col("unpacked_len"))).cast("long").alias("lzma_unpacked"), F.first("last").alias("last"), F.first("ended").alias("ended"),
+    )
+    before = Window.partitionBy(*by, "part").orderBy("run_index").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("output_offset", F.coalesce(F.sum("output_len").over(before), F.lit(0)))
+    stored = (F.col("output_len") > 0) & (F.col("lzma_unpacked") * 64 <= F.col("output_len"))
+    return runs.where("ended or run_index < last").withColumns({"stored": stored, "complete": F.lit(True)})
+
+
 def publish(runs: DataFrame, folders: DataFrame) -> DataFrame:
     """Provisional runs of folders whose checksum held (archive_id, block_index, verified), with the
     epoch of the folder's last repair. Runs of earlier epochs were replaced and don't count."""

@@ -219,12 +219,78 @@ def test_bench_details(spark):
     assert [r[0] for r in threads] == [8, 3]
     heads = benchstats.group_heads(spark.createDataFrame([("r", 1, "x"), ("r", 2, "x"), ("r", 3, "y")], "report string, o int, g string"), "o", "g").orderBy("o").collect()
     assert [(r.head, r.tail) for r in heads] == [(True, False), (False, True), (True, True)]
-    cats = spark.createDataFrame([("list", 9.0), ("encode", 1.0), ("decode", 2.0)], "category string, mean double")
-    assert [r.category for r in benchstats.chart_order(cats).collect()] == ["decode", "encode", "list"]
+    cats = spark.createDataFrame([("decode", "a", 0, 1.0), ("decode", "b", 1, 9.0), ("decode", "c", 2, None), ("decode", "All decode", 3, 0.5), ("encode", "x", 1, 1.0), ("encode", "y", 0, 0.5)], "chart string, category string, first_seen int, mean double")
+    bars = benchstats.chart_order(cats).orderBy("chart", "position").collect()
+    assert [r.category for r in bars] == ["All decode", "b", "a", "c", "y", "x"]
     summary = spark.createDataFrame([("secondary", "s", "v", ["late"]), ("candidate", "s", "w", ["a", "b"])], "role string, scenario string, variant string, failures array<string>")
     assert sorted(map(tuple, benchstats.failures_by_role(summary).collect())) == [("primary", "s", "w", "a"), ("primary", "s", "w", "b"), ("secondary", "s", "v", "late")]
-    named = spark.createDataFrame([("g", "x-list"), ("decode", "q"), ("g", "aes-1"), ("", "z")], "g string, s string").select(benchstats.category(F.col("g"), F.col("s"))).collect()
-    assert [r[0] for r in named] == ["list", "decode", "encryption", "other"]
+
+
+def test_chart_rules(spark):
+    rows = [
+        ("container parse", "list/st", "1", "Listing"), ("lzma2 parallel", "decode/mt", "all", "LZMA2, multi-thread"), ("lzma2 parallel", "decode/mt/stream", "1", "Streamed extract, 1 thread"),
+        ("solid vs non-solid", "decode/tree_nonsolid", "4", "Non-solid trees, multi-thread"), ("encode", "encode/payload-sub/l5", "1", "LZMA2, 1 thread"), ("encode", "encode/tree/l5", "1", "Solid trees, 1 thread"),
+        ("filters", "decode/delta", "1", "BCJ / BCJ2 / delta, 1 thread"), ("new", "decode/x", "2", "new, multi-thread"), ("container parse", "list/x/stream", "2", "Listing"),
+    ]
+    df = spark.createDataFrame(rows, "g string, s string, t string, want string")
+    assert all(r[0] == r[1] for r in df.select(benchstats.category(F.col("g"), F.col("s"), F.col("t")), "want").collect())
+    flags = spark.createDataFrame([("decode ledger", "decode", False, 0), ("memory budget", "decode", False, 0), ("lzma", "list", False, 0), ("lzma", "encode", True, 0), ("lzma", "encode", False, 7), ("lzma", "encode", None, None)], "g string, op string, a boolean, m long")
+    got = flags.select(benchstats.excluded(F.col("g"), F.col("a"), F.col("m")), benchstats.headline(F.col("g"), F.col("op"), F.col("a"), F.col("m"))).collect()
+    assert [tuple(r) for r in got] == [(True, "All decode"), (True, None), (False, None), (True, None), (True, None), (False, "All encode")]
+
+
+def test_means_need_every_host(spark):
+    rows = [("h1", "c", "v", "s1", 2.0), ("h1", "c", "v", "s2", 8.0), ("h2", "c", "v", "s1", 1.0), ("h2", "c", "v", "s2", 1.0), ("h1", "d", "v", "s1", 3.0), ("h1", "e", "v", "s1", 3.0), ("h2", "e", "v", "s2", 3.0), ("h1", "f", "v", "s1", 3.0), ("h2", "f", "v", "s1", 0.0)]
+    df = spark.createDataFrame(rows, "host string, category string, variant string, scenario string, wall double")
+    got = benchstats.geomeans_by_category(df).collect()
+    assert [(r.category, r.hosts, r.scenarios, round(r["mean"], 9)) for r in got] == [("c", 2, 2, 2.0)]
+    more = spark.createDataFrame([("h1",), ("h2",), ("h3",)], "host string")
+    assert benchstats.geomeans_by_category(df, hosts=more).collect() == []
+    common = {r.scenario: r.common for r in benchstats.common_scenarios(df.where("category = 'e' or scenario = 's1'")).collect()}
+    assert common == {"s1": True, "s2": False}
+    cells = spark.createDataFrame([("s", "v", "A", 1), ("s", "v", "B", 2), ("t", "v", "B", 3)], "scenario string, variant string, host string, wall long")
+    assert sorted(map(tuple, benchstats.host_pivot(cells, ["A", "B"]).collect())) == [("s", "v", "1", "2"), ("t", "v", "-", "3")]
+
+
+def test_folds_of_long_inputs(spark):
+    n = 200_000
+    entries = spark.range(n).select(F.lit("a").alias("archive_id"), F.col("id").alias("file_index"), (F.col("id") * 7919 % 1000).alias("size"))
+    got = [r.bin for r in planner.solid_bins(entries, 5000).orderBy("file_index").collect()]
+    held, at, want = 0, 0, []
+    for i in range(n):
+        size = i * 7919 % 1000
+        held, at = (size, at + 1) if i and held + size >= 5000 else (held + size, at)
+        want.append(at)
+    assert got == want
+    rng = random.Random(3)
+    flags = [(k, i, rng.random() < 0.5) for k in ("x", "y") for i in range(300)]
+    got = {(r.k, r.run_index): r.dense for r in planner.hysteresis(spark.createDataFrame(flags, "k string, run_index int, stored boolean"), ("k",)).collect()}
+    state, streak = False, 0
+    for k, i, f in flags:
+        state, streak = (False, 0) if i == 0 else (state, streak)
+        streak = 0 if f == state else streak + 1
+        state, streak = (f, 0) if streak >= 2 else (state, streak)
+        assert got[k, i] == state
+
+
+def test_batches_of_chunks_close_as_a_stream_does(spark):
+    from foldlake.streaming import runs
+
+    rng = random.Random(9)
+    rows, want = [], []
+    for block in range(30):
+        chunks, at = [], 0
+        for i in range(rng.randrange(1, 20)):
+            c = {"packed_offset": at, "control": 1, "packed_len": rng.randrange(1, 9), "unpacked_len": rng.randrange(1, 90), "is_reset": rng.random() < 0.3 or i == 0, "is_stored": rng.random() < 0.5}
+            at += c["packed_len"]
+            chunks.append(c)
+        if rng.random() < 0.5:
+            chunks.append({"packed_offset": at, "control": 0, "packed_len": 1, "unpacked_len": 0, "is_reset": False, "is_stored": False})
+        _, closed = runs.advance(None, chunks)
+        want += [("a", block, *r, r[4] > 0 and r[5] * 64 <= r[4], True) for r in closed]
+        rows += [("a", block, *c.values()) for c in chunks]
+    df = spark.createDataFrame(rows, "archive_id string, block_index long, packed_offset long, control int, packed_len long, unpacked_len long, is_reset boolean, is_stored boolean")
+    assert sorted(map(tuple, runs.closed_runs(df).collect())) == sorted(want)
 
 
 def test_generator_is_the_published_one(spark):
