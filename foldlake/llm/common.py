@@ -7,12 +7,12 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: What Arrow calls the schemes of Hadoop's file systems.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
@@ -68,6 +68,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if more than one row in so many has it; there are fewer hot keys than this.
+HOT = 1000
+
+
+def spread(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with table, which has each key once, with n: how many of the rows have it. What
+    table has for hot keys (fewer than HOT) is broadcast, so that no task gets a hot key's rows; the
+    others meet by a shuffle."""
+    total = table.agg(F.sum("n")).scalar()
+    hot = F.broadcast(table.where(F.col("n") * HOT > total).drop("n"))
+    cold = table.where(F.col("n") * HOT <= total).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     """Arrow's file system for a path, and the path there."""
     scheme, colon, rest = path.partition("://")
@@ -76,6 +90,28 @@ def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
+#: Items of an array whose results are put together at once.
+CHUNK = 512
+
+
+def scanned(items: Column, moves: Callable[[Column], Column], gives: Callable[[Column, Column], Column], kind: str) -> Column:
+    """One array (of type kind) of gives(at, x), an array, for each x of items in order, where at is the
+    sum of moves(x) of the items before it. An array that grows item by item is copied each time, so
+    this goes by chunks: the work is about CHUNK / 2 copied places an item, however many there are."""
+    none = F.array().cast(kind)
+
+    def one(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + moves(x)).alias("at"), F.concat(acc["out"], gives(acc["at"], x)).alias("out"))
+
+    def chunk(acc: Column, k: Column) -> Column:
+        part = F.aggregate(F.slice(acc["items"], k * CHUNK + 1, CHUNK), F.struct(acc["at"].alias("at"), none.alias("out")), one)
+        return F.struct(acc["items"].alias("items"), part["at"].alias("at"), F.concat(acc["out"], F.array(part["out"])).alias("out"))
+
+    zero = F.struct(items.alias("items"), F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    chunks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")))
+    return F.flatten(F.aggregate(chunks, zero, chunk, lambda acc: acc["out"]))
+
+
 def unused(columns: list[str], stem: str) -> str:
     """A prefix for columns of one's own that none of the given ones begins with."""
     while any(c.lower().startswith(stem) for c in columns):

@@ -13,14 +13,18 @@ the parts on which a loss counts; a prompt has none.
 Defined results: rows that repeat (pair, side, turn, role, text) count once; different rows of one
 turn number are put in the order of role and text, and are common only all together; null text is
 empty, a null role is "user"; rows with a null pair or turn are left out; a pair with one side only has
-no prompt and an empty other completion; an empty table gives an empty result.
+no prompt and an empty other completion; an empty table gives an empty result. A pair's texts are cells
+of one row, as its result asks for, so a pair may have 2 GB of text at most.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import common
+
 RUN = 64
+MASK = "array<struct<a:long,b:long>>"
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 
 
@@ -47,13 +51,10 @@ def prompt_ends(turns: DataFrame) -> DataFrame:
 
 def _join(parts: Column) -> Column:
     """One (text, mask, n) of sorted parts of that kind; a part's mask moves by the texts before it."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("mask"))
-
-    def add(acc: Column, x: Column) -> Column:
-        moved = F.transform(x["mask"], lambda m: F.struct((m["a"] + acc["at"]).alias("a"), (m["b"] + acc["at"]).alias("b")))
-        return F.struct((acc["at"] + F.length(x["text"])).alias("at"), F.concat(acc["mask"], moved).alias("mask"))
+    def moved(at: Column, x: Column) -> Column:
+        return F.transform(x["mask"], lambda m: F.struct((m["a"] + at).alias("a"), (m["b"] + at).alias("b")))
 
-    mask = F.aggregate(parts, start, add, lambda acc: acc["mask"])
+    mask = common.scanned(parts, lambda x: F.length(x["text"]).cast("long"), moved, MASK)
     n = F.aggregate(parts, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
     return F.struct(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"), mask.alias("mask"), n.alias("n"))
 
@@ -63,8 +64,8 @@ def _rendered(parts: Column, masked: bool) -> Column:
 
     def one(x: Column) -> Column:
         text = F.concat(F.lit(OPEN), x["role"], F.lit(CLOSE), x["text"], F.lit(END))
-        none = F.array().cast("array<struct<a:int,b:int>>")
-        says = F.array(F.struct((F.length(text) - F.length(x["text"]) - len(END)).alias("a"), F.length(text).alias("b")))
+        none = F.array().cast(MASK)
+        says = F.array(F.struct((F.length(text) - F.length(x["text"]) - len(END)).cast("long").alias("a"), F.length(text).cast("long").alias("b")))
         mask = F.when(x["role"] == "assistant", says).otherwise(none) if masked else none
         return F.struct(text.alias("text"), mask.alias("mask"), F.lit(1).cast("long").alias("n"))
 

@@ -59,16 +59,14 @@ def _spans(text: Column, kind: int) -> Column:
     parts = F.zip_with(matches, values, lambda m, v: F.struct(F.length(m).alias("length"), _fits(kind, m, v).alias("fits")))
     gaps = F.transform(F.split(text, PATTERNS[kind], -1), F.length)
     found = F.zip_with(gaps, parts, lambda g, p: F.struct(g.alias("gap"), p["length"].alias("length"), p["fits"].alias("fits")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
+    def span(at: Column, x: Column) -> Column:
         # the piece behind the last match has no match of its own
-        stop = acc["at"] + x["gap"] + F.coalesce(x["length"], F.lit(0))
-        span = F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"))
-        return F.struct(stop.alias("at"), F.when(x["fits"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        one = F.array(F.struct((at + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + x["gap"] + x["length"]).alias("stop")))
+        return F.when(x["fits"], one).otherwise(F.array().cast(SPAN))
 
+    spans = common.scanned(found, lambda x: (x["gap"] + F.coalesce(x["length"], F.lit(0))).cast("long"), span, SPAN)
     # most texts have no match: one search tells, and the rest is for the others
-    return F.when(text.rlike(PATTERNS[kind]), F.aggregate(found, start, add, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(PATTERNS[kind]), spans).otherwise(F.array().cast(SPAN))
 
 
 def _listed(spans: Column) -> Column:

@@ -30,8 +30,11 @@ from . import common
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
-#: Fingerprints that a tile holds about; two tiles meet in a task.
+#: Fingerprints that a tile holds about, at least and at most; two tiles meet in a task. In between, a tile
+#: is as large as the densest cell: a fingerprint is then copied once for each cell that its own one meets
+#: (41 at most), however many fingerprints there are. A tile of the largest size is 8 MB.
 TILE = 8192
+LARGEST_TILE = 1 << 20
 #: Rows of a block inside a tile.
 BLOCK = 256
 
@@ -121,7 +124,7 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = BLOCK)
     return nodes[linked], nodes[label[linked]]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, tile: int | None = None) -> DataFrame:
     """Forests of the links between the fingerprints (column fp, no two equal): columns a > b."""
     spark = distinct.sparkSession
     common.ship(spark)
@@ -129,6 +132,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     cells = distinct.select("fp", total.alias("total"), high.alias("high"))
     # at most 33 x 33 counts: how many tiles the fingerprints of each cell make
     sizes = {(r.total, r.high): r.n for r in cells.groupBy("total", "high").agg(F.count("*").alias("n")).collect()}
+    tile = tile or min(max(TILE, *sizes.values()), LARGEST_TILE) if sizes else TILE
     parts = {cell: -(-n // tile) for cell, n in sizes.items()}
     code = {cell: k for k, cell in enumerate(sorted(parts))}
     pairs = []  # cell, its tiles, a cell that it meets, that one's tiles, whether it comes first
@@ -172,30 +176,32 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
         state = now
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = common.spread(both.where("v > u"), low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = common.spread(large, low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = low.drop("n")
         edges = common.written(small.union(low).distinct(), "links")
 
 
 def named(fps: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of fps (doc_id, fp and others) with component_id, root (by roots), and head: whether the row's
-    fingerprint and doc_id name its component. distinct has fp and least_id, the smallest doc_id of it."""
-    found = distinct.join(roots, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    names = found.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull(), "least_id", "fp")).alias("name"))
-    found = found.join(names, "root").select("fp", "root", F.col("name.least_id").alias("component_id"), (F.col("name.fp") == F.col("fp")).alias("head"))
+    fingerprint and doc_id name its component. distinct has fp, least_id (the smallest doc_id of it) and n
+    (its rows)."""
+    found = distinct.join(roots, "fp", "left").select("fp", "least_id", F.col("n").alias("copies"), F.coalesce("root", "fp").alias("root"))
+    names = found.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull(), "least_id", "fp")).alias("name"), F.count("*").alias("n"))
+    found = common.spread(found, names, "root").select("fp", "root", F.col("name.least_id").alias("component_id"), (F.col("name.fp") == F.col("fp")).alias("head"), F.col("copies").alias("n"))
     found = common.written(found, "components")
-    return fps.join(found, "fp").withColumn("head", F.col("head") & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return common.spread(fps, found, "fp").withColumn("head", F.col("head") & F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _rows(docs: DataFrame, radius: int, shingle: int, seed: int, tile: int) -> DataFrame:
+def _rows(docs: DataFrame, radius: int, shingle: int, seed: int, tile: int | None) -> DataFrame:
     fps = common.written(fingerprints(docs, shingle, seed), "fingerprints")
-    distinct = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    distinct = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "distinct")
     return named(fps, distinct, components(links(distinct.select("fp"), radius, tile)))
 
 
-def cluster(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE) -> DataFrame:
+def cluster(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int | None = None) -> DataFrame:
     """doc_id, fp, component_id, head (whether the row's fingerprint and doc_id name its component)
     for each row of docs."""
     return _rows(docs, radius, shingle, seed, tile).select("doc_id", "fp", "component_id", "head")
@@ -219,6 +225,6 @@ def heads_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return found.withColumn(own, rank).where(F.col(own) == 1).drop(own, *key)
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int | None = None) -> DataFrame:
     """The rows of docs without near-duplicates: of each component one row that names it."""
     return heads_of(docs, _rows(docs, radius, shingle, seed, tile))

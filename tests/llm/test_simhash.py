@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from foldlake.llm import simhash
 
@@ -108,6 +109,29 @@ def test_a_forest_keeps_all_links(sizes):
     assert {frozenset(int(v) for v in every if find(at[int(v)]) == r) for r in {find(i) for i in range(len(every))}} == want
 
 
+def test_tiles_grow_and_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    fps = {int(b) ^ sum(1 << int(x) for x in rng.integers(0, 64, rng.integers(0, 3))) for b in base for _ in range(4)}
+    fps = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    whole = {r.fp: r.root for r in simhash.components(simhash.links(df)).collect()}
+    for tile, least, most in ((7, 8192, 1 << 20), (None, 4, 16), (None, 1, 1 << 20)):
+        monkeypatch.setattr(simhash, "TILE", least)
+        monkeypatch.setattr(simhash, "LARGEST_TILE", most)
+        assert {r.fp: r.root for r in simhash.components(simhash.links(df, tile=tile)).collect()} == whole
+
+
+def test_hot_keys_are_spread(spark):
+    from foldlake.llm import common
+
+    rows = spark.createDataFrame([(0 if i % 3 == 0 else i, i) for i in range(3000)], "k int, v int")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("most"))
+    got = common.spread(rows, table, "k")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(table.drop("n"), "k").collect()))
+    assert common.spread(rows.limit(0), table.limit(0), "k").collect() == []
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     links = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(1000 + i, 1000) for i in range(1, 50)], "a long, b long")
