@@ -82,6 +82,8 @@ _LISTED = "|".join(sorted((t for n in _GIVEN for t in (n, n.upper())), key=len,
 _NAME = re.compile(rf"(?<!\w)(?:((?:(?:{_TITLE})(?!\w)\s{{1,3}})+)|(?=(?:{_LISTED})[ \xa0]))({_WORD}(?:[ \xa0](?:(?:{PARTICLES.replace(' ', '|')})[ \xa0]){{0,3}}{_WORD}){{0,4}})")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PARTICLES = frozenset(PARTICLES.split())
+#: Runs of letters of which a text with a name has one at least.
+_TRIGGERS = frozenset(x for t in [*_GENDER, *_GIVEN, *(n.upper() for n in _GIVEN)] for x in _LETTERS.findall(t))
 
 # Letters that change for one another, in lower case: vowels and consonants of a script.
 _ALPHABETS = [
@@ -278,9 +280,10 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 taken[a:b] = b"\1" * (b - a)
                 found.append((a, b, kind, ""))
     names: dict[str, str] = {}
-    for gender, words in _named(text):
-        for word in words:
-            names[word] = names.get(word) or gender
+    if not _TRIGGERS.isdisjoint(_LETTERS.findall(text)):
+        for gender, words in _named(text):
+            for word in words:
+                names[word] = names.get(word) or gender
     if names:
         taken = taken or bytearray(len(text))
         for m in _LETTERS.finditer(text):
