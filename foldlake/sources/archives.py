@@ -72,10 +72,20 @@ def parse_one(path: str, limits: ArchiveLimits, password: str | None, volumes: l
 
 @dataclasses.dataclass
 class Catalog:
-    """The tables of a set of archives. parsed has a row for each, with its error if it has one."""
+    """The tables of a set of archives. parsed has a row for each, with its error if it has one; it is
+    kept until close()."""
 
     parsed: DataFrame
 
+    def close(self) -> None:
+        self.parsed.unpersist()
+
+    def __enter__(self) -> Catalog:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def _table(self, name: str) -> DataFrame:
         rows = self.parsed.where("error is null")
         return rows.select("archive_id", F.explode(name).alias("x")).select("archive_id", "x.*")
@@ -202,14 +212,14 @@ def decode_block(row: dict, read: storage.Read, password: str | None, verify: bo
         yield {**base, "error": f"{code}: {e.message}"}
 
 
-def contents(cat: Catalog, password: str | None = None, verify: bool = True, chunk: int = CHUNK, volumes: dict[str, list[str]] | None = None, blocks: list[int] | None = None) -> DataFrame:
+def contents(cat: Catalog, password: str | None = None, verify: bool = True, chunk: int = CHUNK, volumes: dict[str, list[str]] | None = None, only: DataFrame | None = None) -> DataFrame:
     """The bytes of all members with a stream: `schemas.CONTENTS`, in no order. crc32 is that of the
     member up to the end of the chunk; error tells a mismatch beside a member's last chunk, or stands
-    alone for a block."""
+    alone for a block. only: the blocks to decode (archive_id, block_index)."""
     spark = cat.parsed.sparkSession
     plan = block_plan(cat)
-    if blocks is not None:
-        plan = plan.where(F.col("block_index").isin(blocks))
+    if only is not None:
+        plan = plan.join(only.select("archive_id", "block_index"), ["archive_id", "block_index"], "left_semi")
     # by a hash of the block, so that the blocks of one large archive spread over all tasks
     plan = plan.repartition(F.xxhash64("archive_id", "block_index"))
     schema = to_arrow_schema(schemas.CONTENTS)
@@ -236,8 +246,7 @@ def read_file(cat: Catalog, name: str, password: str | None = None) -> DataFrame
     """archive_id, offset, data of the members of that name: of equal names the last one."""
     last = derive.last_by_name(cat.entries.where(F.col("name") == name), "archive_id", "name")
     wanted = derive.file_blocks(cat.entries, cat.blocks).join(last.select("archive_id", "file_index"), ["archive_id", "file_index"], "left_semi")
-    hit = [r.block_index for r in wanted.where("block_index is not null").select("block_index").distinct().collect()]
-    rows = contents(cat, password, blocks=hit)
+    rows = contents(cat, password, only=wanted.where("block_index is not null"))
     return rows.join(last.select("archive_id", "file_index"), ["archive_id", "file_index"], "left_semi").select("archive_id", "offset", "data", "error")
 
 

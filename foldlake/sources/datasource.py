@@ -2,30 +2,37 @@
 
 Options for reading: path; table (archives, entries, blocks, coders, pack_streams, sub_streams,
 contents; entries if not given); blockIndex and names (comma-separated) to read less of the contents;
-verify; chunk. For writing: path; method; level; solidBytes. A password is never an option, since
+verify; chunk; splitBytes. For a stream of chunks: path; offset; maxBytes of a batch. For writing: path;
+method; level; solidBytes. A password is never an option, since
 options show in plans: it is read from the environment variable that the option passwordVariable
 names.
 
-Metadata is a partition for each archive, contents a partition for each block. `register` adds the
-format to a session; with filter pushdown switched on in the session, equality on block_index and
+Planning lists files and no more. Metadata is a partition for each archive, contents one for each
+`splitBytes` of an archive, whose task reads the header and takes its share of the blocks. A path that
+ends in .7z is written as one archive, whose parts the commit copies together as a stream; any other
+path is a folder in which each task writes an archive of its own, so no bytes go through the driver.
+`register` adds the format to a session; with filter pushdown switched on in the session, equality on block_index and
 name prunes blocks as the options do.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
-import pickle
 from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from foldlake import schemas
 from foldlake.functions import codecs, lzma2
 from foldlake.functions.errors import ArchiveError
 from foldlake.operators.limits import ArchiveLimits
+from foldlake.schemas import PREPARED
 from foldlake.sources import archives, shipping, storage, writer
 
 
@@ -39,9 +46,16 @@ def _password(options: dict) -> str | None:
     return os.environ.get(name) if name else None
 
 
+#: Packed bytes that a task of contents takes about; bytes that a batch of a stream looks at.
+SPLIT_BYTES = 128 << 20
+BATCH_BYTES = 64 << 20
+
+
 class ArchivePartition(InputPartition):
-    def __init__(self, path: str, plan: list[dict] | None = None):
-        self.path, self.plan = path, plan
+    """An archive, or of its blocks every `of`-th from `share` on."""
+
+    def __init__(self, path: str, share: int = 0, of: int = 1):
+        self.path, self.share, self.of = path, share, of
 
 
 class ArchiveReader(DataSourceReader):
@@ -54,13 +68,11 @@ class ArchiveReader(DataSourceReader):
         paths = storage.listed([self.options["path"]])
         if self.table != "contents":
             return [ArchivePartition(p) for p in paths]
+        split = int(self.options.get("splitbytes", SPLIT_BYTES))
         out: list[InputPartition] = []
         for p in paths:
-            row = archives.parse_one(p, ArchiveLimits(), _password(self.options))
-            if row["error"]:
-                out.append(ArchivePartition(p, [{"error": row["error"]}]))
-            else:
-                out += [ArchivePartition(p, [b]) for b in self._plan(row)]
+            of = max(1, -(-storage.size(p) // split))
+            out += [ArchivePartition(p, k, of) for k in range(of)]
         return out
 
     def _plan(self, row: dict) -> Iterator[dict]:
@@ -82,12 +94,13 @@ class ArchiveReader(DataSourceReader):
     def read(self, partition: ArchivePartition) -> Iterator[tuple]:
         names = self.schema.fieldNames()
         if self.table == "contents":
-            for plan in partition.plan:
-                if "error" in plan:
-                    e = plan["error"]
+            row = archives.parse_one(partition.path, ArchiveLimits(), _password(self.options))
+            if e := row["error"]:
+                if partition.share == 0:
                     yield tuple(partition.path if n == "archive_id" else f"{e['code']}: {e['message']}" if n == "error" else None for n in names)
-                    continue
-                with storage.opened(partition.path) as (read, _):
+                return
+            with storage.opened(partition.path) as (read, _):
+                for plan in itertools.islice(self._plan(row), partition.share, None, partition.of):
                     for r in archives.decode_block(plan, read, _password(self.options), self.options.get("verify", "true") == "true", int(self.options.get("chunk", archives.CHUNK))):
                         if self.names is None or r["name"] is None or r["name"] in self.names:
                             yield tuple(r[n] for n in names)
@@ -131,11 +144,13 @@ class PartMessage(WriterCommitMessage):
 
 
 class ArchiveWriter(DataSourceWriter):
-    """Each task encodes its rows into a part beside the archive; commit puts the parts together in
-    order and moves the archive into place, abort removes them."""
+    """Each task encodes its rows into a file beside the place they go to. Of a folder these are whole
+    archives, and commit moves them there; of a path of one archive they are parts, and commit puts
+    them together in order, as a stream. abort removes them."""
 
-    def __init__(self, schema: StructType, options: dict):
-        self.names, self.options = schema.fieldNames(), options
+    def __init__(self, schema: StructType, options: dict, overwrite: bool = False):
+        self.names, self.options, self.overwrite = schema.fieldNames(), options, overwrite
+        self.single = options["path"].endswith(".7z")
         if not {"name", "data"} <= set(self.names):
             raise ArchiveError("InvalidArgument", "rows to write have a name and data")
 
@@ -146,44 +161,69 @@ class ArchiveWriter(DataSourceWriter):
         writer.check_methods(found)
         return found
 
+    def _prepared(self, rows: Iterator) -> Iterator[dict]:
+        path, methods, password = self.options["path"], self._methods(), _password(self.options)
+        solid = int(self.options.get("solidbytes", 0))
+        held: list[dict] = []
+        size = 0
+        for row in rows:
+            r = dict(zip(self.names, row, strict=True))
+            r["data"] = None if r["data"] is None else bytes(r["data"])
+            n = len(r["data"] or b"")
+            if held and (not solid or size + n >= solid):
+                yield writer._prepare(path, 0, held, methods, password)
+                held, size = [], 0
+            held.append(r)
+            size += n
+        if held:
+            yield writer._prepare(path, 0, held, methods, password)
+
     def write(self, rows: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        path, methods, password = self.options["path"], self._methods(), _password(self.options)
-        solid = int(self.options.get("solidbytes", 0))
-        name = f"{path}.parts/{task.partitionId():08d}-{task.taskAttemptId()}"
+        path = self.options["path"].rstrip("/")
+        base = f"{path}.parts" if self.single else f"{path}/_parts"
+        name = f"{base}/part-{task.partitionId():08d}-{task.taskAttemptId()}" + ("" if self.single else ".7z")
+        if not self.single:
+            whole = None
+            for r in self._prepared(rows):
+                whole = whole or writer._Archive(name)
+                whole.append(r)
+            if whole is not None:
+                whole.finish(_password(self.options), True)
+            return PartMessage(name if whole is not None else None)
         store, at = storage.resolve(name)
         store.create_dir(os.path.dirname(at), recursive=True)
-        held: list[dict] = []
-        size = count = 0
-        with store.open_output_stream(at) as out:
-
-            def flush() -> None:
-                nonlocal held, size
-                if held:
-                    out.write(_framed(writer._prepare(path, 0, held, methods, password)))
-                held, size = [], 0
-
-            for row in rows:
-                r = dict(zip(self.names, row, strict=True))
-                r["data"] = None if r["data"] is None else bytes(r["data"])
-                n = len(r["data"] or b"")
-                if held and (not solid or size + n >= solid):
-                    flush()
-                held.append(r)
-                size += n
+        schema, count = to_arrow_schema(PREPARED), 0
+        with store.open_output_stream(at) as out, pa.ipc.new_stream(out, schema) as batches:
+            for r in self._prepared(rows):
+                batches.write_batch(pa.RecordBatch.from_pylist([r], schema))
                 count += 1
-            flush()
         return PartMessage(name if count else None)
 
     def commit(self, messages) -> None:
+        parts = sorted(m.part for m in messages if m is not None and m.part)
+        path = self.options["path"].rstrip("/")
+        if not self.single:
+            store, folder = storage.resolve(path)
+            store.create_dir(folder, recursive=True)
+            old = [f for f in storage.listed([path]) if "/_parts/" not in f] if self.overwrite else []
+            for f in parts:
+                store.move(storage.resolve(f)[1], storage.resolve(f"{path}/{f.rsplit('/', 1)[1]}")[1])
+            moved = {f.rsplit("/", 1)[1] for f in parts}
+            for f in old:
+                if f.rsplit("/", 1)[1] not in moved:
+                    store.delete_file(storage.resolve(f)[1])
+            self._clear()
+            return
         whole = writer._Archive(self.options["path"])
-        for name in sorted(m.part for m in messages if m is not None and m.part):
+        for name in parts:
             store, at = storage.resolve(name)
-            with store.open_input_stream(at) as f:
-                while head := f.read(8):
-                    whole.append(pickle.loads(f.read(int.from_bytes(head, "little"))))
+            with store.open_input_stream(at) as f, pa.ipc.open_stream(f) as batches:
+                for batch in batches:
+                    for row in batch.to_pylist():
+                        whole.append(row)
         whole.finish(_password(self.options), True)
         self._clear()
 
@@ -191,31 +231,29 @@ class ArchiveWriter(DataSourceWriter):
         self._clear()
 
     def _clear(self) -> None:
-        store, at = storage.resolve(f"{self.options['path']}.parts")
+        path = self.options["path"].rstrip("/")
+        store, at = storage.resolve(f"{path}.parts" if self.single else f"{path}/_parts")
         try:
             store.delete_dir(at)
         except FileNotFoundError:
             pass
 
 
-def _framed(row: dict) -> bytes:
-    data = pickle.dumps(row)
-    return len(data).to_bytes(8, "little") + data
-
-
 class ChunkStream(SimpleDataSourceStreamReader):
     """Chunks of an LZMA2 stream in a file that grows. The offset is the place behind the last whole
-    chunk, so a batch never looks past the bytes that are there."""
+    chunk, so a batch never looks past the bytes that are there, nor at more than maxBytes of them."""
 
     def __init__(self, options: dict):
         self.path, self.first = options["path"], int(options.get("offset", 0))
+        # a whole chunk must fit
+        self.most = max(int(options.get("maxbytes", BATCH_BYTES)), 1 << 18)
 
     def initialOffset(self) -> dict:
         return {"at": self.first, "done": False}
 
     def _from(self, at: int, end: int | None) -> tuple[list[tuple], dict]:
         with storage.opened(self.path) as (read, length):
-            data = read(at, (length if end is None else end) - at)
+            data = read(at, min(self.most, (length if end is None else end) - at))
         rows, done, place = [], False, at
         for c in lzma2.chunks(data, at):
             place = c["packed_offset"] + c["packed_len"]
@@ -245,7 +283,7 @@ class ArchiveSource(DataSource):
         return ArchiveReader(schema, _plain(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return ArchiveWriter(schema, _plain(self.options))
+        return ArchiveWriter(schema, _plain(self.options), overwrite)
 
     def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
         return ChunkStream(_plain(self.options))

@@ -9,10 +9,15 @@ from contextlib import contextmanager
 from pyarrow import fs
 
 
+# What Arrow calls the schemes of Hadoop's file systems.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def resolve(path: str) -> tuple[fs.FileSystem, str]:
     if path.startswith("file:/") and not path.startswith("file://"):
         path = f"file://{path[5:]}"
-    return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    scheme, colon, rest = path.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}" if colon else os.path.abspath(path))
 
 
 @contextmanager
@@ -57,6 +62,12 @@ def listed(paths: Iterable[str], suffix: str = ".7z") -> list[str]:
     return out
 
 
+def size(path: str) -> int:
+    """The bytes of a file; 0 where there is none."""
+    store, name = resolve(path)
+    return store.get_file_info(name).size or 0
+
+
 def write_whole(path: str, chunks: Iterable[bytes]) -> None:
     """A file that is there whole or not at all."""
     store, name = resolve(path)
