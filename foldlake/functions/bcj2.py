@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 
 from foldlake.functions.errors import corrupted
@@ -9,9 +10,8 @@ from foldlake.functions.errors import corrupted
 # The range coder's scale.
 MODEL_BITS, MOVE_BITS, TOP = 11, 5, 1 << 24
 
-
-def _is_branch(before: int, byte: int) -> bool:
-    return byte & 0xFE == 0xE8 or (before == 0x0F and byte & 0xF0 == 0x80)
+#: A call, a jump, or the second byte of a conditional one.
+_BRANCH = re.compile(rb"[\xe8\xe9]|(?<=\x0f)[\x80-\x8f]", re.DOTALL)
 
 
 def _model(before: int, byte: int) -> int:
@@ -30,12 +30,19 @@ def decode(inputs: list[bytes], size: int) -> bytes:
     while len(out) < size:
         if at >= len(main):
             raise corrupted("BCJ2's main stream is cut short")
-        byte = main[at]
-        at += 1
-        out.append(byte)
-        if not _is_branch(before, byte):
-            before = byte
-            continue
+        # behind a target, what stands before a byte isn't in the main stream
+        m = None if before == 0x0F and main[at] & 0xF0 == 0x80 else _BRANCH.search(main, at)
+        stop = at + 1 if before == 0x0F and main[at] & 0xF0 == 0x80 else m.end() if m else len(main)
+        fresh = main[at : min(stop, at + size - len(out))]
+        if len(fresh) > 1:
+            before = fresh[-2]
+        out += fresh
+        at += len(fresh)
+        byte = fresh[-1]
+        if at < stop or (m is None and stop == len(main) and not (byte & 0xF0 == 0x80 and before == 0x0F)):
+            if len(out) < size:
+                raise corrupted("BCJ2's main stream is cut short")
+            break
         if len(out) == size:
             break
         k = _model(before, byte)
@@ -82,16 +89,15 @@ def encode(data: bytes, reach: int = 1 << 26) -> list[bytes]:
         pending += 1
         low = (low & 0x00FFFFFF) << 8
 
-    i, before = 0, 0
+    i = 0
     while i < len(data):
-        byte = data[i]
-        main.append(byte)
-        i += 1
-        if not _is_branch(before, byte):
-            before = byte
-            continue
-        if i == len(data):
+        m = _BRANCH.search(data, i)
+        stop = m.end() if m else len(data)
+        main += data[i:stop]
+        i = stop
+        if m is None or i == len(data):
             break
+        byte, before = data[i - 1], data[i - 2] if i > 1 else 0
         taken = False
         if i + 4 <= len(data):
             offset = struct.unpack_from("<i", data, i)[0]
@@ -107,12 +113,10 @@ def encode(data: bytes, reach: int = 1 << 26) -> list[bytes]:
         if span < TOP:
             span = span << 8 & 0xFFFFFFFF
             shift()
-        before = byte
         if taken:
             target = (struct.unpack_from("<I", data, i)[0] + i + 4) & 0xFFFFFFFF
             (call if byte == 0xE8 else jump).extend(target.to_bytes(4, "big"))
             i += 4
-            before = data[i - 1]
     for _ in range(5):
         shift()
     return [bytes(main), bytes(call), bytes(jump), bytes(coded)]

@@ -13,6 +13,7 @@ import lzma
 import os
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +123,60 @@ def arm64(data: bytes, encode: bool, place: int = 0) -> bytes:
     return words.astype("<u4").tobytes() + data[4 * n :]
 
 
+def riscv(data: bytes, encode: bool, place: int = 0, last: bool = True) -> tuple[bytes, int]:
+    """Jumps and address pairs of RISC-V, relative to absolute and back: the bytes that are settled,
+    changed, and how many they are. An instruction is looked at with the eight bytes from it on, so
+    the last seven wait for more unless this is the end. place: where data begins in the whole."""
+    out, n = bytearray(data), len(data)
+    values = np.frombuffer(data, np.uint8)[: max(0, n - 7) : 2]
+    found = np.flatnonzero((values == 0xEF) | (values & 0x7F == 0x17)) * 2
+    free = 0  # where the next instruction may begin
+    for i in found.tolist():
+        if i < free:
+            continue
+        here = place + i
+        word = int.from_bytes(out[i : i + 4], "little")
+        if word & 0xFF == 0xEF:
+            if word & 0x0D00:  # the link goes to a register that calls don't use
+                continue
+            if encode:
+                target = (word >> 20 & 0x7FE) | (word >> 9 & 0x800) | (word & 0xFF000) | (word >> 11 & 0x100000)
+                target += here
+                out[i + 1] = out[i + 1] & 0x0F | target >> 13 & 0xF0
+                out[i + 2], out[i + 3] = target >> 9 & 0xFF, target >> 1 & 0xFF
+            else:
+                target = (out[i + 1] & 0xF0) << 13 | out[i + 2] << 9 | out[i + 3] << 1
+                target = (target - here) & 0xFFFFFFFF
+                word = word & 0xFFF | target & 0xFF000 | (target & 0x800) << 9 | (target & 0x7FE) << 20 | (target & 0x100000) << 11
+                out[i : i + 4] = word.to_bytes(4, "little")
+            free = i + 4
+            continue
+        after = int.from_bytes(out[i + 4 : i + 8], "little")
+        if word & 0xE80:  # a page address in a register of its own, and what adds to it
+            if (word << 8 ^ (after - 3)) & 0xF8003:
+                free = i + 6
+                continue
+            if encode:
+                target = ((word & 0xFFFFF000) + (after >> 20) - (after >> 19 & 0x1000) + here) & 0xFFFFFFFF
+                pair = (0x117 | after << 12) & 0xFFFFFFFF, int.from_bytes(target.to_bytes(4, "big"), "little")
+            else:
+                pair = (0x117 | after << 12) & 0xFFFFFFFF, (word & 0xFFFFF000) + (after >> 20) & 0xFFFFFFFF
+        else:  # what an encoder makes of a pair, or stands in for what looks like that
+            register = word >> 27
+            if (word - 0x3117 << 18 & 0xFFFFFFFF) >= register & 0x1D:
+                free = i + 4
+                continue
+            if encode:
+                pair = (0x17 | register << 7 | after & 0xFFFFF000) & 0xFFFFFFFF, (word >> 12 | after << 20) & 0xFFFFFFFF
+            else:
+                target = (int.from_bytes(out[i + 4 : i + 8], "big") - here) & 0xFFFFFFFF
+                pair = 0x17 | register << 7 | target + 0x800 & 0xFFFFF000, (word >> 12 | target << 20) & 0xFFFFFFFF
+        out[i : i + 4], out[i + 4 : i + 8] = (p.to_bytes(4, "little") for p in pair)
+        free = i + 8
+    done = n if last else max(free, (n - 7 + 1) // 2 * 2 if n > 7 else 0)
+    return bytes(out[:done]), done
+
+
 def delta(data: bytes, distance: int, encode: bool) -> bytes:
     values = np.frombuffer(data, np.uint8)
     if encode:
@@ -178,9 +233,28 @@ def _framed(data: bytes, codec: str, frame: int | None, level: int | None) -> by
     return b"".join(out)
 
 
+#: Coders that a host brings along or puts in the place of these, by method name.
+DECODERS: dict[str, Callable[[bytes, bytes, int, str | None], bytes]] = {}
+ENCODERS: dict[str, Callable[[bytes, Options, str | None], tuple[bytes, bytes]]] = {}
+
+
+def register(method: str, decode: Callable[[bytes, bytes, int, str | None], bytes] | None = None, encode: Callable[[bytes, Options, str | None], tuple[bytes, bytes]] | None = None, method_id: bytes | None = None) -> None:
+    """A coder of the host's in this process: decode(properties, data, size, password) gives the
+    bytes, encode(data, options, password) the properties and the packed bytes. None takes it back.
+    Workers are other processes: what they shall have, the `setup` of a walk or of contents registers."""
+    for table, coder in ((DECODERS, decode), (ENCODERS, encode)):
+        table.pop(method, None)
+        if coder is not None:
+            table[method] = coder
+    if method_id is not None:
+        NAMES[method_id], IDS[method] = method, method_id
+
+
 def decode(method: str | None, properties: bytes, data: bytes, size: int, password: str | None = None) -> bytes:
     """One coder's output, exactly `size` bytes."""
-    if method == "COPY":
+    if method in DECODERS:
+        out = DECODERS[method](properties, data, size, password)
+    elif method == "COPY":
         out = data
     elif method == "LZMA":
         out = _raw(data, [_lzma_filter(properties, size)], size)
@@ -213,6 +287,8 @@ def decode(method: str | None, properties: bytes, data: bytes, size: int, passwo
         out = branch_decode(method, data)
     elif method == "BCJ_ARM64":
         out = arm64(data, False)
+    elif method == "BCJ_RISCV":
+        out = riscv(data, False)[0]
     elif method == "DELTA":
         out = delta(data, (properties[0] if properties else 0) + 1, False)
     elif method == "AES256_SHA256":
@@ -234,6 +310,8 @@ def _compressed(data: bytes, spec: dict) -> bytes:
 
 def encode(method: str, data: bytes, options: Options = Options(), password: str | None = None) -> tuple[bytes, bytes]:  # noqa: B008
     """(properties, packed)."""
+    if method in ENCODERS:
+        return ENCODERS[method](data, options, password)
     level = max(0, min(9, options.level))
     if method == "COPY":
         return b"", data
@@ -268,6 +346,8 @@ def encode(method: str, data: bytes, options: Options = Options(), password: str
         return b"", branch_encode(method, data)
     if method == "BCJ_ARM64":
         return b"", arm64(data, True)
+    if method == "BCJ_RISCV":
+        return b"", riscv(data, True)[0]
     if method == "DELTA":
         if not 1 <= options.distance <= 256:
             raise ArchiveError("InvalidArgument", "a delta distance is 1 to 256")
@@ -289,3 +369,18 @@ def encode_chain(methods: list[tuple[str, Options]], data: bytes, password: str
         properties, data = encode(method, data, options, password)
         coders.append((method, properties, size))
     return coders, data
+
+
+def encode_bcj2(methods: list[tuple[str, Options]], data: bytes, password: str | None = None) -> tuple[list[tuple[str, bytes, int]], list[bytes]]:
+    """x86 code as four streams: the coders BCJ2, that of the main stream (the second method) and two
+    LZMA coders for targets, and the packed streams main, call, jump and range coder."""
+    from foldlake.functions import bcj2
+
+    (_, _), (method, options) = methods
+    main, call, jump, coded = bcj2.encode(data)
+    coders, packed = [("BCJ2", b"", len(data))], []
+    for name, how, stream in ((method, options, main), ("LZMA", Options(level=options.level), call), ("LZMA", Options(level=options.level), jump)):
+        properties, out = encode(name, stream, how, password)
+        coders.append((name, properties, len(stream)))
+        packed.append(out)
+    return coders, [*packed, coded]

@@ -14,8 +14,8 @@ CHUNKS = table(archive_id=TEXT, block_index=LONG, packed_offset=LONG, control=IN
 END = 0
 
 
-def chunk_at(data: bytes, at: int) -> dict | None:
-    """The chunk at a place: None if its header or payload isn't all there. A control of 0 ends the
+def header_at(data: bytes, at: int = 0) -> dict | None:
+    """The chunk whose header is at a place: None if that isn't all there. A control of 0 ends the
     stream. packed_len holds header and payload."""
     if at >= len(data):
         return None
@@ -33,11 +33,15 @@ def chunk_at(data: bytes, at: int) -> dict | None:
     else:
         unpacked = ((control & 0x1F) << 16) + int.from_bytes(data[at + 1 : at + 3], "big") + 1
         payload = int.from_bytes(data[at + 3 : at + 5], "big") + 1
-    if at + header + payload > len(data):
-        return None
     return {"control": control, "header_len": header, "packed_len": header + payload, "unpacked_len": unpacked, "is_reset": control == 1 or control >= 0xE0, "is_stored": stored}
 
 
+def chunk_at(data: bytes, at: int) -> dict | None:
+    """The chunk at a place: None if its header or payload isn't all there."""
+    found = header_at(data, at)
+    return None if found is None or at + found["packed_len"] > len(data) else found
+
+
 def chunks(data: bytes, base: int = 0) -> Iterator[dict]:
     """The whole chunks from the start of data on, up to the end mark or the last whole one."""
     at = 0

@@ -199,9 +199,20 @@ def _exactly(parts: Iterator[bytes], size: int, method: str) -> Iterator[bytes]:
         raise corrupted(f"{method} ends after {done} of {size} bytes")
 
 
+def _riscv(parts: Iterator[bytes]) -> Iterator[bytes]:
+    held, at = b"", 0
+    for p in parts:
+        out, done = codecs.riscv(held + p, False, at, False)
+        held, at = (held + p)[done:], at + done
+        yield out
+    yield codecs.riscv(held, False, at)[0]
+
+
 def decoded(method: str | None, properties: bytes, parts: Iterator[bytes], size: int, password: str | None = None) -> Iterator[bytes]:
     """One coder's output, exactly `size` bytes in all."""
-    if method == "COPY":
+    if method in codecs.DECODERS:
+        out = iter([codecs.DECODERS[method](properties, b"".join(parts), size, password)])
+    elif method == "COPY":
         out = parts
     elif method == "LZMA":
         out = _lzma(parts, [codecs._lzma_filter(properties, size)])
@@ -222,6 +233,8 @@ def decoded(method: str | None, properties: bytes, parts: Iterator[bytes], size:
         out = _branch(parts, method)
     elif method == "BCJ_ARM64":
         out = (codecs.arm64(p, False, at) for at, p in _aligned(parts, 4))
+    elif method == "BCJ_RISCV":
+        out = _riscv(parts)
     elif method == "DELTA":
         out = _delta(parts, (properties[0] if properties else 0) + 1)
     elif method == "AES256_SHA256":

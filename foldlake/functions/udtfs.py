@@ -1,4 +1,5 @@
-"""Table functions for SQL: `SELECT * FROM list_entries(content)`, `lzma2_runs(stream)`."""
+"""Table functions for SQL: `SELECT * FROM list_entries(content)`, `unpack_archive(content)`,
+`lzma2_runs(stream)`."""
 
 from __future__ import annotations
 
@@ -34,9 +35,24 @@ class Lzma2Runs:
             yield run, packed_offset, packed_size, output_offset, output_len, output_len > 0 and lzma * 64 <= output_len
 
 
+class UnpackArchive:
+    """The members of an archive that is a value, if it declares no more than a GiB."""
+
+    def eval(self, content: bytes):
+        from foldlake.functions.errors import ArchiveError
+        from foldlake.sources import in_memory
+
+        try:
+            for name, data in in_memory.unpack(content):
+                yield name, data, None
+        except ArchiveError as e:
+            yield None, None, str(e)
+
+
 def register(spark: SparkSession) -> None:
     from foldlake.sources.shipping import ship
 
     ship(spark)
     spark.udtf.register("list_entries", udtf(ListEntries, returnType="file_index long, name string, size long, crc long, error string"))
+    spark.udtf.register("unpack_archive", udtf(UnpackArchive, returnType="name string, data binary, error string"))
     spark.udtf.register("lzma2_runs", udtf(Lzma2Runs, returnType="run_index long, packed_offset long, packed_size long, output_offset long, output_len long, stored boolean"))

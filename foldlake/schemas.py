@@ -43,8 +43,9 @@ for _name in ("entries", "blocks", "pack_streams", "sub_streams"):
     PARSED = PARSED.add(_name, ArrayType(without_archive(TABLES[_name])))
 
 MEMBER = table(name=TEXT, size=LONG, crc=LONG, mtime_ticks=TICKS, windows_attributes=LONG, has_stream=FLAG, is_directory=FLAG)
-#: An encoded block that no archive holds yet.
+#: An encoded block that no archive holds yet. pack_sizes cuts the packed bytes of a block with several
+#: packed streams; null: there is one.
 PREPARED = table(
     archive_id=TEXT, place=LONG, packed=BYTES, packed_crc=LONG, crc=LONG, unpack_size=LONG,
-    coders=ArrayType(table(method=TEXT, properties=BYTES, size=LONG)), members=ArrayType(MEMBER),
+    coders=ArrayType(table(method=TEXT, properties=BYTES, size=LONG)), members=ArrayType(MEMBER), pack_sizes=ArrayType(LONG),
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 from collections.abc import Callable, Iterator
 
@@ -46,20 +47,66 @@ def _confined(root: str, name: str) -> str:
     return at
 
 
-def extract(contents: DataFrame, root: str) -> DataFrame:
+#: Ticks of 100 ns from 1601 to 1970.
+EPOCH_TICKS = 116_444_736_000_000_000
+
+
+def _times(row: dict) -> tuple[int, int] | None:
+    """Nanoseconds of access and change since 1970 where the entry has one of them."""
+    changed, seen = row.get("mtime_ticks"), row.get("atime_ticks")
+    if changed is None and seen is None:
+        return None
+    at = lambda ticks: (int(ticks) - EPOCH_TICKS) * 100
+    return at(seen if seen is not None else changed), at(changed if changed is not None else seen)
+
+
+class Target:
+    """A file as it is written beside its place; a file that is there is replaced, never truncated."""
+
+    def __init__(self, path: str):
+        self.path = path
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        self.part = f"{path}.part-{os.getpid()}"
+        self.file = open(self.part, "wb")  # noqa: SIM115
+
+    def write(self, data: bytes) -> int:
+        return self.file.write(data)
+
+    def close(self, times: tuple[int, int] | None) -> None:
+        self.file.close()
+        if times is not None:
+            # a time that the platform can't hold is left unset
+            with contextlib.suppress(OSError, OverflowError, ValueError):
+                os.utime(self.part, ns=times)
+        os.replace(self.part, self.path)
+
+    def drop(self) -> None:
+        self.file.close()
+        os.unlink(self.part)
+
+
+def extract(contents: DataFrame, root: str, entries: DataFrame | None = None) -> DataFrame:
     """Writes members below a folder that all executors share; gives archive_id, name, n_bytes,
-    error. A member's chunks are put in order by one task; a file is replaced, never truncated in
-    place, and a name that isn't safe or crosses a link is refused as a value."""
+    error. All that goes to one place is written by one task in the order of archive, entry and
+    offset, so of equal names the last one stays; a file is replaced, never truncated in place, and a
+    name that isn't safe or crosses a link is refused as a value. With the catalog's entries, files get
+    their times, and folders and members without a stream are made too."""
     shipping.ship(contents.sparkSession)
     schema = pa.schema([("archive_id", pa.string()), ("name", pa.string()), ("n_bytes", pa.int64()), ("error", pa.string())])
+    nothing = F.lit(None)
+    rows = contents.select("archive_id", "file_index", "name", "offset", "data", "error", F.lit(True).alias("has_stream"), F.lit(False).alias("is_directory"), nothing.cast("decimal(20,0)").alias("atime_ticks"), nothing.cast("decimal(20,0)").alias("mtime_ticks"))
+    if entries is not None:
+        # before a member's bytes comes what its entry says
+        rows = rows.unionByName(entries.select("archive_id", "file_index", "name", F.lit(-1).cast("long").alias("offset"), nothing.cast("binary").alias("data"), nothing.cast("string").alias("error"), "has_stream", "is_directory", "atime_ticks", "mtime_ticks"))
+    parts = F.filter(F.split(F.replace("name", F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", "."))
+    rows = rows.withColumn("place", F.coalesce(F.array_join(parts, "/"), F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: dict | None = None
 
         def close() -> dict:
             if current["file"] is not None:
-                current["file"].close()
-                os.replace(current["part"], current["path"])
+                current["file"].close(_times(current)) if current["error"] is None else current["file"].drop()
             return {k: current[k] for k in schema.names}
 
         for batch in batches:
@@ -68,16 +115,19 @@ def extract(contents: DataFrame, root: str) -> DataFrame:
                 if current is None or (current["archive_id"], current["file_index"]) != (r["archive_id"], r["file_index"]):
                     if current is not None:
                         done.append(close())
-                    current = {"archive_id": r["archive_id"], "name": r["name"], "file_index": r["file_index"], "n_bytes": 0, "error": r["error"], "file": None, "path": None, "part": None}
+                    current = {**r, "n_bytes": 0, "file": None}
                     if r["error"] is None:
                         try:
-                            current["path"] = _confined(root, r["name"])
-                            os.makedirs(os.path.dirname(current["path"]), exist_ok=True)
-                            current["part"] = f"{current['path']}.part-{os.getpid()}"
-                            current["file"] = open(current["part"], "wb")  # noqa: SIM115
+                            at = _confined(root, r["name"] or "")
+                            if r["is_directory"]:
+                                os.makedirs(at, exist_ok=True)
+                            else:
+                                current["file"] = Target(at)
                         except OSError as e:
                             current["error"] = str(e)
-                if current["file"] is not None:
+                if r["error"] is not None:
+                    current["error"] = r["error"]
+                elif current["file"] is not None and r["data"] is not None:
                     current["file"].write(r["data"])
                     current["n_bytes"] += len(r["data"])
             if done:
@@ -85,7 +135,5 @@ def extract(contents: DataFrame, root: str) -> DataFrame:
         if current is not None:
             yield pa.RecordBatch.from_pylist([close()], schema)
 
-    rows = contents.repartition("archive_id", "file_index").sortWithinPartitions("archive_id", "file_index", "offset")
+    rows = rows.repartition("place").sortWithinPartitions("place", "archive_id", "file_index", "offset").drop("place")
     return rows.mapInArrow(run, "archive_id string, name string, n_bytes long, error string")
-
-

@@ -454,16 +454,21 @@ def unsafe_reason(name: str) -> str | None:
 
 
 def _recover(read, length: int, limits: ArchiveLimits, password: str | None, major: int, minor: int) -> Parsed:
-    """A start header of zeros: the last place in the file's last MiB where a header with files begins.
-    A candidate that can't be parsed ends the search with its error."""
+    """A start header of zeros: each byte of the file's last MiB that could begin a header is tried as
+    one, the last first, and the first with files counts. A candidate that can't be parsed ends the
+    search with its error, and so does one that would be longer than a header may be."""
     begin = max(HEADER_SIZE, length - RECOVERY_BYTES)
     tail = read(begin, length - begin)
+    longest = len(tail) if limits.max_header_bytes is None else limits.max_header_bytes
     for i in range(len(tail) - 2, -1, -1):
-        if tail[i] in (HEADER, ENCODED) and (tail[i], tail[i + 1]) in ((HEADER, MAIN), (HEADER, FILES), (ENCODED, PACK_INFO)):
-            data = tail[i:]
-            streams, files = _header(read, data, length, limits, password, 0)
-            if files:
-                return Parsed(major, minor, length, begin + i - HEADER_SIZE, len(data), zlib.crc32(data), streams, files)
+        if tail[i] not in (HEADER, ENCODED):
+            continue
+        data = tail[i:]
+        if len(data) > longest:
+            raise exceeded("HeaderBytes", longest, len(data))
+        streams, files = _header(read, data, length, limits, password, 0)
+        if files:
+            return Parsed(major, minor, length, begin + i - HEADER_SIZE, len(data), zlib.crc32(data), streams, files)
     raise corrupted("no header was found")
 
 
@@ -602,6 +607,15 @@ def chain_folder(coders: list[tuple[str, bytes, int]]) -> dict:
     }
 
 
+def bcj2_folder(coders: list[tuple[str, bytes, int]]) -> dict:
+    """A folder of BCJ2 and the coders of its first three inputs; the fourth is packed as it is."""
+    return {
+        "coders": [{"method_id": codecs.IDS[m], "num_in": 4 if k == 0 else 1, "num_out": 1, "properties": p} for k, (m, p, _) in enumerate(coders)],
+        "bind_pairs": [{"in_index": k, "out_index": k + 1} for k in range(3)],
+        "packed_streams": [4, 5, 6, 3], "unpack_sizes": [s for _, _, s in coders], "unpack_size": coders[0][2], "crc": None,
+    }
+
+
 def close(header: bytes, at: int, compress: bool = True, password: str | None = None) -> tuple[bytes, bytes]:
     """(start header, what follows the packed streams that end at `at` bytes behind the start
     header). The header is packed with LZMA, and encrypted with a password; it stays plain where that

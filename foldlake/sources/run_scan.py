@@ -23,29 +23,79 @@ from foldlake.sources import archives, header, shipping, storage
 from foldlake.streaming.runs import advance
 
 RUNS = "archive_id string, block_index long, run_index long, packed_at long, packed_size long, output_offset long, output_len long, error string"
+#: Bytes that are read at once: the payloads between chunk headers are no longer than 64 KiB.
+WINDOW = 1 << 20
 HEADER_BYTES = 6
 
 
 def block_runs(read: storage.Read, start: int, size: int, unpacked: int) -> list[tuple]:
     """(run_index, packed_at, packed_size, output_offset, output_len) of a packed stream, from its
     chunk headers; all of it or an error."""
-    at, state, out = 0, None, []
+    state, out = None, []
+    for chunk in _chunks(read, start, size):
+        state, closed = advance(state, [{**chunk, "packed_offset": start + chunk["packed_offset"]}])
+        out += [r[:5] for r in closed]
+    if sum(r[4] for r in out) != unpacked:
+        raise corrupted("an LZMA2 stream has not the size that is declared")
+    return out
+
+
+def _chunks(read: storage.Read, start: int, size: int, window: int = WINDOW) -> Iterator[dict]:
+    """The chunks of a packed stream up to its end mark, from windows of its bytes."""
+    at = begin = 0
+    data = b""
     while True:
-        head = read(start + at, min(HEADER_BYTES, size - at))
+        if at + HEADER_BYTES > begin + len(data) and begin + len(data) < size:
+            begin, data = at, read(start + at, min(window, size - at))
+        head = data[at - begin : at - begin + HEADER_BYTES]
         if not head:
             raise corrupted("an LZMA2 stream has no end")
         # a header alone: the payload counts as there if it lies within the stream
-        chunk = lzma2.chunk_at(head + bytes(1 << 16), 0)
+        chunk = lzma2.header_at(head)
         if chunk is None or at + chunk["packed_len"] > size:
             raise corrupted("an LZMA2 chunk is cut short")
-        state, closed = advance(state, [{"packed_offset": start + at, **chunk}])
-        out += [r[:5] for r in closed]
+        yield {"packed_offset": at, **chunk}
         at += chunk["packed_len"]
         if chunk["control"] == lzma2.END:
-            break
-    if sum(r[4] for r in out) != unpacked:
-        raise corrupted("an LZMA2 stream has not the size that is declared")
-    return out
+            return
+
+
+def is_single_run(read: storage.Read, start: int, size: int, unpacked: int, most: int = 1024) -> bool:
+    """Whether a packed stream is one run, from at most `most` chunk headers; a hint for planning:
+    damage, another run or too many chunks give False."""
+    state, n = None, 0
+    try:
+        for chunk in _chunks(read, start, size, 64):
+            n += 1
+            if n > most:
+                return False
+            state, closed = advance(state, [chunk])
+            if closed:
+                whole = chunk["control"] == lzma2.END and chunk["packed_offset"] + 1 == size
+                return whole and len(closed) == 1 and closed[0][:2] == (0, 0) and closed[0][4] == unpacked
+            if not chunk["is_reset"] and chunk["packed_offset"] == 0 or state is not None and state[4] > unpacked:
+                return False
+    except (ArchiveError, OSError):
+        return False
+    return False
+
+
+def single_runs(blocks: DataFrame) -> DataFrame:
+    """archive_id, block_index, single of planned blocks: which a task needn't cut."""
+    shipping.ship(blocks.sparkSession)
+    schema = pa.schema([("archive_id", pa.string()), ("block_index", pa.int64()), ("single", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                with storage.opened(row["archive_id"]) as (read, _):
+                    pack = row["packs"][0]
+                    single = is_single_run(read, header.HEADER_SIZE + row["pack_pos"] + pack["offset"], pack["size"], row["unpack_size"])
+                out.append({"archive_id": row["archive_id"], "block_index": row["block_index"], "single": single})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return blocks.repartition(F.xxhash64("archive_id", "block_index")).mapInArrow(run, "archive_id string, block_index long, single boolean")
 
 
 def plan(cat: archives.Catalog) -> DataFrame:

@@ -68,6 +68,11 @@ def size(path: str) -> int:
     return store.get_file_info(name).size or 0
 
 
+def there(path: str) -> bool:
+    store, name = resolve(path)
+    return store.get_file_info(name).type != fs.FileType.NotFound
+
+
 def write_whole(path: str, chunks: Iterable[bytes]) -> None:
     """A file that is there whole or not at all."""
     store, name = resolve(path)

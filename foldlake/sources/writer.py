@@ -29,8 +29,8 @@ def check_methods(methods: Methods) -> None:
     names = [m for m, _ in methods]
     if not names:
         raise ArchiveError("InvalidArgument", "a block needs a method")
-    if "BCJ2" in names:
-        raise ArchiveError("InvalidArgument", "BCJ2 has several streams; it is not written in a chain")
+    if "BCJ2" in names and (names[0] != "BCJ2" or len(names) != 2 or names[1] in ("BCJ2", "AES256_SHA256")):
+        raise ArchiveError("InvalidArgument", "BCJ2 has several streams: it comes first, with one method for the main one")
     if "AES256_SHA256" in names[:-1]:
         raise ArchiveError("InvalidArgument", "encryption comes last")
 
@@ -49,14 +49,17 @@ def _prepare(archive: str, place: int, rows: list[dict], methods: Methods, passw
         if stream:
             plain.append(data)
             crc = combine(crc, own, len(data))
-    whole = b"".join(plain)
-    if plain:
+    whole, sizes = b"".join(plain), None
+    if plain and methods[0][0] == "BCJ2":
+        coders, streams = codecs.encode_bcj2(methods, whole, password)
+        packed, sizes = b"".join(streams), [len(s) for s in streams]
+    elif plain:
         coders, packed = codecs.encode_chain(methods, whole, password)
     else:
         coders, packed = [], b""
     return {
         "archive_id": archive, "place": place, "packed": packed, "packed_crc": zlib.crc32(packed), "crc": crc if plain else None, "unpack_size": len(whole),
-        "coders": [{"method": m, "properties": p, "size": s} for m, p, s in coders], "members": members,
+        "coders": [{"method": m, "properties": p, "size": s} for m, p, s in coders], "members": members, "pack_sizes": sizes,
     }
 
 
@@ -123,13 +126,17 @@ class _Archive:
     def append(self, row: dict) -> None:
         members = row["members"]
         if row["coders"]:
-            folder = header.chain_folder([(c["method"], c["properties"], c["size"]) for c in row["coders"]])
+            found = [(c["method"], c["properties"], c["size"]) for c in row["coders"]]
+            folder = header.bcj2_folder(found) if row.get("pack_sizes") else header.chain_folder(found)
             streams = [m for m in members if m["has_stream"]]
             folder["crc"] = row["crc"] if len(streams) == 1 else None
             self.folders.append(folder)
             self.subs.append([(m["size"], m["crc"]) for m in streams])
-            self.sizes.append(len(row["packed"]))
-            self.crcs.append(row["packed_crc"])
+            at = 0
+            for size in row.get("pack_sizes") or [len(row["packed"])]:
+                self.sizes.append(size)
+                self.crcs.append(zlib.crc32(row["packed"][at : at + size]) if row.get("pack_sizes") else row["packed_crc"])
+                at += size
             self.out.write(row["packed"])
             self.packed += len(row["packed"])
         self.files += members
@@ -185,7 +192,7 @@ def copy_blocks(cat, rename: Column) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{
                     "archive_id": row["archive_id"], "place": row["block_index"], "packed": packed, "packed_crc": zlib.crc32(packed),
                     "crc": row["block_crc"] if row["block_crc"] is not None else members[0]["crc"] if len(members) == 1 else None,
-                    "unpack_size": row["unpack_size"], "coders": coders, "members": members,
+                    "unpack_size": row["unpack_size"], "coders": coders, "members": members, "pack_sizes": None,
                 }], schema)
 
     return plan.mapInArrow(run, PREPARED)

@@ -184,9 +184,18 @@ def test_empty_archives_and_header_contracts(spark, tmp_path):
 
 
 def test_recovers_a_lost_start_header():
-    head = header.write_header(0, [], [], [], [], [{"name": "x", "has_stream": False}])
-    data = header.SIGNATURE + b"\0\4" + bytes(24) + b"some packed bytes" + head
-    assert [f["name"] for f in _parse(data).files] == ["x"]
+    lost = header.SIGNATURE + b"\0\4" + bytes(24) + b"some packed bytes"
+    # no byte behind the first one could begin a header
+    head = header.write_header(0, [], [], [], [], [{"name": "x", "has_stream": False}] * 9)
+    assert not set(head[1:]) & {1, 0x17}
+    assert [f["name"] for f in _parse(lost + head).files] == ["x"] * 9
+    # here a size of 1 could, and what follows it is none: the search ends there
+    with pytest.raises(ArchiveError, match="Corrupted"):
+        _parse(lost + header.write_header(0, [], [], [], [], [{"name": "x", "has_stream": False}]))
+    # one that is longer than a header may be isn't tried
+    with pytest.raises(ArchiveError) as e:
+        _parse(lost + head, max_header_bytes=8)
+    assert e.value.limit == "HeaderBytes"
 
 
 def test_numbers():
@@ -209,6 +218,20 @@ def test_raw_copy_renames_without_touching_packed_bytes(spark, tmp_path):
     assert (tmp_path / "s.7z").read_bytes()[32 : 32 + n] == (tmp_path / "t.7z").read_bytes()[32 : 32 + n]
 
 
+def test_bcj2_archives_round_trip(spark, tmp_path):
+    path, rng = str(tmp_path / "b.7z"), random.Random(4)
+    code = b"".join(rng.choice([b"\xe8", b"\xe9", b"\x0f\x84"]) + rng.randrange(5000).to_bytes(4, "little") + rng.randbytes(3) for _ in range(400))
+    rows = [(path, i, f"m{i}", d, None, None, False, 0) for i, d in enumerate([code, b"", b"plain", code[:77], b"\xe8"])]
+    build(spark, path, rows=rows, methods=[("BCJ2", codecs.Options()), ("LZMA2", codecs.Options(level=1))])
+    cat = archives.catalog(spark, path)
+    assert decoded(cat) == {r[2]: r[3] for r in rows}
+    assert {len(r.coders) for r in cat.blocks.collect()} == {4} and cat.blocks.first().packed_streams == [4, 5, 6, 3]
+    again = str(tmp_path / "s.7z")
+    df = spark.createDataFrame([(again, i, r[2], r[3], 0) for i, r in enumerate(rows)], "archive_id string, place long, name string, data binary, block int")
+    writer.assemble(writer.prepare(df, [("BCJ2", codecs.Options()), ("COPY", codecs.Options())], solid=True)).collect()
+    assert decoded(archives.catalog(spark, again)) == {r[2]: r[3] for r in rows}
+
+
 def test_lookup_by_name_gives_the_last(spark, tmp_path):
     path = str(tmp_path / "n.7z")
     rows = [(path, i, "same", f"v{i}".encode(), None, None, False, 0) for i in range(3)]

@@ -47,7 +47,7 @@ def test_key_derivation():
             aes.properties(bad)
 
 
-METHODS = ["COPY", "LZMA", "LZMA2", "BZIP2", "DEFLATE", "ZSTD", "LZ4", "BROTLI", *codecs._BRANCH, "BCJ_ARM64", "DELTA", "AES256_SHA256"]
+METHODS = ["COPY", "LZMA", "LZMA2", "BZIP2", "DEFLATE", "ZSTD", "LZ4", "BROTLI", *codecs._BRANCH, "BCJ_ARM64", "BCJ_RISCV", "DELTA", "AES256_SHA256"]
 
 
 @pytest.mark.parametrize("method", METHODS)
@@ -122,6 +122,45 @@ def test_bcj2_round_trips(data):
     assert bcj2.decode(bcj2.encode(bytes(data)), len(data)) == bytes(data)
 
 
+def riscv_code(rng, n):
+    """Jumps, address pairs and what looks like them."""
+    out = bytearray()
+    while len(out) < n:
+        k, rd = rng.random(), rng.choice([0, 1, 2, 5, 10])
+        if k < 0.2:
+            out += (rng.getrandbits(32) & 0xFFFFF000 | rd << 7 | 0x6F).to_bytes(4, "little")
+        elif k < 0.7:
+            out += (rng.getrandbits(20) << 12 | rd << 7 | 0x17).to_bytes(4, "little")
+            out += (rng.getrandbits(12) << 20 | rng.choice([rd, rng.getrandbits(5)]) << 15 | rng.getrandbits(8) << 7 | rng.choice([0x03, 0x13, 0x67])).to_bytes(4, "little")
+        else:
+            out += rng.randbytes(rng.choice([2, 4]))
+    return bytes(out[:n])
+
+
+def test_riscv_goes_both_ways_and_in_pieces():
+    rng = random.Random(7)
+    # a call at 0x1000 of 0x1010: the target is in the bytes, the highest first
+    assert codecs.riscv((0x010000EF).to_bytes(4, "little") + bytes(8), True, 0x1000)[0][:4] == bytes([0xEF, 0x00, 0x08, 0x08])
+    for _ in range(400):
+        plain = riscv_code(rng, rng.randrange(200))
+        coded = codecs.riscv(plain, True)[0]
+        assert codecs.riscv(coded, False)[0] == plain and codecs.riscv(codecs.riscv(plain, False)[0], True)[0] == plain
+        cuts = sorted(rng.randrange(len(coded) + 1) for _ in range(5))
+        parts = [coded[a:b] for a, b in zip([0, *cuts], [*cuts, len(coded)], strict=True)]
+        assert b"".join(streams.decoded("BCJ_RISCV", b"", iter(parts), len(plain))) == plain
+
+
+def test_a_hosts_coder_stands_in():
+    codecs.register("XOR", lambda p, d, n, w: bytes(x ^ p[0] for x in d), lambda d, o, w: (b"\x2a", bytes(x ^ 42 for x in d)), b"\xf0\x01")
+    try:
+        properties, packed = codecs.encode("XOR", b"some bytes")
+        assert codecs.decode("XOR", properties, packed, 10) == b"some bytes" == b"".join(streams.decoded("XOR", properties, iter([packed]), 10))
+    finally:
+        codecs.register("XOR")
+    with pytest.raises(ArchiveError):
+        codecs.decode("XOR", b"", b"", 1)
+
+
 def test_bcj2_in_a_folder():
     data = b"".join(b"\xe8" + k.to_bytes(4, "little", signed=True) + b"\x55\x90" for k in range(-300, 300))
     main, call, jump, coded = bcj2.encode(data)

@@ -2,12 +2,15 @@
 
 import os
 import random
+from decimal import Decimal
 
 import pytest
 
 from foldlake.functions import codecs, lzma2
+from foldlake.functions.errors import ArchiveError
 from foldlake.operators import planner
-from foldlake.sources import archives, datasource, files, writer
+from foldlake.operators.limits import ArchiveLimits
+from foldlake.sources import archives, datasource, files, in_memory, run_scan, storage, walks, writer
 from foldlake.streaming import completions, runs
 
 
@@ -149,3 +152,136 @@ def test_extraction_is_confined(spark, tmp_path):
     done = {r.name: r.error for r in files.extract(archives.contents(archives.catalog(spark, path)), str(target)).collect()}
     assert done["ok"] is None and all(done[n] for n in names if n != "ok")
     assert not (tmp_path / "up").exists() and not (tmp_path / "x").exists()
+
+
+def _archive(spark, path, found, solid=0):
+    df = spark.createDataFrame([(path, i, n, d, solid) for i, (n, d) in enumerate(found)], "archive_id string, place long, name string, data binary, block int")
+    writer.assemble(writer.prepare(df, solid=bool(solid))).collect()
+    return archives.catalog(spark, path)
+
+
+def test_extraction_sets_times_and_keeps_the_last_of_equal_names(spark, tmp_path):
+    path, ticks = str(tmp_path / "t.7z"), 133_000_000_000_000_000
+    rows = [(path, 0, "same", b"old", ticks, False), (path, 1, "dir", None, None, True), (path, 2, "./same", b"new" * 1000, ticks + 10_000_000, False), (path, 3, "dir/empty", None, ticks, False)]
+    df = spark.createDataFrame([(a, p, n, d, Decimal(m) if m else None, None, f) for a, p, n, d, m, f in rows], "archive_id string, place long, name string, data binary, mtime_ticks decimal(20,0), windows_attributes long, is_directory boolean")
+    writer.assemble(writer.prepare(df)).collect()
+    cat = archives.catalog(spark, path)
+    target = tmp_path / "x"
+    target.mkdir()
+    done = files.extract(archives.contents(cat, chunk=700), str(target), cat.entries).collect()
+    assert {r.error for r in done} == {None} and len(done) == 4
+    assert (target / "same").read_bytes() == b"new" * 1000 and (target / "dir").is_dir() and (target / "dir/empty").read_bytes() == b""
+    assert (target / "same").stat().st_mtime_ns == (ticks + 10_000_000 - files.EPOCH_TICKS) * 100
+    assert (target / "dir/empty").stat().st_mtime_ns == (ticks - files.EPOCH_TICKS) * 100
+    cat.close()
+
+
+def test_walks_call_for_each_member(spark, tmp_path):
+    path = str(tmp_path / "w.7z")
+    found = [(f"m{i}", bytes([65 + i]) * (1000 * i + 1)) for i in range(6)]
+    df = spark.createDataFrame([(path, i, n, d, i // 3) for i, (n, d) in enumerate(found)], "archive_id string, place long, name string, data binary, block int")
+    writer.assemble(writer.prepare(df, solid=True)).collect()
+    cat = archives.catalog(spark, path)
+    out = tmp_path / "seen"
+    out.mkdir()
+
+    def each(entry, reader):
+        (out / entry["name"]).write_bytes(reader.read(10) if entry["name"] == "m4" else reader.read())
+        return entry["name"] != "m1"
+
+    got = {(r.name, r.event) for r in walks.each(cat, each).collect()}
+    # the first block ends with m1, the second is whole
+    assert got == {("m0", "entry"), ("m1", "stopped"), ("m3", "entry"), ("m4", "entry"), ("m5", "entry"), (None, "block")}
+    assert (out / "m4").read_bytes() == b"E" * 10 and (out / "m5").read_bytes() == found[5][1]
+
+    def fails(entry, reader):
+        raise ValueError("no")
+
+    assert {(r.event, r.error) for r in walks.each(cat, fails).collect()} == {("failed", "Callback: no")}
+    assert walks.each(cat, lambda entry, reader: False, ordered=False).count() >= 1
+    target = tmp_path / "ex"
+    target.mkdir()
+    walks.extract_with(cat, str(target)).collect()
+    assert {p.name: p.read_bytes() for p in target.iterdir()} == dict(found)
+
+
+def test_a_walk_can_be_cancelled(spark, tmp_path):
+    import threading
+    import time
+
+    cat = _archive(spark, str(tmp_path / "c.7z"), [("a", b"x")])
+    cat.entries.count()
+
+    def slow(entry, reader):
+        time.sleep(60)
+
+    start = time.time()
+    with pytest.raises(ArchiveError, match="Cancelled"), walks.cancellable(spark) as cancel:
+        threading.Timer(3, cancel).start()
+        walks.each(cat, slow).collect()
+    assert time.time() - start < 50
+
+
+def test_archives_as_values(spark):
+    found = [("a", b"one" * 500), ("b/c", b""), ("d", bytes(range(256)) * 40)]
+    for solid in (False, True):
+        for methods in (writer.DEFAULT, [("BCJ2", codecs.Options()), ("LZMA2", codecs.Options())]):
+            assert sorted(in_memory.unpack(in_memory.pack(found, methods, solid=solid))) == sorted(found)
+    assert list(in_memory.unpack(in_memory.pack([]))) == []
+    assert list(in_memory.unpack(in_memory.pack(found[:1], [("LZMA2", codecs.Options()), ("AES256_SHA256", codecs.Options(power=5))], "pw"), "pw")) == found[:1]
+    with pytest.raises(ArchiveError) as e:
+        list(in_memory.unpack(in_memory.pack([("big", bytes(5000))]), limits=ArchiveLimits(max_unpack_bytes=4000)))
+    assert e.value.limit == "UnpackBytes"
+    with pytest.raises(ArchiveError):
+        list(in_memory.unpack(in_memory.pack([("../up", b"x")])))
+
+
+def test_single_runs_are_told_from_headers(spark, tmp_path):
+    packed, plain = stream_of()
+    read = lambda data: lambda at, n: data[at : at + n]
+    total = sum(map(len, plain))
+    assert not run_scan.is_single_run(read(packed), 0, len(packed), total)
+    _, one = codecs.encode("LZMA2", b"abc" * 200_000, codecs.Options(level=1))
+    assert run_scan.is_single_run(read(b"xx" + one), 2, len(one), 600_000)
+    assert not run_scan.is_single_run(read(one), 0, len(one), 600_001) and not run_scan.is_single_run(read(one[:-1]), 0, len(one) - 1, 600_000)
+    assert not run_scan.is_single_run(read(one), 0, len(one), 600_000, most=1) and not run_scan.is_single_run(read(b""), 0, 0, 0)
+    cat = _archive(spark, str(tmp_path / "r.7z"), [("a", b"abc" * 100_000), ("b", b"")])
+    assert [r.single for r in run_scan.single_runs(run_scan.plan(cat)).collect() if r.block_index == 0] == [True]
+
+
+def test_folders_of_archives_and_shares_of_blocks(source, tmp_path):
+    found = rows(40)
+    path = str(tmp_path / "folder")
+    df = source.createDataFrame([(n, d) for n, d in found], "name string, data binary").repartition(3)
+    df.write.format("7z").option("method", "LZMA2").mode("append").save(path)
+    names = sorted(p.name for p in (tmp_path / "folder").rglob("*"))
+    assert 1 <= len(names) <= 3 and all(n.endswith(".7z") for n in names)
+    read = lambda **o: source.read.format("7z").option("table", "contents").options(**o).load(path)
+    for options in ({}, {"splitBytes": "200"}):
+        assert {r.name: bytes(r.data) for r in read(**options).collect()} == dict(found)
+    df.limit(5).write.format("7z").mode("overwrite").save(path)
+    assert read().select("name").distinct().count() == 5
+
+
+def test_a_streams_batch_is_bounded(tmp_path):
+    packed, plain = stream_of(8, 5)
+    path = tmp_path / "s.lzma2"
+    path.write_bytes(packed)
+    reader = datasource.ChunkStream({"path": str(path), "maxbytes": "1"})
+    at, seen, batches = reader.initialOffset(), [], 0
+    while not at["done"]:
+        got, end = reader.read(at)
+        got = list(got)
+        assert list(reader.readBetweenOffsets(at, end)) == got
+        assert end["at"] - at["at"] <= reader.most
+        seen, at, batches = seen + got, end, batches + 1
+    assert [r[2:] for r in seen] == [tuple(c[n] for n in lzma2.CHUNKS.fieldNames()[2:]) for c in lzma2.chunks(packed)]
+
+
+def test_schemes_of_hadoop_are_known(monkeypatch):
+    seen = []
+    known = type("Known", (), {"from_uri": staticmethod(lambda uri: seen.append(uri) or (None, uri))})
+    monkeypatch.setattr(storage.fs, "FileSystem", known)
+    storage.resolve("s3a://bucket/key")
+    storage.resolve("hdfs://nn/key")
+    assert seen == ["s3://bucket/key", "hdfs://nn/key"]
