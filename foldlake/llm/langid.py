@@ -76,8 +76,8 @@ def features(word: str) -> list[str]:
     return out
 
 
-def _forward_backward(emit: np.ndarray, move: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of each word, and the expected moves; emit and move are exponentials. Sequences stand
+def _forward_backward(emit: np.ndarray, move: np.ndarray, lengths: np.ndarray, expected: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of each word, and the expected moves (zeros where they aren't asked for); emit and move are exponentials. Sequences stand
     one after the other in emit, longest first, and go in step."""
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
     alpha = np.empty_like(emit)
@@ -97,8 +97,9 @@ def _forward_backward(emit: np.ndarray, move: np.ndarray, lengths: np.ndarray) -
             at = starts[:more] + t
             right = emit[at + 1] * back[:more]
             pair = right @ move.T
-            scale = 1 / (alpha[at] * pair).sum(axis=1, keepdims=True)
-            moves += (alpha[at] * scale).T @ right * move
+            if expected:
+                scale = 1 / (alpha[at] * pair).sum(axis=1, keepdims=True)
+                moves += (alpha[at] * scale).T @ right * move
             back[:more] = pair / pair.sum(axis=1, keepdims=True)
         at = starts[:n] + t
         if more < n:
@@ -211,7 +212,7 @@ class Labeller:
         if order:
             lengths = np.array([len(found[i]) for i in order])
             rows = np.concatenate([found[i] for i in order])
-            gamma, _ = _forward_backward(self.table[rows], self.move, lengths)
+            gamma, _ = _forward_backward(self.table[rows], self.move, lengths, False)
             ends = np.cumsum(lengths)
             for i, a, b in zip(order, (ends - lengths).tolist(), ends.tolist(), strict=True):
                 out[i] = gamma[a:b], rows[a:b] > 0
@@ -238,14 +239,16 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG, chars: int = CHARS) -> list[tuple[str, str]]:
     """At most per_lang labelled texts of each language, at most chars characters of each, chosen by a
-    hash of doc_id."""
+    hash of doc_id and text."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    key = F.xxhash64("doc_id", "text")
+    # how many different ones, as rows that repeat are drawn all or none
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct(key).alias("n")).collect()}
     if not counts:
         return []
     # thinned first, so that no language's rows meet in one place
     table = F.broadcast(docs.sparkSession.createDataFrame([(k, min(1.0, 4.0 * per_lang / n)) for k, n in counts.items()], "l string, share double"))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).cast("double") / (1 << 30)
+    draw = F.pmod(key, F.lit(1 << 30)).cast("double") / (1 << 30)
     rows = rows.select("lang", F.substring("text", 1, chars).alias("text"), draw.alias("draw")).join(table, F.col("lang") == F.col("l"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
     rows = rows.where("draw < share").withColumn("rank", rank).where(F.col("rank") <= per_lang)

@@ -93,14 +93,16 @@ def _category(column: str, named: Iterable[str]) -> Column:
     return F.when(F.col(column).isin(known), F.col(column)).otherwise(F.lit(OTHER)) if known else F.lit(OTHER)
 
 
-def topic(evidence: Column, words: Column) -> Column:
-    """The topic by what EVIDENCE found in a text, on end."""
-    counts = {name: F.regexp_count(evidence, F.lit(p)) for name, p in TOPICS.items()}
-    most = F.greatest(*counts.values())
-    out = F.lit(None).cast("string")
-    for name, n in reversed(counts.items()):
-        out = F.when(n == most, name).otherwise(out)
-    return F.when((evidence == "") | (most * DENSITY < words) | (most == 0), GENERAL).otherwise(out)
+def evidence_counts(evidence: Column) -> Column:
+    """How often each topic is among what EVIDENCE found in a text (on end); null if nothing was."""
+    return F.when(evidence != "", F.array(*[F.regexp_count(evidence, F.lit(p)) for p in TOPICS.values()]))
+
+
+def topic(counts: Column, words: Column) -> Column:
+    """The topic by evidence_counts()."""
+    most = F.array_max(counts)
+    enough = (most > 0) & (most * DENSITY >= words)
+    return F.when(enough, F.get(F.array(*map(F.lit, TOPICS)), F.array_position(counts, most).cast("int") - 1)).otherwise(GENERAL)
 
 
 def levelled(shares: Mapping[str, float], targets: Targets) -> dict[str, float]:
@@ -151,6 +153,8 @@ def weighted(docs: DataFrame, targets: Targets = DEFAULT, own: str = "mix_", kee
     text = F.coalesce("text", F.lit(""))
     found = f"{own}found"
     rows = docs.withColumns({lang: _category("lang", targets.lang), found: F.array_join(F.regexp_extract_all(text, F.lit(EVIDENCE), F.lit(0)), " "), words: F.regexp_count(text, F.lit(WORD)).cast("long"), f"{own}draw": draw(targets.seed), f"{own}given": F.col("source")})
+    # columns of their own, so that each is computed once
+    rows = rows.withColumn(found, evidence_counts(F.col(found)))
     kind = topic(F.col(found), F.col(words))
     rows = rows.withColumn(kind_of, F.when(kind.isin(sorted(targets.topic)), kind).otherwise(F.lit(OTHER))).drop(found)
     if keep is not None:
@@ -172,8 +176,12 @@ def weighted(docs: DataFrame, targets: Targets = DEFAULT, own: str = "mix_", kee
     most = max(weights.values(), default=1.0)
     table = [(*k, weights.get(k, most), weights.get(k, most) / most) for k in cells]
     names = [f"{own}{x}" for x in ("source", "lang", "topic", "weight", "probability")]
-    table = F.broadcast(spark.createDataFrame(table, ", ".join(f"`{n}` {t}" for n, t in zip(names, ["string"] * 3 + ["double"] * 2, strict=True))))
-    rows = rows.withColumn(names[0], _category(given, named)).join(table, names[:3])
+    cell = [f"{own}cell{k}" for k in range(3)]
+    table = F.broadcast(spark.createDataFrame(table, ", ".join(f"`{n}` {t}" for n, t in zip([*cell, *names[3:]], ["string"] * 3 + ["double"] * 2, strict=True))))
+    rows = rows.withColumn(names[0], _category(given, named))
+    # null-safe, as for plain equality the planner would ask of each key whether it is null where texts
+    # are read, and work the topic out there once more for each place that names it
+    rows = rows.join(table, [rows[n].eqNullSafe(table[c]) for n, c in zip(names[:3], cell, strict=True)])
     columns = [*map(common.quoted, docs.columns if keep is None else keep), *names[:3], words, *names[3:]]
     return rows.select(*columns, (F.col(f"{own}draw") < F.col(f"{own}probability")).alias(f"{own}sampled"))
 

@@ -51,7 +51,7 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Suffixes:
     """Suffix arrays of several sequences at once. ids: item numbers, one sequence after the other;
     lengths: their lengths. levels[k] ranks all places so that two are equal if and only if they
-    are of one sequence and share 2**k items; shared[k] are the places that have such a partner."""
+    are of one sequence and share 2**k items: 4 bytes for each place and level."""
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray):
         count, words = len(lengths), int(ids.max(initial=0)) + 1
@@ -68,9 +68,8 @@ class Suffixes:
         first, more = _groups(key[self.order])
         rank = np.empty(n, np.int64)
         rank[self.order] = first
-        self.levels, self.shared, step = [rank.astype(np.int32)], [self.order[more]], 1
-        while len(self.shared[-1]):
-            places = self.shared[-1]
+        self.levels, places, step = [rank.astype(np.int32)], self.order[more], 1
+        while len(places):
             key = rank[places] * np.int64(n) + rank[places + step]
             by = np.argsort(key, kind="stable")
             key, places = key[by], places[by]
@@ -80,9 +79,13 @@ class Suffixes:
             first, more = _groups(key)
             rank[places] = slot[first]
             self.levels.append(rank.astype(np.int32))
-            self.shared.append(places[more])
+            places = places[more]
             step *= 2
 
+    def shared(self, k: int) -> np.ndarray:
+        """The places that share 2**k items with another of their sequence."""
+        return self.order[_groups(self.levels[k][self.order])[1]]
+
     def neighbours(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places a, b next to each other in the sorted order, and the length of their longest common
         prefix, where it is `least` (1 or more) or more."""
@@ -104,7 +107,7 @@ class Suffixes:
         k = size.bit_length() - 1
         if k >= len(self.levels):
             return np.zeros(0, np.int64)
-        places = self.shared[k]
+        places = self.shared(k)
         key = self.levels[k][places] * np.int64(self.n) + self.levels[k][places + size - (1 << k)]
         by = np.argsort(key, kind="stable")
         return places[by][_groups(key[by])[1]]
