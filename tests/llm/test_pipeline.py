@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from foldlake.llm import mixing, repetition, surrogates
+from foldlake.llm import mixing, queries, repetition, surrogates
 
 from test_simhash import brute_components, brute_fingerprint
 
@@ -27,8 +27,11 @@ def test_each_stage_does_its_part(spark, documents):
     docs = documents(rows)
     stages = dict(corpus_pipeline.STAGES)
     kept = stages["quality"](spark, docs, "")
-    want = {r[0] for r in rows if repetition.measure([r[1]], repetition.Limits())["kept"][0]}
+    want = {r[0] for r in rows if repetition.measure([r[1]], corpus_pipeline.QUALITY)["kept"][0]}
     assert {r.doc_id for r in kept.collect()} == want < {r[0] for r in rows}
+    # short texts stay, empty ones go
+    few = documents([(1, "a clean line"), (2, None), (3, " \n"), (4, "one")])
+    assert {r.doc_id for r in stages["quality"](spark, few, "").collect()} == {1, 4}
     left = [r for r in rows if r[0] in want]
     unique = stages["near_dedup"](spark, documents(left), "")
     fps = [brute_fingerprint(r[1]) for r in left]
@@ -37,7 +40,7 @@ def test_each_stage_does_its_part(spark, documents):
     assert unique.columns == docs.columns
     private = stages["private_data"](spark, unique, "")
     texts = {r[0]: r[1] for r in rows}
-    assert {r.doc_id: r.text for r in private.collect()} == {d: surrogates.replaced(texts[d])[0] for d in heads}
+    assert {r.doc_id: r.text for r in private.collect()} == {d: surrogates.replaced(texts[d], queries.surrogate_key(spark))[0] for d in heads}
     mixed = stages["mixing"](spark, private, "")
     got = {r.doc_id for r in mixed.collect()}
     own = {r.doc_id: r for r in mixing.weighted(private).collect()}
