@@ -42,7 +42,7 @@ PARSED = StructType([*ARCHIVES]).add("error", ERROR)
 for _name in ("entries", "blocks", "pack_streams", "sub_streams"):
     PARSED = PARSED.add(_name, ArrayType(without_archive(TABLES[_name])))
 
-MEMBER = table(name=TEXT, size=LONG, crc=LONG, mtime_ticks=TICKS, windows_attributes=LONG, has_stream=FLAG, is_directory=FLAG)
+MEMBER = table(name=TEXT, size=LONG, crc=LONG, ctime_ticks=TICKS, atime_ticks=TICKS, mtime_ticks=TICKS, windows_attributes=LONG, has_stream=FLAG, is_directory=FLAG)
 #: An encoded block that no archive holds yet. pack_sizes cuts the packed bytes of a block with several
 #: packed streams; null: there is one.
 PREPARED = table(

@@ -5,6 +5,8 @@ from __future__ import annotations
 import contextlib
 import os
 from collections.abc import Callable, Iterator
+from decimal import Decimal
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,22 +14,51 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from foldlake.functions import attributes, paths
 from foldlake.sources import shipping
 
+#: Ticks of 100 ns from 1601 to 1970.
+EPOCH_TICKS = 116_444_736_000_000_000
 
-def walk(spark: SparkSession, root: str, archive: str, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+
+def walk(spark: SparkSession, root: str, archive: str, keep: Callable[[Column], Column] | None = None, stat: bool = False) -> DataFrame:
     """Rows for writer.prepare out of the files below a folder: archive_id, place, name, data,
-    mtime_ticks, in the order of their names. `keep` is a predicate on the path; a folder that it
+    mtime_ticks, in the order of their names; with stat, where the executors can look at the folder as
+    files of their own, also ctime_ticks (of creation, if the platform tells) and
+    atime_ticks (which this read may itself have moved). `keep` is a predicate on the path; a folder that it
     refuses goes with all that lies in it. Links and special files are no files to Spark; folders
     of their own aren't listed by it, and so aren't kept."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     plain = F.regexp_replace("path", "^file:/*", "/")
-    rows = files.select(paths.archive_name(plain, F.lit(root)).alias("name"), F.col("content").alias("data"), attributes.ticks(F.col("modificationTime")).cast("decimal(20,0)").alias("mtime_ticks"))
+    rows = files.select(paths.archive_name(plain, F.lit(root)).alias("name"), "path", F.col("content").alias("data"), attributes.ticks(F.col("modificationTime")).cast("decimal(20,0)").alias("mtime_ticks"))
     if keep is not None:
         parts = F.split("name", "/")
         ways = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
         rows = rows.where(F.forall(ways, keep))
     # a total order by name without one task: ranks within ranges of names, and the counts before them
     by_range = rows.repartitionByRange("name").sortWithinPartitions("name")
-    return by_range.select(F.lit(archive).alias("archive_id"), F.monotonically_increasing_id().alias("place"), "name", "data", "mtime_ticks")
+    placed = by_range.select(F.lit(archive).alias("archive_id"), F.monotonically_increasing_id().alias("place"), "name", "data", "mtime_ticks", "path")
+    return _stated(placed) if stat else placed.drop("path")
+
+
+def _stated(rows: DataFrame) -> DataFrame:
+    shipping.ship(rows.sparkSession)
+
+    def ticks(ns: float | None) -> Decimal | None:
+        return None if ns is None else Decimal(int(ns) // 100 + EPOCH_TICKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                try:
+                    found.append(os.stat(unquote(urlparse(path).path) if path.startswith("file:") else path))
+                except OSError:  # a file whose times can't be read has none
+                    found.append(None)
+            made = [ticks(getattr(s, "st_birthtime_ns", None)) if s else None for s in found]
+            seen = [ticks(s.st_atime_ns) if s else None for s in found]
+            columns = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "path"]
+            names = [n for n in batch.schema.names if n != "path"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.decimal128(20, 0)), pa.array(seen, pa.decimal128(20, 0))], [*names, "ctime_ticks", "atime_ticks"])
+
+    return rows.mapInArrow(run, "archive_id string, place long, name string, data binary, mtime_ticks decimal(20,0), ctime_ticks decimal(20,0), atime_ticks decimal(20,0)")
 
 
 def _confined(root: str, name: str) -> str:
@@ -47,10 +78,6 @@ def _confined(root: str, name: str) -> str:
     return at
 
 
-#: Ticks of 100 ns from 1601 to 1970.
-EPOCH_TICKS = 116_444_736_000_000_000
-
-
 def _times(row: dict) -> tuple[int, int] | None:
     """Nanoseconds of access and change since 1970 where the entry has one of them."""
     changed, seen = row.get("mtime_ticks"), row.get("atime_ticks")

@@ -43,7 +43,7 @@ def _prepare(archive: str, place: int, rows: list[dict], methods: Methods, passw
         data = data or b""
         own = zlib.crc32(data) if stream else None
         members.append({
-            "name": r["name"], "size": len(data), "crc": own, "mtime_ticks": r.get("mtime_ticks"), "windows_attributes": r.get("windows_attributes"),
+            "name": r["name"], "size": len(data), "crc": own, "ctime_ticks": r.get("ctime_ticks"), "atime_ticks": r.get("atime_ticks"), "mtime_ticks": r.get("mtime_ticks"), "windows_attributes": r.get("windows_attributes"),
             "has_stream": stream, "is_directory": bool(r.get("is_directory")),
         })
         if stream:
@@ -65,7 +65,7 @@ def _prepare(archive: str, place: int, rows: list[dict], methods: Methods, passw
 
 def prepare(rows: DataFrame, methods: Methods = DEFAULT, password: str | None = None, solid: bool = False) -> DataFrame:
     """Prepared blocks (PREPARED) of rows: archive_id, place, name, data (null: no stream), and
-    optionally mtime_ticks, windows_attributes, is_directory. Not solid: a block for each row. Solid:
+    optionally ctime_ticks, atime_ticks, mtime_ticks, windows_attributes, is_directory. Not solid: a block for each row. Solid:
     a block for each (archive_id, block), with a column `block`, its rows by place."""
     check_methods(methods)
     shipping.ship(rows.sparkSession)
@@ -174,7 +174,7 @@ def copy_blocks(cat, rename: Column) -> DataFrame:
     spark = cat.parsed.sparkSession
     mapped = derive.file_blocks(cat.entries, cat.blocks)
     good = derive.raw_copy(cat.blocks, mapped, cat.sub_streams, rename).groupBy("archive_id", "block_index").agg(
-        F.sort_array(F.collect_list(F.struct("position", "name", "size", "crc", "mtime_ticks", "windows_attributes"))).alias("renamed")
+        F.sort_array(F.collect_list(F.struct("position", "name", "size", "crc", "ctime_ticks", "atime_ticks", "mtime_ticks", "windows_attributes"))).alias("renamed")
     )
     plan = block_plan(cat).where(F.size("packed_streams") == 1).join(good, ["archive_id", "block_index"])
     plan = plan.repartition(F.xxhash64("archive_id", "block_index"))
@@ -187,7 +187,7 @@ def copy_blocks(cat, rename: Column) -> DataFrame:
                 with storage.opened(row["archive_id"]) as (read, _):
                     p = row["packs"][0]
                     packed = read(header.HEADER_SIZE + row["pack_pos"] + p["offset"], p["size"])
-                members = [{**{k: m[k] for k in ("name", "size", "crc", "mtime_ticks", "windows_attributes")}, "has_stream": True, "is_directory": False} for m in row["renamed"]]
+                members = [{**{k: m[k] for k in ("name", "size", "crc", "ctime_ticks", "atime_ticks", "mtime_ticks", "windows_attributes")}, "has_stream": True, "is_directory": False} for m in row["renamed"]]
                 coders = [{"method": c["method"], "properties": c["properties"], "size": s} for c, s in zip(row["coders"], row["unpack_sizes"], strict=True)]
                 yield pa.RecordBatch.from_pylist([{
                     "archive_id": row["archive_id"], "place": row["block_index"], "packed": packed, "packed_crc": zlib.crc32(packed),

@@ -141,6 +141,19 @@ def test_files_in_and_out(spark, tmp_path):
     assert sorted(p.name for p in target.rglob("*") if p.is_file()) == ["a.txt", "b.txt"]
 
 
+def test_a_walk_takes_times_along(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    (root / "a b.txt").write_bytes(b"x")
+    at = 1_600_000_000_123_456_700
+    os.utime(root / "a b.txt", ns=(at, at + 5_000_000_000))
+    path = str(tmp_path / "o.7z")
+    writer.assemble(writer.prepare(files.walk(spark, str(root), path, stat=True))).collect()
+    r = archives.catalog(spark, path).entries.first()
+    assert r.name == "a b.txt" and int(r.atime_ticks) >= at // 100 + files.EPOCH_TICKS
+    assert abs(int(r.mtime_ticks) - (at + 5_000_000_000) // 100 - files.EPOCH_TICKS) < 10_000
+
+
 def test_extraction_is_confined(spark, tmp_path):
     path = str(tmp_path / "evil.7z")
     names = ["../up", "/abs", "ok", "link/x", "C:/d"]
