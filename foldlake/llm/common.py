@@ -68,20 +68,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: A key is hot if more than one row in so many has it; there are fewer hot keys than this.
-HOT = 1000
-
-
-def spread(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """rows joined with table, which has each key once, with n: how many of the rows have it. What
-    table has for hot keys (fewer than HOT) is broadcast, so that no task gets a hot key's rows; the
-    others meet by a shuffle."""
-    total = table.agg(F.sum("n")).scalar()
-    hot = F.broadcast(table.where(F.col("n") * HOT > total).drop("n"))
-    cold = table.where(F.col("n") * HOT <= total).drop("n")
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
-
-
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     """Arrow's file system for a path, and the path there."""
     scheme, colon, rest = path.partition("://")

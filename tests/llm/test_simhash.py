@@ -3,7 +3,6 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from foldlake.llm import simhash
 
@@ -122,16 +121,6 @@ def test_tiles_grow_and_lose_no_link(spark, monkeypatch):
         assert {r.fp: r.root for r in simhash.components(simhash.links(df, tile=tile)).collect()} == whole
 
 
-def test_hot_keys_are_spread(spark):
-    from foldlake.llm import common
-
-    rows = spark.createDataFrame([(0 if i % 3 == 0 else i, i) for i in range(3000)], "k int, v int")
-    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("most"))
-    got = common.spread(rows, table, "k")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(table.drop("n"), "k").collect()))
-    assert common.spread(rows.limit(0), table.limit(0), "k").collect() == []
-
-
 def test_components_of_a_long_chain(spark):
     n = 200
     links = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(1000 + i, 1000) for i in range(1, 50)], "a long, b long")
