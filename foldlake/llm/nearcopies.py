@@ -1,13 +1,14 @@
-"""Near copies by likeness: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
-more, then connected components.
-
-`signatures` makes a MinHash of each text's shingles (XXH64, as `simhash` has them) in 40 bands of 8
-values: a pair at 0.8 shares a band with a probability of 1 - (1 - 0.8 ** 8) ** 40, all but 6 in ten
-thousand, and more alike ones with a higher one. Bands give candidates alone: each link is a pair whose
-exact similarity is 0.8. First each text meets one other of each of its bands, whose links join most
-of a group. Then the texts of a band that aren't joined yet are compared in a task, tile by tile, by a
-byte of each of `SKETCH` of their minima, and only pairs that agree in `AGREE` of them or more (a pair at
-0.8 in 103 of 128, with a deviation of 4.5) come out for the exact similarity.
+"""Near copies by SimHash, confirmed by likeness: texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more, then connected components.
+
+`signatures` makes SimHashes of each text's set of shingles as `simhash` does, `WORDS` of 64 bits, the first
+by the shingles' XXH64 itself, the others by that hash mixed again. `candidates` compares all fingerprints tile
+by tile with exclusive-or and bit counts: a tile holds sets of one class of sizes, and only classes whose sizes
+allow the similarity meet. A pair is a candidate where its first words differ in `RADIUS` bits or fewer and all its
+words in `WIDE` or fewer: a pair at 0.8 differs in 9.7 of 64 bits and 78 of 512, and is missed with a probability
+of about one in a hundred thousand; more alike ones with a lower one. A pair of tiles yields a spanning forest of its
+candidates, so that large groups stay linear. No link leaves a component of candidates, so `confirmed`
+compares the sets of its members, exactly, and yields a spanning forest of the pairs at 0.8 or more.
 
 Defined results: texts with equal sets (null and empty ones too, whose set is empty) are copies; a text
 shorter than a shingle is one shingle; a null doc_id is as in `simhash`. Only doc_id and text are read.
@@ -16,6 +17,7 @@ shorter than a shingle is one shingle; a null doc_id is as in `simhash`. Only do
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +29,19 @@ from . import common, simhash
 SHINGLE = 5
 #: Links have a similarity of LIKE[0] / LIKE[1] at least.
 LIKE = (4, 5)
-BANDS = 40
-ROWS = 8
-#: Minima whose bytes are compared, and how many must agree.
-SKETCH, AGREE = 128, 84
-#: Texts of a band that a tile holds about.
-TILE = 4096
-#: Shingles whose hashes meet all of a signature's functions at once.
-CHUNK = 4096
+WORDS = 8
+#: Bits in which candidates differ at most, in the first word and in all.
+RADIUS, WIDE = 24, 114
+#: Sizes of a class differ by less than this factor, so that sets of which one is LIKE times the other lie in
+#: one class or in neighbours.
+CLASS = 1.26
+#: Fingerprints that a tile holds about, at most; rows and columns that are compared at once.
+TILE, BLOCK = 1 << 18, (64, 4096)
+#: Sets of a component, and shingles in them, that a task holds about; two such parts meet in it.
+SETS, SHINGLES = 1024, 1 << 21
 
-_RNG = np.random.default_rng(42)
-_MULTIPLY, _MIX = (_RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(2))
-_FLIP = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+# fixed values of splitmix64, which mixes a shingle's hash for each further word
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -46,105 +49,178 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(simhash.shingle_hashes(text, SHINGLE))
 
 
-def bands(own: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """A value for each band, equal where all its minima are, and the sketch."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(own), CHUNK):
-        np.minimum(least, ((own[None, i : i + CHUNK] ^ _FLIP[:, None]) * _MULTIPLY[:, None]).min(axis=1), out=least)
-    mixed = (least ^ least >> np.uint64(32)) * _MIX
-    return mixed.reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64), (mixed[:SKETCH] >> np.uint64(56)).astype(np.uint8).tobytes()
+def words(own: np.ndarray) -> np.ndarray:
+    """The SimHashes of a set of shingles: the bits that are set in over half of each word's hashes."""
+    counts = np.zeros(64 * WORDS, np.int64)
+    steps = np.arange(WORDS, dtype=np.uint64) * _STEP
+    for i in range(0, len(own), 255):  # as many as a byte counts
+        x = own[i : i + 255, None] + steps
+        x[:, 1:] = (x[:, 1:] ^ x[:, 1:] >> np.uint64(30)) * _MIX[0]
+        x[:, 1:] = (x[:, 1:] ^ x[:, 1:] >> np.uint64(27)) * _MIX[1]
+        x[:, 1:] ^= x[:, 1:] >> np.uint64(31)
+        counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(own), bitorder="little").view(np.uint64)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, fp (of the set of shingles), size of the set, bands, sketch."""
+    """doc_id, digest of the text, fp (of the set of shingles), size of the set, its words."""
     common.ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", 2000, 32 << 20):
-            sets = [shingles(t.as_py()) for t in batch.column("text")]
-            fps = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
-            found = [bands(s) for s in sets]
-            marks = np.array([b for b, _ in found], np.uint64).view(np.int64).reshape(-1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(marks))
-            columns = [batch.column("doc_id"), batch.column("digest"), pa.array(fps), pa.array([len(s) for s in sets], pa.int32()), lists, pa.array([k for _, k in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "fp", "size", "bands", "sketch"])
+            fps, sizes, marks = [], [], []
+            for t in batch.column("text"):
+                own = shingles(t.as_py())
+                fps.append(xxhash.xxh64_intdigest(own.tobytes()))
+                sizes.append(len(own))
+                marks.append(words(own).tobytes())
+            columns = [batch.column("doc_id"), batch.column("digest"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "fp", "size", "words"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
-    return rows.mapInArrow(run, f"doc_id {kind}, digest long, fp long, size int, bands array<long>, sketch binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, digest long, fp long, size int, words binary")
+
+
+def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The labels once the links (i, j) have joined their trees; labels only fall."""
+    while len(i):
+        x, y = label[i], label[j]
+        cross = x != y
+        i, j, x, y = i[cross], j[cross], x[cross], y[cross]
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while not np.array_equal(up := label[label], label):
+            label = up
+    return label
+
+
+def may(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    return np.minimum(small, large) * LIKE[1] >= np.maximum(small, large) * LIKE[0]
+
+
+def forest(sizes: np.ndarray, marks: np.ndarray, split: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the candidates among the rows, or between the first `split` rows and the others:
+    positions of each one with the least of its tree. Both parts are sorted by size."""
+    first = np.ascontiguousarray(marks[:, 0])
+    label = np.arange(len(sizes))
+    shift = split or 0
+    right = sizes[shift:]
+    for k in range(0, split or len(sizes), BLOCK[0]):
+        rows = slice(k, min(k + BLOCK[0], split or len(sizes)))
+        low = np.searchsorted(right, -(-sizes[k] * LIKE[0] // LIKE[1])) if split else k
+        high = np.searchsorted(right, sizes[rows.stop - 1] * LIKE[1] // LIKE[0], "right")
+        for c in range(shift + low, shift + high, BLOCK[1]):
+            part = first[c : min(c + BLOCK[1], shift + high)]
+            i, j = np.divmod(np.flatnonzero(np.bitwise_count(first[rows, None] ^ part) <= RADIUS), len(part))
+            i, j = i + k, j + c
+            for near in (lambda: label[i] != label[j], lambda: may(sizes[i], sizes[j]), lambda: np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64) <= WIDE):
+                keep = near()
+                i, j = i[keep], j[keep]
+            label = joined(label, i, j)
+    linked = np.flatnonzero(label != np.arange(len(sizes)))
+    return linked, label[linked]
+
+
+def candidates(distinct: DataFrame, tile: int = TILE) -> DataFrame:
+    """Forests of the candidates among sets (fp, size, words; no two fp equal): columns a > b."""
+    spark = distinct.sparkSession
+    common.ship(spark)
+    rows = distinct.where("size > 0").select("fp", "size", "words", F.floor(F.log("size") / np.log(CLASS).item()).cast("int").alias("own"))
+    # a row for each class: the tiles that it makes
+    parts = {r.own: -(-r.n // tile) for r in rows.groupBy("own").agg(F.count("*").alias("n")).collect()}
+    met = [(own, n, other, parts[other]) for own, n in parts.items() for other in (own - 1, own, own + 1) if other in parts]
+    if not met:
+        return spark.createDataFrame([], "a long, b long")
+    share = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
+    tiles = (
+        rows.join(F.broadcast(spark.createDataFrame(met, "own int, n int, other int, m int")), "own")
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        .select("fp", "size", "words", F.struct("own", share.alias("part")).alias("x"), F.struct(F.col("other").alias("own"), "part").alias("y"))
+        .select("fp", "size", "words", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), (F.col("x") <= F.col("y")).alias("first"))
+        .select("fp", "size", "words", "first", F.col("lo.own").alias("c0"), F.col("lo.part").alias("s0"), F.col("hi.own").alias("c1"), F.col("hi.part").alias("s1"))
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        size, first = table.column("size").to_numpy().astype(np.int64), table.column("first").to_numpy()
+        order = np.lexsort([size, ~first])
+        fp, split = table.column("fp").to_numpy()[order], int(first.sum())
+        marks = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint64).reshape(-1, WORDS)[order]
+        own = table.column("c0")[0] == table.column("c1")[0] and table.column("s0")[0] == table.column("s1")[0]
+        i, j = forest(size[order], marks, None if own else split) if own or 0 < split < len(fp) else ([], [])
+        return pa.table({"a": np.maximum(fp[i], fp[j]), "b": np.minimum(fp[i], fp[j])}) if len(i) else pa.table({"a": fp[:0], "b": fp[:0]})
+
+    return tiles.groupBy("c0", "s0", "c1", "s1").applyInArrow(compare, "a long, b long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """fp, own (its set of shingles) for each row of wanted (fp, digest of a text that has it)."""
+    """fp, root, words and own (its set of shingles) for each row of wanted (fp, root, words, digest of a text that has it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", 2000, 8 << 20):
             own = [shingles(t.as_py()).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(own, pa.list_(pa.int64()))], ["fp", "own"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("fp", "root", "words")), pa.array(own, pa.list_(pa.int64()))], ["fp", "root", "words", "own"])
 
     texts = docs.select("text", F.xxhash64("text").alias("digest")).join(wanted, "digest")
-    return texts.dropDuplicates(["fp"]).select("fp", "text").mapInArrow(run, "fp long, own array<long>")
-
+    return texts.dropDuplicates(["fp"]).select("fp", "root", "words", "text").mapInArrow(run, "fp long, root long, words binary, own array<long>")
 
-def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact similarity is enough."""
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("own").alias("y")), "b")
-    common_ = F.size(F.array_intersect("x", "y"))
-    return both.where(common_ * LIKE[1] >= (F.size("x") + F.size("y") - common_) * LIKE[0]).select("a", "b")
 
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both * LIKE[1] >= (len(x) + len(y) - both) * LIKE[0]
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs a > b of members that share a band and whose sizes allow the similarity."""
-    met = left.alias("l").join(right.alias("r"), F.col("l.key") == F.col("r.key")).where("l.fp <> r.fp")
-    small, large = F.least("l.size", "r.size"), F.greatest("l.size", "r.size")
-    met = met.where(small * LIKE[1] >= large * LIKE[0])
-    return met.select(F.greatest("l.fp", "r.fp").alias("a"), F.least("l.fp", "r.fp").alias("b")).distinct()
 
-
-def likely(rooted: DataFrame, tile: int = TILE) -> DataFrame:
-    """Pairs a > b of members (key, fp, size, root, sketch) of a band that aren't joined and whose sketches
-    agree. A band is compared in tiles, so that none grows beyond what a task holds."""
-    common.ship(rooted.sparkSession)
-    parts = rooted.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+def confirmed(members: DataFrame, sets: int = SETS, total: int = SHINGLES) -> DataFrame:
+    """Forests of the links (a > b) among members (fp, root of the component of candidates, words, own). A component
+    is compared in parts, two in a task, so that none grows beyond what a task holds."""
+    common.ship(members.sparkSession)
+    parts = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / sets, F.sum(F.size("own")) / total)).cast("int").alias("parts"))
     share = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    rows = rooted.join(parts, "key").withColumn("own", share).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", "fp", "size", "root", "sketch", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        fp, size, root, own = (table.column(c).to_numpy() for c in ("fp", "size", "root", "own"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(fp), -1)
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+    rows = members.join(parts, "root").withColumn("part", share).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("fp", "words", "own", "part", "root", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    key = ["root", "lo", "hi"]
+
+    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
+        _, lo, hi = rows[0][-3:]
+        fps, marks, own, part = ([r[c] for r in rows] for c in range(4))
+        size, part, marks = np.array([len(s) for s in own]), np.array(part), np.frombuffer(b"".join(marks), np.uint64).reshape(-1, WORDS)
+        label, found = np.arange(len(rows)), []
+        left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
         for k, i in enumerate(left.tolist()):
             rest = right[k + 1 :] if lo == hi else right
-            rest = rest[(root[rest] != root[i]) & (np.minimum(size[rest], size[i]) * LIKE[1] >= np.maximum(size[rest], size[i]) * LIKE[0])]
-            rest = rest[(sketch[rest] == sketch[i]).sum(axis=1) >= AGREE]
-            if len(rest):
-                found.append((np.maximum(fp[rest], fp[i]), np.minimum(fp[rest], fp[i])))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (fp[:0], fp[:0])
-        return pa.table({"a": a, "b": b})
+            rest = rest[(label[rest] != label[i]) & may(size[rest], size[i])]
+            rest = rest[np.bitwise_count(marks[rest] ^ marks[i]).sum(axis=1, dtype=np.int64) <= WIDE]
+            for j in rest.tolist():
+                if label[i] != label[j] and alike(own[i], own[j]):
+                    label[label == label[j]] = label[i]
+                    found.append((max(fps[i], fps[j]), min(fps[i], fps[j])))
+        return found
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("fp", "words")]
+            lists, flags = batch.column("own"), [batch.column(c).to_pylist() for c in ("part", *key)]
+            yield from zip(*columns, (x.values.to_numpy() for x in lists), *flags, strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groupby(listed(batches), key=lambda r: r[-3:]):
+            if len(held := list(group)) > 1 and (found := compare(held)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
-    return rows.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
 
 
 def components(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """fp, root for each set of shingles that has a link, of docs and their signatures."""
-    keyed = marks.where("size > 0").select(F.explode("bands").alias("key"), "fp", "size")
-    shared = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key")
-    members = common.written(keyed.join(shared, "key").distinct(), "members")
-    wanted = marks.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("digest").alias("digest"))
-    sets = common.written(sets_of(docs, wanted), "sets")
-    # another text for each band, so that a group's members meet several
-    first = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "fp").alias("h"), "fp", "size")).alias("x")).select("key", "x.fp", "x.size")
-    links = common.written(alike(common.written(_pairs(members, first), "pairs"), sets), "alike")
-    roots = common.written(simhash.components(links), "roots")
-    rooted = members.join(roots, "fp", "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("root"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    sketches = marks.groupBy("fp").agg(F.first("sketch").alias("sketch"))
-    rooted = rooted.join(several, "key", "left_semi").join(sketches, "fp")
-    more = common.written(alike(common.written(likely(rooted), "pairs"), sets), "alike")
-    return roots if more.isEmpty() else simhash.components(links.union(more))
+    distinct = marks.groupBy("fp").agg(F.min("size").alias("size"), F.min("words").alias("words"), F.min("digest").alias("digest"))
+    distinct = common.written(distinct, "sets")
+    roots = common.written(simhash.components(candidates(distinct)), "candidates")
+    roots = roots.union(roots.select("root", "root").distinct())
+    members = common.written(sets_of(docs, distinct.select("fp", "words", "digest").join(roots, "fp")), "members")
+    return simhash.components(confirmed(members))
 
 
 def cluster(docs: DataFrame) -> DataFrame:

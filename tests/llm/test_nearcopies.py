@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from foldlake.llm import nearcopies, simhash
 
@@ -62,3 +64,49 @@ def test_unlike_texts_stay_whatever_their_id(documents):
     assert sorted((r.doc_id, r.text) for r in kept if r.doc_id) == [(2, c), (2, d)]
     assert sorted(r.text for r in kept if r.doc_id is None) == [a, b]
     assert nearcopies.keep_one(documents([])).collect() == []
+
+
+def test_candidates_are_near_fingerprints(spark):
+    rng = random.Random(5)
+    sets = []
+    for n in (3, 40, 41, 400, 1200):
+        base = [rng.randrange(1 << 64) for _ in range(n)]
+        # further and further from the first, then texts of their own
+        sets += [base, *([*base[k:], *(rng.randrange(1 << 64) for _ in range(k))] for k in {n // d for d in (3, 4, 6, 9, 12, 20)} if k)]
+        sets += [[rng.randrange(1 << 64) for _ in range(n)] for _ in range(6)]
+    sets = [np.unique(np.array(s, np.uint64)) for s in sets]
+    marks = np.array([nearcopies.words(s) for s in sets])
+    assert marks[:, 0].tolist() == [simhash.simhash(s) for s in sets]
+    apart = np.bitwise_count(marks[:, None] ^ marks)
+    sizes = np.array([len(s) for s in sets])
+    near = (apart[:, :, 0] <= nearcopies.RADIUS) & (apart.sum(axis=2, dtype=int) <= nearcopies.WIDE) & nearcopies.may(sizes[:, None], sizes)
+    want = list(range(len(sets)))
+    for i, j in np.argwhere(near).tolist():
+        want = [min(want[i], want[j]) if k in (want[i], want[j]) else k for k in want]
+    assert len(set(want)) < len(sets)
+    rows = spark.createDataFrame([(i, int(n), w.tobytes()) for i, (n, w) in enumerate(zip(sizes, marks, strict=True))], "fp long, size int, words binary")
+    for tile in (nearcopies.TILE, 4):
+        pairs = nearcopies.candidates(rows, tile).collect()
+        # a forest of each pair of tiles
+        assert tile < len(sets) or len(pairs) < 3 * len(sets)
+        roots = {r.fp: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        assert [roots.get(i, i) for i in range(len(sets))] == want
+    assert nearcopies.candidates(rows.limit(0)).collect() == []
+
+
+def test_a_component_in_parts_gives_the_same_links(spark):
+    rng = random.Random(6)
+    base = [rng.randrange(1 << 62) for _ in range(100)]
+    sets = [sorted([*base[:90], *(rng.randrange(1 << 62) for _ in range(k))]) for k in (1, 2, 5, 8, 12, 14, 30, 40) for _ in range(4)]
+    rows = [(i, 0, nearcopies.words(np.array(s, np.uint64)).tobytes(), s) for i, s in enumerate(sets)] + [(100, 100, nearcopies.words(np.array(sets[0], np.uint64)).tobytes(), sets[0])]
+    members = spark.createDataFrame(rows, "fp long, root long, words binary, own array<long>")
+    like = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if len({*x} & {*y}) * 5 >= len({*x} | {*y}) * 4]
+    want = list(range(len(sets)))
+    for i, j in like:
+        want = [min(want[i], want[j]) if k in (want[i], want[j]) else k for k in want]
+    assert 1 < len(set(want)) < len(sets)
+    for held, total in ((1024, 1 << 21), (5, 1 << 21), (1024, 700)):
+        pairs = nearcopies.confirmed(members, held, total).collect()
+        assert {(p.a, p.b) for p in pairs} <= {*like}
+        roots = {r.fp: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        assert [roots.get(i, i) for i in range(len(sets))] == want
