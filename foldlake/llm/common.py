@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -128,3 +129,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int, chars: int)
             size += n
         if len(sizes) > start:
             yield batch.slice(start)
+
+
+def release() -> None:
+    """Gives memory that this process has freed back to the system. Workers outlive their tasks, and what
+    their allocators keep counts with the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)

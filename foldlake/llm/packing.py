@@ -35,6 +35,8 @@ from . import common, tokens
 
 WINDOW = 1024
 END_ID = 0
+#: Rows that are encoded at once.
+ROWS = 1000
 
 
 def fill(counts: dict[int, int], window: int) -> dict[int, int]:
@@ -139,6 +141,13 @@ class Slots:
         return out
 
 
+def encoded(batches: Iterator[pa.RecordBatch], own: tokens.PieceEncoder, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The batches in slices, with their ids and bounds; memory of a slice is given back after it."""
+    for batch in common.slices(batches, "text", ROWS, tokens.CHARS):
+        yield batch, *own.encode(batch.column("text"), end_id)
+        common.release()
+
+
 def pieces(docs: DataFrame, spec: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, the ids of a rest, and the piece's task and rank
     among the task's pieces of its length."""
@@ -149,8 +158,7 @@ def pieces(docs: DataFrame, spec: str, window: int = WINDOW, end_id: int = END_I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task = tokens.encoder(shared.value), TaskContext.get().partitionId()
         ranks: Counter[int] = Counter()
-        for batch in common.slices(batches, "text", tokens.ROWS, tokens.CHARS):
-            ids, bounds = own.encode(batch.column("text"), end_id)
+        for batch, ids, bounds in encoded(batches, own, end_id):
             totals = np.diff(bounds)
             cuts = -(-totals // window)
             at = np.repeat(np.arange(len(batch)), cuts)

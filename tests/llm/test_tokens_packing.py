@@ -190,3 +190,16 @@ def test_a_damaged_file_is_told():
     data[-1] ^= 1
     with pytest.raises(ValueError):
         eliasfano.TokenFile(bytes(data))
+
+
+def test_packing_gives_memory_back_after_each_slice(monkeypatch):
+    given_back, texts = [], [f"some words {i}" for i in range(2 * packing.ROWS + 1)]
+    monkeypatch.setattr(packing.common, "release", lambda real=packing.common.release: given_back.append(real()))
+    batches = iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])])
+    seen, found = 0, []
+    for k, (batch, ids, bounds) in enumerate(packing.encoded(batches, OWN, packing.END_ID)):
+        assert len(batch) <= packing.ROWS and len(given_back) == k
+        found += [ids[a:b].tolist() for a, b in itertools.pairwise(bounds)]
+        seen += 1
+    assert seen == len(given_back) == 3
+    assert found == [[*ids_of(t), packing.END_ID] for t in texts]
