@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -27,6 +28,23 @@ def test_aes_known_answers():
         aes.cbc_decrypt(CIPHER[:-1], KEY, IV)
 
 
+def test_aes_engines_agree_and_encryption_is_fast(monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(aes, "STEP", 48)
+    for n in (0, 1, 15, 16, 17, 47, 48, 49, 200):
+        data, key, iv = rng.randbytes(n), rng.randbytes(32), rng.randbytes(rng.choice([0, 8, 16]))
+        whole, full = data + bytes(-n % 16), iv.ljust(16, b"\0")
+        packed = aes.cbc_encrypt(data, key, iv)
+        assert packed == aes._plain_encrypt(whole, key, full)
+        assert aes.cbc_decrypt(packed, key, iv) == aes._plain_decrypt(packed, key, full) == whole
+    monkeypatch.setattr(aes, "_openssl", lambda: None)
+    assert aes.cbc_encrypt(PLAIN, KEY, IV) == CIPHER and aes.cbc_decrypt(CIPHER, KEY, IV) == PLAIN
+    monkeypatch.undo()
+    data, begun = bytes(1 << 20), time.process_time()
+    assert aes.cbc_decrypt(aes.cbc_encrypt(data, KEY, IV), KEY, IV) == data
+    assert time.process_time() - begun < 2  # block after block in Python takes half a minute
+
+
 def test_aes_on_spark(spark):
     df = spark.createDataFrame([(PLAIN, CIPHER), (PLAIN[:16], CIPHER[:16]), (b"", b"")], "p binary, c binary")
     got = df.select("p", "c", native_aes.decrypt(F.col("c"), F.lit(KEY), F.lit(IV)).alias("d"), native_aes.encrypt(F.col("p"), F.lit(KEY), F.lit(IV)).alias("e")).collect()
