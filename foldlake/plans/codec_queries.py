@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foldlake.functions import codecs
@@ -34,20 +35,43 @@ CHAINS: dict[str, list[tuple[str, codecs.Options]]] = {
 }
 
 
+#: Bytes of plain values that a task holds decoded at once, beside the batch they came in; one value may be longer.
+SLICE = 1 << 22
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of rows whose column has so many bytes at most, or one row. A batch isn't
+    held while the next one is read."""
+    most = SLICE if most is None else most
+    for batch in batches:
+        first = held = 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if i > first and held + n > most:
+                yield batch.slice(first, i - first)
+                first, held = i, 0
+            held += n
+        rest = batch.slice(first)
+        del batch
+        yield rest
+        del rest
+
+
 def round_trip(rows: DataFrame, key: str, data: str, methods: list[tuple[str, codecs.Options]], password: str | None = None) -> DataFrame:
     """key, and data encoded and decoded again."""
     shipping.ship(rows.sparkSession)
     schema = pa.schema([(key, pa.int64()), ("decoded", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in _slices(batches, data):
             out = []
-            for plain in batch.column(data).to_pylist():
+            for plain in part.column(data).to_pylist():
                 coders, packed = codecs.encode_chain(methods, plain, password)
                 for method, properties, size in reversed(coders):
                     packed = codecs.decode(method, properties, packed, size, password)
                 out.append(packed)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.binary())], schema=schema)
+            keys = part.column(key)
+            del part
+            yield pa.RecordBatch.from_arrays([keys, pa.array(out, pa.binary())], schema=schema)
 
     return rows.select(key, data).mapInArrow(run, f"{key} long, decoded binary")
 
@@ -69,9 +93,9 @@ def bcj2_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [bcj2.decode(bcj2.encode(d), len(d)) for d in batch.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "decoded"])
+        for part in _slices(batches, "data"):
+            out = [bcj2.decode(bcj2.encode(d), len(d)) for d in part.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "decoded"])
 
     out = rows.mapInArrow(run, "doc_id long, decoded binary")
     return out.select("doc_id", F.octet_length("decoded").cast("long").alias("size"), F.sha2("decoded", 256).alias("sha256"))

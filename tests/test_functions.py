@@ -4,8 +4,10 @@ import hashlib
 import random
 import time
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -369,3 +371,21 @@ def test_table_functions(spark):
     _, packed = codecs.encode("LZMA2", b"x" * 5000)
     spark.createDataFrame([(packed,)], "stream binary").createOrReplaceTempView("streams")
     assert [r.output_len for r in spark.sql("SELECT t.* FROM streams, LATERAL lzma2_runs(stream) t").collect()] == [5000]
+
+
+def test_round_trip_in_slices(spark, monkeypatch):
+    from foldlake.plans import codec_queries
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(6)), "data": [b"a" * 5, b"", b"b" * 20, b"c", b"d" * 9, None]})
+    cut = list(codec_queries._slices(iter([batch, batch.slice(0, 0), batch]), "data", 10))
+    assert [p.num_rows for p in cut if p.num_rows] == [2, 1, 3, 2, 1, 3]
+    assert pa.Table.from_batches(cut).to_pylist() == batch.to_pylist() * 2
+    # what comes out of a task comes in pieces, not as one batch of all it read
+    got = []
+    monkeypatch.setattr(codec_queries, "SLICE", 1 << 16)
+    monkeypatch.setattr(codec_queries.shipping, "ship", lambda spark: None)
+    rows = SimpleNamespace(sparkSession=None, select=lambda *c: SimpleNamespace(mapInArrow=lambda run, schema: got.append(run)))
+    codec_queries.round_trip(rows, "k", "data", codec_queries.CHAINS["zstd"])
+    texts = [random.Random(i).randbytes(1000) for i in range(1000)]
+    out = list(got[0](iter([pa.RecordBatch.from_pydict({"k": list(range(1000)), "data": texts})])))
+    assert max(b.nbytes for b in out) < 1 << 17 and [t for b in out for t in b.column("decoded").to_pylist()] == texts
