@@ -49,3 +49,6 @@ PREPARED = table(
     archive_id=TEXT, place=LONG, packed=BYTES, packed_crc=LONG, crc=LONG, unpack_size=LONG,
     coders=ArrayType(table(method=TEXT, properties=BYTES, size=LONG)), members=ArrayType(MEMBER), pack_sizes=ArrayType(LONG),
 )
+#: A prepared block in parts, each with the members that begin in it: part counts from 0, and the sizes
+#: of the block and its coder are in each. Its packed bytes are those of the parts, in order.
+PARTS = StructType([*PREPARED]).add("part", LONG)

@@ -26,6 +26,20 @@ from foldlake.sources import header, shipping, storage
 CHUNK = 1 << 20
 
 
+def each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one at a time: a row can hold all members of a block."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
+def dealt(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows by a hash of the key over a fixed number of tasks. These rows are small and their work is
+    not, so partitions mustn't be put together by their bytes."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, F.xxhash64(*key))
+
+
 def rows_of(path: str, parsed: header.Parsed) -> dict:
     """One nested row for an archive."""
     s = parsed.streams
@@ -221,12 +235,12 @@ def contents(cat: Catalog, password: str | None = None, verify: bool = True, chu
     if only is not None:
         plan = plan.join(only.select("archive_id", "block_index"), ["archive_id", "block_index"], "left_semi")
     # by a hash of the block, so that the blocks of one large archive spread over all tasks
-    plan = plan.repartition(F.xxhash64("archive_id", "block_index"))
+    plan = dealt(plan, "archive_id", "block_index")
     schema = to_arrow_schema(schemas.CONTENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in each(batch):
                 out: list[dict] = []
                 held = 0
                 with storage.opened((volumes or {}).get(row["archive_id"]) or row["archive_id"]) as (read, _):

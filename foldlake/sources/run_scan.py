@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from foldlake import schemas
 from foldlake.functions import lzma2
 from foldlake.functions.errors import ArchiveError, corrupted
+from foldlake.operators import catalog as derive
 from foldlake.operators import integrity
 from foldlake.sources import archives, header, shipping, storage
 from foldlake.streaming.runs import advance
@@ -26,6 +27,8 @@ RUNS = "archive_id string, block_index long, run_index long, packed_at long, pac
 #: Bytes that are read at once: the payloads between chunk headers are no longer than 64 KiB.
 WINDOW = 1 << 20
 HEADER_BYTES = 6
+#: Bytes of a block's output in which runs and members meet.
+SPAN = 1 << 20
 
 
 def block_runs(read: storage.Read, start: int, size: int, unpacked: int) -> list[tuple]:
@@ -111,7 +114,7 @@ def runs(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in archives.each(batch):
                 key = {"archive_id": row["archive_id"], "block_index": row["block_index"]}
                 try:
                     with storage.opened(row["archive_id"]) as (read, _):
@@ -122,7 +125,24 @@ def runs(blocks: DataFrame) -> DataFrame:
                     out = [{**key, "error": str(e)}]
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    return blocks.repartition(F.xxhash64("archive_id", "block_index")).mapInArrow(run, RUNS)
+    rows = blocks.select("archive_id", "block_index", "pack_pos", "packs", "unpack_size")
+    return archives.dealt(rows, "archive_id", "block_index").mapInArrow(run, RUNS)
+
+
+def _with_members(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Runs with the members that lie in each, as an array. A run and a member meet in the span where
+    the later one of them begins, so this is an equi-join and no run carries its whole block's
+    members. An empty member lies in the run of the next byte, at the end of the block in the last."""
+    keys = ["archive_id", "block_index"]
+    low = F.least("at", F.col("unpack_size") - 1)
+    members = members.withColumn("low", low).withColumn("high", F.when(F.col("size") > 0, F.col("at") + F.col("size")).otherwise(low + 1))
+    spans = lambda first, end: F.sequence((first / SPAN).cast("long"), ((end - 1) / SPAN).cast("long"))
+    mine = members.select(*keys, "low", "high", F.struct("file_index", "name", "size", "at").alias("member"), F.explode(spans(F.col("low"), F.col("high"))).alias("span"))
+    first, end = F.col("output_offset"), F.col("output_offset") + F.col("output_len")
+    rows = found.withColumn("span", F.explode_outer(F.when(F.col("error").isNull(), spans(first, end))))
+    there = (F.col("low") < end) & (F.col("high") > first) & ((F.greatest("low", first) / SPAN).cast("long") == F.col("span"))
+    member = F.when(there, F.col("member"))
+    return rows.join(mine, [*keys, "span"], "left").groupBy(*found.columns).agg(F.sort_array(F.collect_list(member)).alias("members"))
 
 
 def contents(cat: archives.Catalog, chunk: int = archives.CHUNK) -> DataFrame:
@@ -130,15 +150,20 @@ def contents(cat: archives.Catalog, chunk: int = archives.CHUNK) -> DataFrame:
     member's checksum is folded from its pieces (see verified)."""
     blocks = plan(cat)
     keys = ["archive_id", "block_index"]
-    rows = runs(blocks).join(blocks.select(*keys, "members", F.col("coders")[0]["properties"].alias("properties")), keys)
-    rows = rows.repartition(F.xxhash64(*keys, "run_index"))
+    facts = blocks.select(*keys, "unpack_size", F.col("coders")[0]["properties"].alias("properties"))
+    members = derive.file_blocks(cat.entries, cat.blocks).where("has_stream and block_index is not null").select(*keys, "file_index", "name", "size")
+    members = derive.member_offsets(members).withColumnRenamed("unpacked_offset", "at").join(facts.drop("properties"), keys)
+    found = runs(blocks).join(facts.drop("unpack_size"), keys)
+    rows = archives.dealt(_with_members(found, members.where("unpack_size > 0")), *keys, "run_index")
+    # a block without a byte has no run
+    none = members.where("unpack_size = 0").select(*keys, "file_index", "name", F.lit(0).cast("long").alias("offset"), F.lit(b"").alias("data"), F.lit(0).cast("long").alias("crc32"), F.lit(None).cast("string").alias("error"))
     schema = to_arrow_schema(schemas.CONTENTS)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from foldlake.functions.codecs import lzma2_dictionary
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in archives.each(batch):
                 base = {"archive_id": row["archive_id"], "block_index": row["block_index"], "error": row["error"]}
                 if row["error"] is None:
                     try:
@@ -153,22 +178,21 @@ def contents(cat: archives.Catalog, chunk: int = archives.CHUNK) -> DataFrame:
                 if base["error"] is not None:
                     yield pa.RecordBatch.from_pylist([base], schema)
                     continue
-                out, held, at, first = [], 0, 0, row["output_offset"]
+                out, held, first = [], 0, row["output_offset"]
                 for m in row["members"]:
+                    at = m["at"]
                     low, high = max(at, first), min(at + m["size"], first + row["output_len"])
-                    spans = range(low, high, chunk) if high > low else [at] if m["size"] == 0 and first <= at < first + row["output_len"] else []
-                    for a in spans:
-                        data = plain[a - first : min(a + chunk, high) - first] if high > low else b""
+                    for a in range(low, high, chunk) if m["size"] else [at]:
+                        data = plain[a - first : min(a + chunk, high) - first] if m["size"] else b""
                         out.append({**base, "file_index": m["file_index"], "name": m["name"], "offset": a - at, "data": data, "crc32": zlib.crc32(data)})
                         held += len(data)
-                    if held >= 8 * chunk:
+                    if held >= 8 * chunk or len(out) >= 10_000:
                         yield pa.RecordBatch.from_pylist(out, schema)
                         out, held = [], 0
-                    at += m["size"]
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema)
 
-    return rows.mapInArrow(decode, schemas.CONTENTS)
+    return rows.mapInArrow(decode, schemas.CONTENTS).unionByName(none)
 
 
 def verified(cat: archives.Catalog, pieces: DataFrame) -> DataFrame:

@@ -12,13 +12,13 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from foldlake.functions import codecs
 from foldlake.functions.crc import combine
 from foldlake.functions.errors import ArchiveError
-from foldlake.schemas import PREPARED
+from foldlake.schemas import MEMBER, PARTS, PREPARED
 from foldlake.sources import header, shipping, storage
 
 Methods = list[tuple[str, codecs.Options]]
@@ -66,8 +66,11 @@ def _prepare(archive: str, place: int, rows: list[dict], methods: Methods, passw
 def prepare(rows: DataFrame, methods: Methods = DEFAULT, password: str | None = None, solid: bool = False) -> DataFrame:
     """Prepared blocks (PREPARED) of rows: archive_id, place, name, data (null: no stream), and
     optionally ctime_ticks, atime_ticks, mtime_ticks, windows_attributes, is_directory. Not solid: a block for each row. Solid:
-    a block for each (archive_id, block), with a column `block`, its rows by place."""
+    a block for each (archive_id, block), with a column `block`, its rows by place. A solid block whose
+    only coder is LZMA2 with a `chunk` is encoded run by run, and comes in parts (PARTS)."""
     check_methods(methods)
+    if solid and len(methods) == 1 and methods[0][0] == "LZMA2" and methods[0][1].chunk and "LZMA2" not in codecs.ENCODERS:
+        return _prepare_runs(rows, methods[0][1])
     shipping.ship(rows.sparkSession)
     schema = to_arrow_schema(PREPARED)
     if solid:
@@ -86,6 +89,49 @@ def prepare(rows: DataFrame, methods: Methods = DEFAULT, password: str | None =
     return rows.mapInArrow(run, PREPARED)
 
 
+def _prepare_runs(rows: DataFrame, options: codecs.Options) -> DataFrame:
+    """Solid blocks as `_prepare` makes them, but a task encodes a run, not a block: members are cut
+    where a run ends, by their offsets in the block."""
+    shipping.ship(rows.sparkSession)
+    key = ["archive_id", "block"]
+    folder = F.coalesce(F.col("is_directory"), F.lit(False)) if "is_directory" in rows.columns else F.lit(False)
+    stream = F.col("data").isNotNull() & ~folder
+    size = F.coalesce(F.octet_length("data"), F.lit(0)).cast("long")
+    made = {"has_stream": stream, "is_directory": folder, "size": size, "crc": F.when(stream, F.crc32("data"))}
+    given = {f.name: made.get(f.name, F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType) for f in MEMBER}
+    rows = rows.select(*key, "place", F.when(stream, F.col("data")).alias("data"), F.when(stream, size).otherwise(0).cast("long").alias("n"), F.struct(*[c.alias(k) for k, c in given.items()]).alias("member"))
+    own = Window.partitionBy(*key)
+    before = own.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    facts = rows.groupBy(*key).agg(F.sum("n").alias("unpack_size"), F.min("place").alias("first"), F.count("data").alias("streams"), F.max(F.when(F.col("data").isNotNull(), F.col("member.crc"))).alias("only"))
+    dictionary = F.greatest(F.lit(4096), F.least(F.lit(options.dictionary_for(None)), F.greatest(F.lit(4096), F.col("unpack_size")))).cast("long")
+    facts = facts.withColumn("dictionary", dictionary).withColumn("step", F.greatest(F.lit(options.chunk), F.col("dictionary")).cast("long"))
+    rows = rows.join(facts, key)
+    run = lambda at: F.floor(at / F.col("step")).cast("long")
+    # what has no byte goes with the next byte, at the end of the block with the last
+    begin = run(F.greatest(F.lit(0), F.least("at", F.col("unpack_size") - 1)))
+    rows = rows.withColumn("part", F.explode(F.sequence(begin, F.when(F.col("n") > 0, run(F.col("at") + F.col("n") - 1)).otherwise(begin))))
+    low = F.greatest("at", F.col("part") * F.col("step"))
+    high = F.least(F.col("at") + F.col("n"), (F.col("part") + 1) * F.col("step"))
+    piece = F.when(F.col("n") > 0, F.substring(F.col("data"), (low - F.col("at") + 1).cast("int"), (high - low).cast("int")))
+    pieces = rows.select(*key, "part", "place", "at", "n", piece.alias("data"), F.when(F.col("part") == begin, F.col("member")).alias("member"), "unpack_size", "first", "streams", "only", "dictionary", "step")
+    schema = to_arrow_schema(PARTS)
+
+    def encode(table: pa.Table) -> pa.Table:
+        found = sorted(table.to_pylist(), key=lambda r: (r["at"], r["n"], r["place"]))
+        f = found[0]
+        plain = b"".join([r["data"] for r in found if r["data"]])
+        last = (f["part"] + 1) * f["step"] >= f["unpack_size"]
+        packed = (codecs.lzma2_run(plain, options, f["dictionary"]) if plain else b"") + (b"\0" if last and f["streams"] else b"")
+        coders = [{"method": "LZMA2", "properties": bytes([codecs.lzma2_property(f["dictionary"])]), "size": f["unpack_size"]}] if f["streams"] else []
+        return pa.Table.from_pylist([{
+            "archive_id": f["archive_id"], "place": f["first"], "packed": packed, "packed_crc": zlib.crc32(packed), "crc": f["only"] if f["streams"] == 1 else None, "unpack_size": f["unpack_size"],
+            "coders": coders, "members": [r["member"] for r in found if r["member"] is not None], "pack_sizes": None, "part": f["part"],
+        }], schema)
+
+    return pieces.groupBy(*key, "part").applyInArrow(encode, PARTS)
+
+
 def assemble(prepared: DataFrame, password: str | None = None, compress_header: bool = True, encrypt_header: bool = True) -> DataFrame:
     """Writes an archive for each archive_id (its path); gives archive_id, n_bytes, n_entries,
     n_blocks. Blocks of an archive come to one task by place, and stream through it."""
@@ -105,7 +151,8 @@ def assemble(prepared: DataFrame, password: str | None = None, compress_header:
         if current is not None:
             yield pa.RecordBatch.from_pylist([current.finish(password if encrypt_header else None, compress_header)], schema)
 
-    rows = prepared.repartition(F.col("archive_id")).sortWithinPartitions("archive_id", "place")
+    order = ["place", "part"] if "part" in prepared.columns else ["place"]
+    rows = prepared.repartition(F.col("archive_id")).sortWithinPartitions("archive_id", *order)
     return rows.mapInArrow(run, "archive_id string, n_bytes long, n_entries long, n_blocks long")
 
 
@@ -125,11 +172,18 @@ class _Archive:
 
     def append(self, row: dict) -> None:
         members = row["members"]
-        if row["coders"]:
+        if row["coders"] and row.get("part"):
+            self.subs[-1] += [(m["size"], m["crc"]) for m in members if m["has_stream"]]
+            self.sizes[-1] += len(row["packed"])
+            self.crcs[-1] = combine(self.crcs[-1], row["packed_crc"], len(row["packed"]))
+            self.out.write(row["packed"])
+            self.packed += len(row["packed"])
+        elif row["coders"]:
             found = [(c["method"], c["properties"], c["size"]) for c in row["coders"]]
             folder = header.bcj2_folder(found) if row.get("pack_sizes") else header.chain_folder(found)
             streams = [m for m in members if m["has_stream"]]
-            folder["crc"] = row["crc"] if len(streams) == 1 else None
+            # of a block in parts the first doesn't hold all members, but its checksum is null unless there is one
+            folder["crc"] = row["crc"] if len(streams) == 1 or "part" in row else None
             self.folders.append(folder)
             self.subs.append([(m["size"], m["crc"]) for m in streams])
             at = 0

@@ -292,3 +292,37 @@ def test_blocks_decode_by_their_runs(spark, tmp_path):
     (tmp_path / "runs.7z").write_bytes(data)
     errors = run_scan.contents(archives.catalog(spark, path)).where("error is not null").collect()
     assert errors and all(e.error.startswith("Corrupted") for e in errors)
+
+
+def test_solid_block_by_runs(spark, tmp_path):
+    """Encoded and decoded run by run, a block is what it is as a whole; no row grows with the block."""
+    from foldlake.sources import in_memory
+
+    rng = random.Random(9)
+    methods = [("LZMA2", codecs.Options(level=1, dictionary=4096, chunk=10_000))]
+    sizes = {"long": [25_000, 0, 10_000, 0, 0, 5, *[300] * 200, 40_000, 10_000, 0], "one": [12_345], "small": [7], "empty": [0, 0], "none": [0]}
+    members = {k: [(f"{k}{i}", rng.randbytes(n // 5 + 1) * 5) for i, n in enumerate(ns)] for k, ns in sizes.items()}
+    members = {k: [(name, data[:n]) for (name, data), n in zip(m, sizes[k], strict=True)] for k, m in members.items()}
+    rows = [(str(tmp_path / f"{k}.7z"), i, name, None if k == "none" else data, 0) for k, m in members.items() for i, (name, data) in enumerate(m)]
+    rng.shuffle(rows)
+    parts = writer.prepare(spark.createDataFrame(rows, "archive_id string, place long, name string, data binary, block int"), methods, solid=True)
+    assert max(r.n for r in parts.selectExpr("octet_length(packed) n").collect()) < 15_000
+    made = {r.archive_id: r.n_blocks for r in writer.assemble(parts).collect()}
+    assert sorted(made.values()) == [0, 1, 1, 1, 1]
+    for k, m in members.items():
+        if k != "none":
+            assert (tmp_path / f"{k}.7z").read_bytes() == in_memory.pack(m, methods, solid=True), k
+    cat = archives.catalog(spark, sorted(made))
+    found = run_scan.contents(cat).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.name, r.offset)):
+        assert r.error is None and r.offset == len(got.get(r.name, b""))
+        got[r.name] = got.get(r.name, b"") + bytes(r.data)
+    assert got == {name: data for k, m in members.items() if k != "none" for name, data in m}
+    assert len(found) == len({(r.name, r.offset) for r in found})
+    block = run_scan.plan(cat).where(F.col("archive_id").endswith("long.7z"))
+    facts = block.select("archive_id", "block_index", "unpack_size")
+    placed = block.select("archive_id", "block_index", F.explode("members").alias("m")).select("archive_id", "block_index", "m.file_index", "m.name", "m.size")
+    placed = derive.member_offsets(placed).withColumnRenamed("unpacked_offset", "at").join(facts, ["archive_id", "block_index"])
+    held = {r.run_index: [m.name for m in r.members] for r in run_scan._with_members(run_scan.runs(block), placed).collect()}
+    assert len(held) > 10 and sum(map(len, held.values())) <= len(members["long"]) + len(held)
