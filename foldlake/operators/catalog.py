@@ -76,7 +76,9 @@ def file_blocks(entries: DataFrame, blocks: DataFrame) -> DataFrame:
     streams = streams.select("archive_id", "block_index", "first", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("num_sub_streams") - 1)).alias("stream_index"))
     rows = rows.join(streams.select("archive_id", "stream_index", F.col("block_index").alias("own"), (F.col("stream_index") - F.col("first")).alias("position")), ["archive_id", "stream_index"], "left")
     before = F.last("own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("own", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # backwards, as a frame that ends with the partition is worked out anew for each row
+    back = Window.partitionBy("archive_id").orderBy(F.col("file_index").desc())
+    after = F.last("own", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("block_index", F.when(before == after, before)).drop("own")
 
 

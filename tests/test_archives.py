@@ -326,3 +326,21 @@ def test_solid_block_by_runs(spark, tmp_path):
     placed = derive.member_offsets(placed).withColumnRenamed("unpacked_offset", "at").join(facts, ["archive_id", "block_index"])
     held = {r.run_index: [m.name for m in r.members] for r in run_scan._with_members(run_scan.runs(block), placed).collect()}
     assert len(held) > 10 and sum(map(len, held.values())) <= len(members["long"]) + len(held)
+
+
+def test_file_blocks_has_no_quadratic_frame(spark):
+    """A frame up to the partition's end is worked out anew for each row."""
+    entries = spark.range(40).selectExpr("'a' archive_id", "id file_index", "id % 7 not in (0, 3) has_stream")
+    blocks = spark.range(3).selectExpr("'a' archive_id", "id block_index", "id * 5 + 4 num_sub_streams")
+    mapped = derive.file_blocks(entries, blocks)
+    assert "unboundedfollowing" not in mapped._jdf.queryExecution().toString().lower()
+    streams = [b for b in range(3) for _ in range(b * 5 + 4)]
+    owned, k = [], 0
+    for i in range(40):
+        there = i % 7 not in (0, 3) and k < len(streams)
+        owned.append(streams[k] if there else None)
+        k += i % 7 not in (0, 3)
+    before = [next((b for b in reversed(owned[: i + 1]) if b is not None), None) for i in range(40)]
+    after = [next((b for b in owned[i:] if b is not None), None) for i in range(40)]
+    want = [b if b == a else None for b, a in zip(before, after, strict=True)]
+    assert [r.block_index for r in mapped.orderBy("file_index").collect()] == want
